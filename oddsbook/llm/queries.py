@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsbook.llm import bpe, lines, simhash
-from oddsbook.llm.common import table
+from oddsbook.llm import bpe, lines, simhash, tokenids
+from oddsbook.llm.common import table, work_path
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("n_lines").cast("long"), F.col("n_dropped").cast("long"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "token-ids")
+    tokenids.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenids.token_index(spark, path)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
@@ -30,6 +36,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op5_simhash": op5_simhash,
+    "op7_token_ids": op7_token_ids,
     "op9_bpe": op9_bpe,
 }
 
