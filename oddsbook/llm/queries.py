@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsbook.llm import bpe, lines, simhash, tokenids
+from oddsbook.llm import bpe, decontaminate, lines, simhash, tokenids
 from oddsbook.llm.common import table, work_path
 
 
@@ -21,6 +21,15 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("n_lines").cast("long"), F.col("n_dropped").cast("long"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.size("hits").cast("long")
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.is_contaminated(n_hit, F.col("n_words")).alias("contaminated"),
+    )
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "token-ids")
     tokenids.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -36,6 +45,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op5_simhash": op5_simhash,
+    "op6_decontaminate": op6_decontaminate,
     "op7_token_ids": op7_token_ids,
     "op9_bpe": op9_bpe,
 }
@@ -54,6 +64,25 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
 
+_WORDS6 = f"list_filter(string_split_regex(translate(text, {_LOWER}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+
+_OP6 = f"""
+WITH docs AS (SELECT doc_id, coalesce({_WORDS6}, []) AS ws FROM documents),
+items AS (SELECT item_id, coalesce({_WORDS6}, []) AS ws FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, n, list_slice(ws, s, s + n - 1) AS gram
+  FROM (SELECT item_id, ws, least(13, len(ws)) AS n, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS s FROM items WHERE len(ws) > 0) i),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, s, n, list_slice(ws, s, s + n - 1) AS gram
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM docs, sizes) p),
+found AS (SELECT p.doc_id, p.s, p.n, w.item_id FROM places p JOIN windows w ON p.n = w.n AND p.gram = w.gram),
+hit AS (SELECT doc_id, count(DISTINCT at_word) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS at_word FROM found) f GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) f GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
 ORACLES: dict[str, str] = {
     "op2_line_dedup": _OP2,
+    "op6_decontaminate": _OP6,
 }
