@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsbook.llm import bpe, decontaminate, embeddings, lines, quality, simhash, tokenids
+from oddsbook.llm import bpe, decontaminate, embeddings, licenses, lines, quality, simhash, tokencounts, tokenids
 from oddsbook.llm.common import table, work_path
 
 
@@ -46,12 +46,22 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_index(spark, path)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = tokencounts.zipf_scores(public_tokenizers.path("piece_bpe_32k.model"))
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"), scores)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses.license", ",").alias("licenses"), F.array_max("licenses.containment").alias("containment"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -59,7 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_ids": op7_token_ids,
+    "op8_token_counts": op8_token_counts,
     "op9_bpe": op9_bpe,
+    "op10_licenses": op10_licenses,
 }
 
 _OP1 = """
