@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsbook.llm import bpe, decontaminate, embeddings, licenses, lines, quality, simhash, tokencounts, tokenids
+from oddsbook.llm import bpe, decontaminate, embeddings, licenses, lines, quality, simhash, substrings, tokencounts, tokenids
 from oddsbook.llm.common import table, work_path
 
 
@@ -18,6 +18,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.substring_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_ids": op7_token_ids,
@@ -99,6 +105,18 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
 
+_OP4 = """
+WITH docs AS (SELECT doc_id, coalesce(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''), []) AS ws FROM documents),
+places AS (SELECT doc_id, s, list_slice(ws, s, s + 49) AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM docs) p),
+marked AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY gram) < doc_id AS again FROM places),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM marked WHERE again),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM docs),
+kept AS (
+  SELECT w.doc_id, count(*) FILTER (WHERE g.i IS NOT NULL) AS n_removed, string_agg(w.w, ' ' ORDER BY w.i) FILTER (WHERE g.i IS NULL) AS text
+  FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id)
+SELECT d.doc_id, len(d.ws) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
+
 _WORDS6 = f"list_filter(string_split_regex(translate(text, {_LOWER}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 
 _OP6 = f"""
@@ -120,5 +138,6 @@ FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
 ORACLES: dict[str, str] = {
     "op1_embedding_dedup": _OP1,
     "op2_line_dedup": _OP2,
+    "op4_substring_dedup": _OP4,
     "op6_decontaminate": _OP6,
 }
