@@ -6,6 +6,9 @@ occurs, a quarter of their length apart, and a window has one minimum for each o
 of a single shingle, whose minimum is that shingle). A window and a template that agree in one band are a candidate, so
 a template with similarity s to the best window is retrieved with probability 1 - (1 - s)^BANDS: over 0.9999 for a full
 copy, whose window is at most a quarter off, and over 0.99 for one with four fifths of its shingles.
+
+A window can only agree with a template in a band if it has the template's least shingle in that band's order. So the minima are
+computed for the texts that have one of these few shingles; the others have no candidates, as the minima would say too.
 """
 
 from __future__ import annotations
@@ -65,6 +68,11 @@ def _order(hashes: Column, band: int, size: int) -> Column:
     return hashes if size == 1 else F.transform(hashes, lambda h: F.xxhash64(h, F.lit(band)))
 
 
+def _ranked(band: int):
+    """A hash with its place in the order of a band, as a function of the hash."""
+    return lambda h: F.struct(F.xxhash64(h, F.lit(band)).alias("rank"), h.alias("hash"))
+
+
 def _minima(hashes: Column, size: int) -> Column:
     """The least hash of each window of that many shingles, a quarter of its length apart."""
     return hashes if size == 1 else F.transform(_starts(F.size(hashes), max(1, size // 4)), lambda s: F.array_min(F.slice(hashes, s, size)))
@@ -99,22 +107,24 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     # The bands of the templates, by the same expressions: a row for each template, a short list that the caller gave.
     small = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(parts)], "i int, shingles array<string>")
     hashes = F.transform("shingles", lambda s: F.xxhash64(F.split(s, " ")))
-    minima = [F.array_min(_order(hashes, b, 2)).alias(f"b{b}") for b in range(BANDS)]
+    minima = [F.array_min(F.transform(hashes, _ranked(b))).alias(f"b{b}") for b in range(BANDS)]
     bands = {r.i: [r.one] + [r[f"b{b}"] for b in range(BANDS)] for r in small.select("i", F.array_min(hashes).alias("one"), *minima).collect()}
+    least_shingles = {x.hash for own in bands.values() for x in own[1:]} | {own[0] for i, own in bands.items() if sizes[parts[i][0]] == 1}
 
-    rows = rows.withColumns({f"__order{b}": _order(F.col("__hashes"), b, 2) for b in range(BANDS)})
+    rows = rows.withColumn("__some", F.arrays_overlap("__hashes", F.array(*(F.lit(h).cast("long") for h in sorted(least_shingles)))))
+    rows = rows.withColumns({f"__order{b}": F.when(F.col("__some"), _order(F.col("__hashes"), b, 2)).otherwise(F.array().cast("array<long>")) for b in range(BANDS)})
     found = []
     for size in classes:
         for band in range(1 if size == 1 else BANDS):
             of: dict[int, list[int]] = {}
             for i, (n, _) in enumerate(parts):
                 if sizes[n] == size:
-                    of.setdefault(bands[i][0 if size == 1 else band + 1], []).append(i)
+                    of.setdefault(bands[i][0] if size == 1 else bands[i][band + 1].rank, []).append(i)
             known = F.array(*(F.lit(v).cast("long") for v in of))
             ids = F.create_map(*(x for v, own in of.items() for x in (F.lit(v).cast("long"), F.array(*map(F.lit, own)))))
             source = F.col("__hashes" if size == 1 else f"__order{band}")
             found.append(_looked_up(_minima(source, size), known, ids))
-    rows = rows.withColumn("__candidates", F.array_sort(F.array_distinct(F.concat(none, *found))))
+    rows = rows.withColumn("__candidates", F.when(F.col("__some"), F.array_sort(F.array_distinct(F.concat(none, *found)))).otherwise(none))
 
     listed = F.array(*(F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, s)).alias("shingles")) for n, s in parts))
     words = F.col("__words")
