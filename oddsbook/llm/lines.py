@@ -67,7 +67,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches:
     count as so many documents, and all rows of the keeper's doc_id keep the line. A null doc_id is below all others.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
-    bounds = rows.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)
+    shares = [i / batches for i in range(1, batches)]
+    bounds = (rows.agg(F.percentile_approx("doc", shares, 1000)).first()[0] or []) if shares else []
     batch = sum((F.when(F.col("doc") < b, 1).otherwise(0) for b in bounds), F.lit(0))
     hashes = [F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2")]
     keyed = F.transform(F.split("body", "\n"), line_key)
