@@ -202,6 +202,17 @@ _BODIES = {
     "inspect_and_split": "SELECT file, is_suitable, reason, split FROM files JOIN suitable USING (market_id) JOIN split USING (file)",
 }
 _BODIES["safe_normalize"] = f"SELECT {_KEY}, {_r('imbalance0', 'imbalance')}, {_r('size0', 'size')}, CAST(CASE WHEN size0 IS NOT NULL THEN 0.5 END AS DOUBLE) AS flat FROM ({_BODIES['safe_normalize']}) t"
+_DELTAS = ["micro_delta_1", "micro_delta_5", "imbalance_delta", "vol60_delta", "CASE WHEN m5 > 1.01 AND f.m > 1.01 THEN greatest(-0.1, least(0.1, micro_delta_5 / 5.0)) ELSE 0 END", "spread_delta", "vwap_ratio", "price_percentile", "favourite_delta"]
+_SINGLE = lambda e: f"CAST(CAST({e} AS FLOAT) AS DOUBLE)"
+_BODIES["build_observation"] = (
+    "SELECT market_id, step, 999 AS places, " + ", ".join([_r(_SINGLE("coalesce(b0, 0)"), "first", 4), _r(_SINGLE("coalesce(m0, 0)"), "micro", 4), _r("1.0", "balance", 4), _r(_SINGLE(_GLOBAL["g_secs_to_off"]), "secs", 4), _r("coalesce(total, 0) + 2.0 + " + " + ".join(_SINGLE(e) for e in _GLOBAL.values()), "total", 2)])
+    + " FROM snapshots s LEFT JOIN (SELECT market_id, step, max(CASE WHEN q.runner_idx = 0 THEN " + _BASE["f_back_price_1"] + " END) AS b0, max(CASE WHEN q.runner_idx = 0 THEN " + _BASE["f_microprice"].replace("microprice", "q.microprice") + " END) AS m0, sum("
+    + " + ".join(_SINGLE(e) for e in _BASE.values()).replace(" ob_imbalance", " q.ob_imbalance") + " + " + " + ".join(_SINGLE(e) for e in _DELTAS) + ") AS total FROM quoted q JOIN (SELECT * EXCLUDE (traded_vol_total, prob_implied) FROM features) f USING (market_id, step, runner_idx) GROUP BY market_id, step) o USING (market_id, step)"
+)
+_BODIES["normalise_observation"] = (
+    f"SELECT {_KEY}, " + ", ".join(_r(_SINGLE(f"greatest(-10.0, least(10.0, (x{i} - a{i}) / sqrt(s{i} + 1e-8)))"), f"v{i}", 4) for i in range(3))
+    + f" FROM (SELECT {_KEY}, " + ", ".join(f"{_BASE[n]} AS x{i}" for i, n in enumerate(_VECTOR[:3])) + " FROM quoted) x CROSS JOIN (SELECT " + ", ".join(f"avg({_BASE[n]}) AS a{i}, var_pop({_BASE[n]}) AS s{i}" for i, n in enumerate(_VECTOR[:3])) + " FROM quoted WHERE market_id % 2 = 0) y"
+)
 for _check in ("pre_race_secs", "liquidity_at_off", "fav_spread", "fav_drift", "ob_imbalance", "prob_null_rate"):
     _BODIES[f"chk_{_check}"] = f"SELECT market_id, {_r(_check, 'value')} FROM checks"
 for _check in ("pre_race_snapshots", "result_closed", "winner_valid"):

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsbook.config import DEFAULT, EARLIER
@@ -28,7 +28,11 @@ _KEY = ["market_id", "step", "runner_idx"]
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, halves upwards in spite of representation: a little is added, so that two engines round alike."""
-    return df.select(*((F.round(_C(n) + 1e-9, digits) + F.lit(0.0)).alias(n) if t == "double" else _C(n) for n, t in df.dtypes))
+    return df.select(*(_digits(_C(n), digits).alias(n) if t == "double" else _C(n) for n, t in df.dtypes))
+
+
+def _digits(c: Column, digits: int) -> Column:
+    return F.round(c + 1e-9, digits) + F.lit(0.0)
 
 
 def query(f: Query, name: str | None = None) -> Query:
@@ -239,7 +243,7 @@ def episode_outcome(s, d):
 def build_observation(s, d):
     seen = ft.build_observation(_snaps(s, d), ft.runner_features(_clean(s, d))).withColumn("o", _C("observation").cast("array<double>"))
     total = F.aggregate("o", F.lit(0.0), lambda a, v: a + v)
-    return seen.select("market_id", "step", F.size("o").alias("places"), F.round(F.element_at("o", 1), 4).alias("first"), F.round(F.element_at("o", 13), 4).alias("micro"), F.round(F.element_at("o", 985), 4).alias("balance"), F.round(F.element_at("o", 996), 4).alias("secs"), F.round(total, 2).alias("total"))
+    return seen.select("market_id", "step", F.size("o").alias("places"), _digits(F.element_at("o", 1), 4).alias("first"), _digits(F.element_at("o", 13), 4).alias("micro"), _digits(F.element_at("o", 985), 4).alias("balance"), _digits(F.element_at("o", 996), 4).alias("secs"), _digits(total, 2).alias("total"))
 
 
 _VECTOR = ["f_microprice", "f_imbalance", "f_spread", "f_prob", "f_vol_60s", "f_depth_share"]
@@ -258,7 +262,7 @@ def observation_stats(s, d):
 def normalise_observation(s, d):
     rows = _vectors(s, d)
     out = ft.normalise_observation(rows, ft.observation_stats(rows.where("market_id % 2 = 0"), "v"), "v")
-    return out.select(*_KEY, *(F.round(_C("v")[i].cast("double"), 4).alias(f"v{i}") for i in range(3)))
+    return out.select(*_KEY, *(_digits(_C("v")[i].cast("double"), 4).alias(f"v{i}") for i in range(3)))
 
 
 # Filters

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,16 +14,37 @@ CARD = ["event_name", "venue", "market_id", "race_type", "race_name", "event_id"
 SNAPSHOT = {"ts_unix": T.LongType(), "runner_count": T.IntegerType(), "commission_rate": T.DoubleType(), "in_play": T.IntegerType(), "market_status": T.StringType(), "secs_to_off": T.DoubleType(), "total_matched_market": T.DoubleType(), "prob_entropy": T.DoubleType(), "result_closed": T.IntegerType(), "result_winner_idx_first": T.DoubleType(), "result_winner_selids": T.StringType(), "market_time": T.TimestampType()}
 
 
-def race_schema(extra: dict[str, T.DataType] | None = None) -> T.StructType:
-    """All columns a race file may have, for all 24 slots; a file's missing columns are read as null, without merging schemas."""
-    fields = [T.StructField(n, t) for n, t in (SNAPSHOT | dict.fromkeys(CARD, T.StringType()) | (extra or {})).items()]
-    return T.StructType([*fields, *(T.StructField(f"run[{i}].{f}", T.DoubleType()) for i in range(SLOTS) for f in FIELDS)])
+def race_schema(types: dict[str, T.DataType] | None = None) -> T.StructType:
+    """All columns a race file may have, for all 24 slots; a file's missing columns are read as null, without merging schemas.
 
+    types are those in which the files store their columns; a runner column takes that of the same field of the first runner.
+    """
+    types = types or {}
+    own = SNAPSHOT | dict.fromkeys(CARD, T.StringType())
+    fields = [T.StructField(n, types.get(n, t)) for n, t in own.items()]
+    of = lambda i, f: types.get(f"run[{i}].{f}", types.get(f"run[0].{f}", T.DoubleType()))
+    return T.StructType([*fields, *(T.StructField(f"run[{i}].{f}", of(i, f)) for i in range(SLOTS) for f in FIELDS)])
 
-def scan_snapshots(spark: SparkSession, directory: str, extra: dict[str, T.DataType] | None = None) -> DataFrame:
-    """All race files of a directory with `file`; a column market_id in them is kept as source_market_id. Unreadable files give no rows."""
-    rows = spark.read.schema(race_schema(extra)).option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.parquet").parquet(directory)
-    rows = rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
+
+def stored_types(spark: SparkSession, directory: str) -> dict[str, T.DataType]:
+    """The column types of one file of the directory, by its footer; none if that file cannot be read."""
+    try:
+        return {f.name: f.dataType for f in spark.read.option("pathGlobFilter", "*.parquet").parquet(directory).schema}
+    except (AnalysisException, Py4JJavaError):
+        return {}
+
+
+def scan_snapshots(spark: SparkSession, directory: str, types: dict[str, T.DataType] | None = None) -> DataFrame:
+    """All race files of a directory with `file`; a column market_id in them is kept as source_market_id.
+
+    Files store their columns in the given types, or in those of one of them; the result has the types of SNAPSHOT, and doubles for
+    runner columns. Files that cannot be read, also for other types, give no rows; quarantine_files names them.
+    """
+    schema = race_schema(stored_types(spark, directory) if types is None else types)
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.parquet").parquet(directory)
+    wanted = SNAPSHOT | dict.fromkeys(CARD, T.StringType())
+    cast = lambda f: F.col(f"`{f.name}`").cast(wanted.get(f.name, T.DoubleType())).alias(f.name)
+    rows = rows.select(*map(cast, schema), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
     return rows.withColumnRenamed("market_id", "source_market_id")
 
 
