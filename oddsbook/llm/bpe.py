@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from oddsbook.llm.common import small_batches
 
 _NONE = np.iinfo(np.int64).max
 #: Words in a worker's cache, and tree leaves that are merged at a time.
-CACHED_WORDS, LEAVES_AT_ONCE = 600_000, 1 << 19
+CACHED_WORDS, LEAVES_AT_ONCE = 400_000, 1 << 19
 
 
 def byte_alphabet() -> list[str]:
@@ -179,10 +180,9 @@ class WordBpe:
         """The ids (32-bit, little-endian) and the decoded text of each text."""
         split = [(t or b"").split() for t in texts]
         if new := set().union(*split) - self.chunks.keys():
-            if len(self.chunks) + len(new) > self.most:
-                self.chunks.clear()
+            if len(self.chunks) + len(new) > self.most:  # what this batch uses stays
+                self.chunks = {c: self.chunks[c] for c in set().union(*split) - new}
                 self.words.clear()
-                new = set().union(*split)
             self._add(new)
         ids, decoded = [], []
         for chunks in split:
@@ -191,6 +191,12 @@ class WordBpe:
         return ids, decoded
 
 
+@lru_cache(maxsize=1)
+def _worker_bpe(path: str) -> WordBpe:
+    """One encoder for all tasks of a Python worker, so that they share its cache."""
+    return WordBpe(path)
+
+
 def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) of every row of docs, for whole texts.
 
@@ -200,7 +206,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(tokenizer_path)
+        bpe = _worker_bpe(tokenizer_path)
         for b in batches:
             ids, decoded = bpe.encode_decode(b.column(1).cast(pa.binary()).to_pylist())
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
