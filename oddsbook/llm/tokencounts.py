@@ -12,6 +12,7 @@ Zipf's law over their ranks as log probabilities.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from oddsbook.llm.common import small_batches
 
 #: Pre-tokens in a worker's cache, and nodes of a trie before it is begun anew.
-CACHED_WORDS, TRIE_NODES = 800_000, 200_000
+CACHED_WORDS, TRIE_NODES = 600_000, 200_000
 #: Marks the start of a pre-token, as in the pieces.
 START = "▁"
 
@@ -82,12 +83,25 @@ class TrieCounter:
         return tokens[node]
 
 
+#: The counter and the known counts of a Python worker, by the run they belong to.
+_WORKER: dict[str, tuple[TrieCounter, dict[bytes, int]]] = {}
+
+
+def _of_worker(run: str, scores: dict[str, float]) -> tuple[TrieCounter, dict[bytes, int]]:
+    """The same for all tasks of a run in a worker, so that they share its cache."""
+    if run not in _WORKER:
+        _WORKER.clear()
+        _WORKER[run] = TrieCounter(scores), {}
+    return _WORKER[run]
+
+
 def token_counts(docs: DataFrame, scores: dict[str, float], cached_words: int = CACHED_WORDS) -> DataFrame:
     """(doc_id, n_words, n_tokens) of every row of docs: pre-tokens between ASCII blanks, and their tokens under the unigram model.
 
     Whole texts are counted; null, empty and blank texts have none. Other columns are ignored, repeated rows stay rows.
     """
     small_batches(docs.sparkSession)
+    name = uuid.uuid4().hex
     held = docs.sparkSession.sparkContext.broadcast(scores)  # a vocabulary, of fixed size
 
     def new_counts(counter: TrieCounter, words: Iterable[bytes]) -> Iterator[tuple[bytes, int]]:
@@ -95,13 +109,16 @@ def token_counts(docs: DataFrame, scores: dict[str, float], cached_words: int =
             yield w, counter.count(START + w.decode("utf-8", "replace"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, known = TrieCounter(held.value), {}
+        counter, known = _of_worker(name, held.value)
         for b in batches:
             split = [(t or b"").split() for t in b.column(1).cast(pa.binary()).to_pylist()]
             words = set().union(*split)
-            if len(known) + len(words) > cached_words:
+            new = words - known.keys()
+            if len(known) + len(new) > cached_words:  # what this batch uses stays
+                used = {w: known[w] for w in words - new}
                 known.clear()
-            known.update(new_counts(counter, words - known.keys()))
+                known.update(used)
+            known.update(new_counts(counter, new))
             totals = [sum(map(known.get, ws, repeat(0))) for ws in split]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.fromiter(map(len, split), np.int64, count=len(split))), pa.array(totals, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
