@@ -8,12 +8,13 @@ that the place of a document in the whole sequence needs only a sum per file.
 
 from __future__ import annotations
 
+import gc
 import os
-import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +26,15 @@ from oddsbook.llm.common import small_batches
 
 SCHEMA = "part int, at_token long, doc_id long, n_tokens int, ids array<int>"
 #: Pieces of text in a worker's cache.
-CACHED_PIECES = 700_000
+CACHED_PIECES = 600_000
 _ENDS = b".,;:!?|"
 
 
 class ByteBpe:
     """Encodes texts with the tokenizers library, each distinct piece once as long as it stays in the cache.
 
-    A byte-level pre-tokenizer never joins what stands before a space with the space, unless the space is inside a run
-    of white space; so a text is cut before its spaces and the ids of the pieces are joined. Texts with such runs or with
-    special tokens are encoded whole.
+    A byte-level pre-tokenizer always cuts before a space, unless white space follows it; so a text is cut before its spaces and
+    the ids of the pieces are joined. A text is encoded whole if a piece is empty, begins with white space or has a special token.
     """
 
     def __init__(self, path: str, cached: int = CACHED_PIECES):
@@ -42,45 +42,60 @@ class ByteBpe:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.library = Tokenizer.from_file(path)
-        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s \s", r"\s \Z", *map(re.escape, special)]))
-        self.first: dict[bytes, bytes] = {}
-        self.later: dict[bytes, bytes] = {}  # pieces that follow a space, without it
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.first: dict[bytes, bytes | None] = {}
+        self.later: dict[bytes, bytes | None] = {}  # pieces that follow a space, without it; None for those that can't be joined
+        self.marks = dict(zip(_ENDS, self._encode([chr(c) for c in _ENDS]), strict=True))
         self.most = cached
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("i", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = list(accumulate(map(len, ids), initial=0))
+        flat = array("i", chain.from_iterable(ids)).tobytes()
+        return [flat[4 * x : 4 * y] for x, y in pairwise(ends)]
+
+    def _special(self, pieces: Iterable[bytes]) -> set[bytes]:
+        whole = b" ".join(pieces)
+        return {p for s in self.special if s in whole for p in pieces if s in p}
 
     def _add(self, pieces: set[bytes]) -> None:
         """Adds pieces that follow a space; a closing mark after a letter is a token of its own, so what stands before it is looked up."""
-        cut = {p for p in pieces if len(p) > 1 and p[-1] in _ENDS and p[-2:-1].isalpha()}
+        odd = self._special(pieces) | {p for p in pieces if not p or p[0] < 33 or (p[0] > 127 and p.decode()[0].isspace())}
+        self.later.update(dict.fromkeys(odd))
+        pieces = pieces - odd
+        cut = {p for p in pieces if p[-1] in _ENDS and p[-2:-1].isalpha()}
         bare = list({*(pieces - cut), *(p[:-1] for p in cut)} - self.later.keys())
         self.later.update(zip(bare, self._encode([" " + p.decode() for p in bare]), strict=True))
         for p in cut:
             self.later[p] = self.later[p[:-1]] + self.marks[p[-1]]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text, 32-bit little-endian; null is an empty text."""
-        if not hasattr(self, "marks"):
-            self.marks = dict(zip(_ENDS, self._encode([chr(c) for c in _ENDS]), strict=True))
-        cut = [None if self.whole.search(t or "") else (t or "").encode().split(b" ") for t in texts]
-        later = set().union(*(c[1:] for c in cut if c))
+        split = [(t or b"").split(b" ") for t in texts]
+        heads = [ps.pop(0) for ps in split]
+        later = set().union(*split)
         if new := later - self.later.keys():
-            if len(self.later) + len(new) > self.most:
-                self.later.clear()
-                new = later
+            if len(self.later) + len(new) > self.most:  # what this batch uses stays
+                self.later = {p: self.later[p] for p in later - new}
             self._add(new)
         if len(self.first) > self.most // 10:
             self.first.clear()
-        if new := list({c[0] for c in cut if c} - self.first.keys()):
+        if new := list(set(heads) - self.first.keys()):
             self.first.update(zip(new, self._encode([p.decode() for p in new]), strict=True))
-        whole = iter(self._encode([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [next(whole) if c is None else self.first[c[0]] + b"".join(map(self.later.__getitem__, c[1:])) for c in cut]
+            self.first.update(dict.fromkeys(self._special(new)))
+        out = []
+        for text, head, pieces in zip(texts, heads, split, strict=True):
+            try:
+                out.append(b"".join([self.first[head], *map(self.later.__getitem__, pieces)]))
+            except TypeError:  # one of them is None
+                out.append(self._encode([text.decode()])[0])
+        return out
 
 
 @lru_cache(maxsize=1)
 def _worker_bpe(path: str) -> ByteBpe:
     """One encoder for all tasks of a Python worker, so that they share its cache."""
+    gc.set_threshold(1_000_000)  # many lists of ids are made and freed, none in cycles
     return ByteBpe(path)
 
 
@@ -96,7 +111,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2)
         bpe, part, at = _worker_bpe(tokenizer_path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<i4").tobytes()
         for b in batches:
-            ids = [x + end for x in bpe.encode(b.column(1).to_pylist())]
+            ids = [x + end for x in bpe.encode(b.column(1).cast(pa.binary()).to_pylist())]
             sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             ends = np.cumsum(sizes)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
