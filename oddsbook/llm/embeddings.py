@@ -63,9 +63,25 @@ def _codes(vectors: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
     return vectors.mapInArrow(run, f"id long, vector {dict(vectors.dtypes)['vector']}, n long, codes array<int>")
 
 
+def _joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """root, the least place of each place's tree, after the trees of the pairs of places (x, y) are joined."""
+    while True:
+        p, q = root[x], root[y]
+        apart = p != q
+        if not apart.any():
+            return root
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root != (up := root[root])).any():
+            root = up
+
+
 def _unit_links(ids: np.ndarray, vectors: np.ndarray, n: np.ndarray, codes: np.ndarray, table: int, low: np.ndarray, high: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """What one pair of blocks gives: link counts by row, and for each row the smallest id it links to (or its own)."""
-    links, least = np.zeros(len(ids), np.int64), ids.copy()
+    """What one pair of blocks gives: link counts by row, and for each row the smallest id that its new links reach, over other rows too."""
+    links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    order = np.argsort(ids, kind="stable")
+    place = np.empty_like(order)
+    place[order] = root
     a, b = np.flatnonzero(low), np.flatnonzero(high)
     close = vectors[a] @ vectors[b].T >= threshold
     if a is b or np.array_equal(a, b):
@@ -79,15 +95,14 @@ def _unit_links(ids: np.ndarray, vectors: np.ndarray, n: np.ndarray, codes: np.n
         new = ~(codes[x, :table] == codes[y, :table]).any(axis=1)
         x, y = x[new], y[new]
         np.add.at(links, x, n[y])
-        np.minimum.at(least, x, ids[y])
         if both:
             np.add.at(links, y, n[x])
-            np.minimum.at(least, y, ids[x])
-    return links, least
+        root = _joined(root, place[x], place[y])
+    return links, ids[order[root[place]]]
 
 
 def _links(coded: DataFrame, tables: int, threshold: float) -> DataFrame:
-    """(id, links, least): partial link counts of distinct vectors, and one linked id no larger than their own for each unit."""
+    """(id, links, least): partial link counts of distinct vectors, and the smallest id that the links of a unit connect them with; (id, least) span its links."""
     placed = coded.select("id", "vector", "n", "codes", F.posexplode("codes").alias("t", "code"), F.size("vector").alias("dim"))
     key = ["dim", "t", "code"]
     sizes = written(placed.groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")), "bucket-sizes")

@@ -323,6 +323,20 @@ def test_embeddings(spark, monkeypatch, block):
     assert embeddings.near_vectors(none(df)).count() == 0
 
 
+@pytest.mark.parametrize("block", [2, 2048])
+def test_embeddings_keep_chains_and_stars_connected(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    order = [3, 0, 6, 1, 7, 2, 5, 4]
+    chain = [(i, [math.cos(0.4 * k), math.sin(0.4 * k)]) for k, i in enumerate(order)]
+    hub = 10 + len(order)
+    star = [(hub, [0.0, 0.0, 1.0] + [0.0] * 8), *((10 + k, [0.0, 0.0, 1.0] + [0.42 * (j == k) for j in range(8)]) for k in range(len(order)))]
+    df = spark.createDataFrame(chain + star, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(df, recall=0.999999).collect()}
+    want = {i: (1 + (0 < k < len(order) - 1), 0, i == 0) for k, i in enumerate(order)}
+    want |= {i: (len(order) if i == hub else 1, 10, i == 10) for i, _ in star}
+    assert got == want
+
+
 # 3
 
 
