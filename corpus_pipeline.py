@@ -10,7 +10,7 @@ stage's docs. All but the last return the columns of docs:
 5. bpe: token ids of each whole text, and the text they decode to.
 
 Null ids: a row with a null doc_id is a document like others in stages 1, 2 and 5; in stage 3 it stays only if no row of its group
-has an id, and in stage 4 it stays only if it is clean. Empty tables pass through.
+has an id, and in stage 4 it stays only if it is clean. Benchmark rows with a null item_id are passages like others. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
     hit = found.where(decontaminate.is_contaminated(F.size("hits"), F.col("n_words"))).select(F.col("doc_id").alias("__doc")).distinct()
     return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left_anti")
 

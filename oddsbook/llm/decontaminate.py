@@ -153,39 +153,43 @@ class Shard:
         return places
 
 
-def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[tuple[int, list[tuple[str, list[bytes]]]]]:
-    """Blocks of items as (number of blocks, [(item_id as text, words)]) of about so many words at most, read one at a time."""
+def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> Iterator[tuple[int, list[tuple[str | None, list[bytes]]]]]:
+    """Blocks of items as (number of blocks, [(item_id as text, words)]) of about so many words at most, read one at a time.
+
+    Items with a null id are left out, unless unnamed is true.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), text.alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // (2 * block_words)))  # a word and its gap have two characters at least
     for i in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
-        yield n, [(r.item_id, w) for r in part if r.item_id is not None and (w := words(r.text.encode()))]
+        yield n, [(r.item_id, w) for r in part if (unnamed or r.item_id is not None) and (w := words(r.text.encode()))]
 
 
-def _matches(docs: DataFrame, items: DataFrame, schema: str, find, shard_words: int, block_words: int) -> list[DataFrame]:
+def _matches(docs: DataFrame, items: DataFrame, schema: str, find, shard_words: int, block_words: int, unnamed: bool = False) -> list[DataFrame]:
     """One table of find(shard, number, items) for each block of items."""
 
     def over(held: Broadcast):
         return lambda rows: find(Shard(rows), int(rows.shard.iloc[0]), held.value)
 
     out, index = [], None
-    for n, block in item_blocks(items, block_words):
+    for n, block in item_blocks(items, block_words, unnamed):
         if index is None:
             index = build_index(docs, sorted({w for _, ws in block for w in ws}) if n == 1 else None, shard_words)
         out.append(index.groupBy("shard").applyInPandas(over(docs.sparkSession.sparkContext.broadcast(block)), schema))
     return out
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 13, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 13, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> DataFrame:
     """(doc_id, n_words, hits, items) of every row of docs: the numbers of the words inside an occurrence of a window of an item, and those items.
 
     A window is `window` consecutive words of an item; an item of fewer, but not none, is one window. Null texts have no words,
-    items with a null id are left out, items of one id are one item. Rows of one doc_id are separate rows.
+    items of one id are one item. Items with a null id are left out, or with unnamed are hits like others and together one
+    item, a null in items. Rows of one doc_id are separate rows.
     """
 
-    def find(shard: Shard, number: int, block: list[tuple[str, list[bytes]]]) -> pd.DataFrame:
+    def find(shard: Shard, number: int, block: list[tuple[str | None, list[bytes]]]) -> pd.DataFrame:
         total = int(shard.starts[-1] + shard.sizes[-1]) + 1
         edges, of = np.zeros(total + 1, np.int64), [set() for _ in shard.docs]
         for item, ws in block:
@@ -197,9 +201,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, shard_wor
         hit = np.flatnonzero(np.cumsum(edges) > 0)
         ends = np.searchsorted(hit, [*shard.starts, total])
         hits = [hit[x:y] - s for x, y, s in zip(ends[:-1], ends[1:], shard.starts, strict=True)]
-        return pd.DataFrame({"shard": number, "place": range(len(of)), "doc_id": pd.array(shard.docs, "Int64"), "n_words": shard.sizes, "hits": hits, "items": [sorted(x) for x in of]})
+        return pd.DataFrame({"shard": number, "place": range(len(of)), "doc_id": pd.array(shard.docs, "Int64"), "n_words": shard.sizes, "hits": hits, "items": [sorted(x, key=lambda i: (i is not None, i)) for x in of]})
 
-    found = _matches(docs, items, "shard long, place long, doc_id long, n_words long, hits array<int>, items array<string>", find, shard_words, block_words)
+    found = _matches(docs, items, "shard long, place long, doc_id long, n_words long, hits array<int>, items array<string>", find, shard_words, block_words, unnamed)
     out = found[0]
     if len(found) > 1:
         for more in found[1:]:

@@ -7,13 +7,17 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from functools import partial
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
 
+import corpus_pipeline
 from oddsbook.llm import bpe, components, decontaminate, embeddings, licenses, lines, quality, simhash, substrings, tokencounts, tokenids
+from oddsbook.llm import queries as corpus_queries
 from oddsbook.llm.common import work_path
 from tests.llm.helpers import PASSAGE, clashing, documents, groups, none
 
@@ -197,6 +201,24 @@ def test_contamination(spark, docs, shard_words, block_words):
     assert len(empty) == docs.count() and not any(r.hits for r in empty)
 
 
+@pytest.mark.parametrize("block_words", [500_000, 4])
+def test_contamination_by_items_without_id(spark, tmp_path, monkeypatch, block_words):
+    monkeypatch.setattr(decontaminate, "contamination", partial(decontaminate.contamination, shard_words=50, block_words=block_words))
+    spark.createDataFrame([(1, "x one two three y"), (2, "four five six one two three"), (3, "seven"), (4, None), (5, "four five six")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, "one two three"), (None, "x one"), (8, "four five six"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(corpus_queries.ORACLES["op6_decontaminate"])
+    names = [d[0] for d in want.description]
+    want = want.fetchall()
+    assert multiset(corpus_queries.op6_decontaminate(spark, str(tmp_path)).select(*names).collect()) == multiset(want)
+    hit = {r[names.index("doc_id")] for r in want if r[names.index("contaminated")]}
+    assert hit == {1, 2, 5}
+    kept = corpus_pipeline.drop_contaminated(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == [3, 4]
+
+
 def test_phrases_and_proximity(spark):
     docs = spark.createDataFrame([(1, "a b c d a b c"), (2, "c x b y a"), (3, "a b"), (4, "c"), (5, None)], "doc_id long, text string")
     items = spark.createDataFrame([(7, "A, b c!")], "item_id long, text string")
