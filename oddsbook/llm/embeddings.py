@@ -161,12 +161,14 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, recall: float = 0.998,
     with probability `recall`, closer pairs with more, and none below it is. component_id is the smallest vec_id that links
     reach, itself included; kept is vec_id = component_id. Vectors that are null, empty, zero or have a null or
     non-finite component link with nothing; vectors of different length do not link. Rows of equal vectors are rows.
+    Rows with a null vec_id link with nothing either, as in the query's SQL: no links, and component_id and kept are null.
     """
     component = "float" if dict(rows.dtypes)["embedding"] == "array<float>" else "double"
     vector = F.transform("embedding", lambda x: x.cast(component) + F.lit(0.0).cast(component))  # -0.0 becomes 0.0
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
-    valid = rows.where(_valid(F.col("vector")))
-    distinct = written(valid.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).where("id IS NOT NULL").select("id", "vector", "n"), "vectors")
+    linked = F.col("vec_id").isNotNull() & F.coalesce(_valid(F.col("vector")), F.lit(False))
+    valid = rows.where(linked)
+    distinct = written(valid.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).select("id", "vector", "n"), "vectors")
     n = distinct.count()
     bits, tables = tables_for(n, threshold, recall)
     coded = written(_codes(distinct, bits, tables, seed), "coded")
@@ -176,5 +178,5 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, recall: float = 0.998,
     known = distinct.join(counts, "id", "left").join(joined, distinct.id == joined.node, "left")
     known = written(known.select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id")), "vector-known")
     found = valid.join(known, "vector").select("vec_id", "n_links", "component_id")
-    alone = rows.where(~F.coalesce(_valid(F.col("vector")), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = rows.where(~linked).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

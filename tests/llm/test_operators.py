@@ -359,6 +359,19 @@ def test_embeddings_keep_chains_and_stars_connected(spark, monkeypatch, block):
     assert got == want
 
 
+def test_embeddings_without_id(spark, tmp_path):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (None, [1.0, 0.05]), (3, [0.0, 1.0]), (4, [-1.0, 0.0]), (5, [0.0, 0.0])]
+    con = duckdb.connect()
+    for name, more in (("apart", []), ("equal", [(6, [1.0, 0.05])])):
+        df = spark.createDataFrame(rows + more, "vec_id long, embedding array<double>")
+        df.write.parquet(str(tmp_path / name))
+        con.execute(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+        want = con.execute(corpus_queries.ORACLES["op1_embedding_dedup"])
+        names = [d[0] for d in want.description]
+        assert multiset(embeddings.near_vectors(df, recall=0.999999).select(*names).collect()) == multiset(want.fetchall())
+    assert embeddings.near_vectors(df.unionByName(df.where("vec_id IS NULL"))).where("vec_id IS NULL AND n_links = 0 AND component_id IS NULL AND kept IS NULL").count() == 2
+
+
 # 3
 
 
