@@ -8,16 +8,17 @@ that the place of a document in the whole sequence needs only a sum per file.
 
 from __future__ import annotations
 
-import gc
+import json
 import os
+import re
 import zlib
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain, pairwise
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,77 +26,153 @@ from pyspark.sql import functions as F
 from oddsbook.llm.common import small_batches
 
 SCHEMA = "part int, at_token long, doc_id long, n_tokens int, ids array<int>"
-#: Pieces of text in a worker's cache.
-CACHED_PIECES = 600_000
-_ENDS = b".,;:!?|"
+#: Pieces of text in a worker's cache, and the ids of all of them; pieces that the library encodes in one text.
+CACHED_PIECES, CACHED_IDS, PIECES_AT_ONCE = 600_000, 8_000_000, 4_000
+_LETTER, _DIGIT, _MARK, _WIDE, _BLANK = 1, 2, 3, 4, 5
+_KIND = np.array([_BLANK if c in (9, 10, 11, 12, 13, 32) else 0 if c < 32 or c == 127 else _WIDE if c > 127 else _LETTER if chr(c).isalpha() else _DIGIT if chr(c).isdigit() else _MARK for c in range(256)], np.uint8)
+#: First bytes of characters that are never white space: printable ASCII, and beyond it those that no white space begins with.
+_SOLID = (_KIND > 0) & (_KIND < _BLANK) & ~np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+_JOINED = re.compile(rb"( ?)[\x21-\x7e\x80-\xc1\xc3-\xe0\xe4-\xff][^\x00-\x20\x7f]*")
 
 
 class ByteBpe:
     """Encodes texts with the tokenizers library, each distinct piece once as long as it stays in the cache.
 
-    A byte-level pre-tokenizer always cuts before a space, unless white space follows it; so a text is cut before its spaces and
-    the ids of the pieces are joined. A text is encoded whole if a piece is empty, begins with white space or has a special token.
+    The pre-tokenizer of a byte-level file takes runs of letters, of digits or of other marks with a space before them, contractions
+    after an apostrophe, and white space, of which it leaves the last character to what follows. So it always cuts
+    before a space and around a line end that a solid character follows, and between ASCII letters, digits and marks (but not after an
+    apostrophe). There texts are cut into pieces and the ids of the pieces are joined. A text with a special token is one piece, and
+    so are all texts where the file has another pre-tokenizer or a normaliser.
     """
 
-    def __init__(self, path: str, cached: int = CACHED_PIECES):
+    def __init__(self, path: str, cached: int = CACHED_PIECES, cached_ids: int = CACHED_IDS):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.library = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.first: dict[bytes, bytes | None] = {}
-        self.later: dict[bytes, bytes | None] = {}  # pieces that follow a space, without it; None for those that can't be joined
-        self.marks = dict(zip(_ENDS, self._encode([chr(c) for c in _ENDS]), strict=True))
-        self.most = cached
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        ends = list(accumulate(map(len, ids), initial=0))
-        flat = array("i", chain.from_iterable(ids)).tobytes()
-        return [flat[4 * x : 4 * y] for x, y in pairwise(ends)]
-
-    def _special(self, pieces: Iterable[bytes]) -> set[bytes]:
-        whole = b" ".join(pieces)
-        return {p for s in self.special if s in whole for p in pieces if s in p}
-
-    def _add(self, pieces: set[bytes]) -> None:
-        """Adds pieces that follow a space; a closing mark after a letter is a token of its own, so what stands before it is looked up."""
-        odd = self._special(pieces) | {p for p in pieces if not p or p[0] < 33 or (p[0] > 127 and p.decode()[0].isspace())}
-        self.later.update(dict.fromkeys(odd))
-        pieces = pieces - odd
-        cut = {p for p in pieces if p[-1] in _ENDS and p[-2:-1].isalpha()}
-        bare = list({*(pieces - cut), *(p[:-1] for p in cut)} - self.later.keys())
-        self.later.update(zip(bare, self._encode([" " + p.decode() for p in bare]), strict=True))
-        for p in cut:
-            self.later[p] = self.later[p[:-1]] + self.marks[p[-1]]
+        state = json.loads(self.library.to_str())
+        before = state["pre_tokenizer"] or {}
+        self.cuts = state["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.spaced = np.array([t is not None and t.startswith("\u0120") for t in map(self.library.id_to_token, range(self.library.get_vocab_size()))])
+        self.line_end = self._encode(["\n"])[0]
+        self.most, self.most_ids = cached, cached_ids
+        self.places: dict[bytes, int] = {}
+        self.starts, self.sizes, self.uses = (np.zeros(1024, np.int64) for _ in range(3))
+        self.ids, self.held = np.zeros(1 << 16, np.int32), 0
+
+    def _forget(self) -> None:
+        """Keeps the pieces that several batches used; if these are over half of what may be held, nothing."""
+        kept = [(p, i) for p, i in self.places.items() if self.uses[i] > 1]
+        at = np.fromiter((i for _, i in kept), np.int64, count=len(kept))
+        sizes = self.sizes[at]
+        if 2 * len(kept) > self.most or 2 * sizes.sum() > self.most_ids:
+            kept, at, sizes = [], at[:0], sizes[:0]
+        ends = np.cumsum(sizes)
+        flat = self.ids[np.arange(sizes.sum()) + np.repeat(self.starts[at] - (ends - sizes), sizes)]
+        self.places = {p: i for i, (p, _) in enumerate(kept)}
+        self.starts, self.sizes, self.uses = (np.concatenate([x, np.zeros(1024, np.int64)]) for x in (ends - sizes, sizes, np.zeros(len(kept), np.int64)))
+        self.ids, self.held = np.concatenate([flat, np.zeros(1 << 16, np.int32)]), len(flat)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, pieces: list[bytes], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces that all begin with a space, or all follow a line end, encoded as one text; and their sizes."""
+        flat = self._encode([(b"" if spaced else b"\n").join(pieces).decode("utf-8", "replace")])[0]
+        if spaced:
+            first = np.flatnonzero(self.spaced[flat])
+            sizes = np.diff(first, append=len(flat))
+        else:
+            apart = np.flatnonzero(flat == self.line_end[0])
+            sizes = np.diff(apart, prepend=-1, append=len(flat)) - 1
+            flat = np.delete(flat, apart)
+        if len(sizes) != len(pieces):  # can only be where a file's tokens go beyond its pre-tokenizer's cuts
+            return self._apart(pieces)
+        return flat, sizes
+
+    def _apart(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._encode([p.decode("utf-8", "replace") for p in pieces])
+        return np.concatenate([*ids, np.empty(0, np.int32)]), np.fromiter(map(len, ids), np.int64, count=len(ids))
+
+    def _add(self, pieces: list[bytes]) -> np.ndarray:
+        """Encodes pieces that are not in the cache and appends them to it; their places."""
+        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for i, p in enumerate(pieces):
+            m = _JOINED.fullmatch(p) if self.cuts else None
+            kinds[2 if m is None else 1 if m.end(1) else 0].append(i)
+        places = np.empty(len(pieces), np.int64)
+        for kind, own in enumerate(kinds):
+            for at in range(0, len(own), PIECES_AT_ONCE):
+                which = own[at : at + PIECES_AT_ONCE]
+                part = [pieces[i] for i in which]
+                flat, sizes = self._apart(part) if kind == 2 else self._together(part, kind == 1)
+                n = len(self.places)
+                if self.held + len(flat) > len(self.ids):
+                    self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.int32)])
+                if n + len(part) > len(self.starts):
+                    more = np.zeros(max(len(self.starts), len(part)), np.int64)
+                    self.starts, self.sizes, self.uses = (np.concatenate([x, more]) for x in (self.starts, self.sizes, self.uses))
+                self.places.update(zip(part, range(n, n + len(part)), strict=True))
+                places[which] = np.arange(n, n + len(part))
+                self.ids[self.held : self.held + len(flat)] = flat
+                self.sizes[n : n + len(part)] = sizes
+                self.starts[n : n + len(part)] = self.held + np.cumsum(sizes) - sizes
+                self.held += len(flat)
+        return places
+
+    def _pieces(self, texts: pa.Array, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of the texts begin in their bytes, with the end of the last; and how many pieces stand before each text's end."""
+        mark = np.zeros(len(data) + 1, bool)
+        if self.cuts and len(data) > 1:
+            kind, solid = _KIND[data], _SOLID[data]
+            solid[ends[(ends > 0) & (ends < len(data))]] = False  # the first character of a text follows nothing
+            a, b = kind[:-1], kind[1:]
+            mark[1:-1] = (a != b) & (a > 0) & (b > 0) & (np.maximum(a, b) < _WIDE) & ~((data[:-1] == 39) & (b == _LETTER))
+            mark[:-2] |= (data[:-1] == 32) & solid[1:]
+            line = np.flatnonzero((data[:-1] == 10) & solid[1:])
+            mark[line] = mark[line + 1] = True
+            for s in self.special:
+                for i in np.flatnonzero(pc.match_substring(texts, s.encode())).tolist():
+                    mark[ends[i] + 1 : ends[i + 1]] = False
+        mark[ends] = True
+        mark[len(data)] = True
+        starts = np.flatnonzero(mark)
+        return starts, np.searchsorted(starts, ends)
+
+    def encode_array(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts (a binary array without nulls), text after text, and where each begins, with the end; end_id is appended to each."""
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        starts, counts = self._pieces(texts, data, ends)
+        found = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        names, cut = found.dictionary.buffers()[2], np.frombuffer(found.dictionary.buffers()[1], np.int32)[: len(found.dictionary) + 1].tolist()
+        names = names.to_pybytes() if names else b""
+        distinct = [names[x:y] for x, y in pairwise(cut)]
+        if len(self.places) + len(distinct) > self.most or self.held > self.most_ids:
+            self._forget()
+        known = np.fromiter(map(self.places.get, distinct, repeat(-1)), np.int64, count=len(distinct))
+        new = np.flatnonzero(known < 0)
+        known[new] = self._add([distinct[i] for i in new.tolist()])
+        self.uses[known] += 1
+        place = known[found.indices.to_numpy()]
+        sizes, starts, flat = self.sizes[place], self.starts[place], self.ids[: self.held]
+        if end_id is not None:
+            sizes, starts, flat = np.insert(sizes, counts[1:], 1), np.insert(starts, counts[1:], self.held), np.append(flat, np.int32(end_id))
+            counts = counts + np.arange(len(counts))
+        to = np.concatenate([[0], np.cumsum(sizes)])
+        return flat[np.arange(to[-1]) + np.repeat(starts - to[:-1], sizes)], to[counts]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text, 32-bit little-endian; null is an empty text."""
-        split = [(t or b"").split(b" ") for t in texts]
-        heads = [ps.pop(0) for ps in split]
-        later = set().union(*split)
-        if new := later - self.later.keys():
-            if len(self.later) + len(new) > self.most:  # what this batch uses stays
-                self.later = {p: self.later[p] for p in later - new}
-            self._add(new)
-        if len(self.first) > self.most // 10:
-            self.first.clear()
-        if new := list(set(heads) - self.first.keys()):
-            self.first.update(zip(new, self._encode([p.decode() for p in new]), strict=True))
-            self.first.update(dict.fromkeys(self._special(new)))
-        out = []
-        for text, head, pieces in zip(texts, heads, split, strict=True):
-            try:
-                out.append(b"".join([self.first[head], *map(self.later.__getitem__, pieces)]))
-            except TypeError:  # one of them is None
-                out.append(self._encode([text.decode()])[0])
-        return out
+        ids, ends = self.encode_array(pa.array([t or b"" for t in texts], pa.binary()))
+        return [ids[x:y].astype("<i4").tobytes() for x, y in pairwise(ends.tolist())]
 
 
 @lru_cache(maxsize=1)
 def _worker_bpe(path: str) -> ByteBpe:
     """One encoder for all tasks of a Python worker, so that they share its cache."""
-    gc.set_threshold(1_000_000)  # many lists of ids are made and freed, none in cycles
     return ByteBpe(path)
 
 
@@ -109,14 +186,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, at = _worker_bpe(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<i4").tobytes()
         for b in batches:
-            ids = [x + end for x in bpe.encode(b.column(1).cast(pa.binary()).to_pylist())]
-            sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            ends = np.cumsum(sizes)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(at + ends - sizes), b.column(0), pa.array(sizes.astype(np.int32)), lists], ["part", "at_token", "doc_id", "n_tokens", "ids"])
-            at += int(ends[-1]) if len(ends) else 0
+            ids, ends = bpe.encode_array(b.column(1).cast(pa.binary()).fill_null(b""), end_id)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), part, np.int32)), pa.array(at + ends[:-1]), b.column(0), pa.array(np.diff(ends).astype(np.int32)), lists], ["part", "at_token", "doc_id", "n_tokens", "ids"])
+            at += int(ends[-1])
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     coded = dealt.mapInArrow(run, SCHEMA)

@@ -257,6 +257,33 @@ def test_token_ids_of_nothing(spark):
     assert tokenids.token_index(spark, out).count() == 0
 
 
+def rows_read(df):
+    """Rows that the scans of a collected plan handed on."""
+    out, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if node.nodeName().startswith("Scan"):
+            out += node.metrics().apply("numOutputRows").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_indexes_and_bloom_filters_skip_rows(spark):
+    """Ids are even: one that is there is read with its row group alone, one between them is stopped by the Bloom filters."""
+    docs = spark.range(0, 40_000, 2).selectExpr("id AS doc_id", "concat('text ', id) AS text").coalesce(1)
+    out = work_path(spark, "ids")
+    tokenids.write_ids(docs, out, public_tokenizers.path("byte_bpe_50k.json"))
+    for wanted, found, most in ((20_000, 1, 2000), (20_001, 0, 0)):
+        df = tokenids.read_ids(spark, out).where(f"doc_id = {wanted}").select("doc_id")
+        assert len(df.collect()) == found
+        assert rows_read(df) <= most
+    whole = tokenids.read_ids(spark, out).select("doc_id")
+    whole.collect()
+    assert rows_read(whole) == 20_000
+
+
 def odd_texts():
     rng = random.Random(4)
     parts = ["the", "don't", "I'LL", " ", "  ", "\n", "\t", " \n", ".", "..", "é", "É", "ß", "Σς", "İ", "日本", "😀", " ", "　", "́", "<|endoftext|>", "<|startoftext|>", "123", "½", "\x1c", "\x85", "ab.", "x" * 40, "_", "'s"]
