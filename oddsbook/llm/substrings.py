@@ -2,16 +2,20 @@
 
 A window is `length` consecutive words; a word goes if a window over it also starts in a document with a smaller doc_id.
 
-Automata of the whole corpus cannot be broadcast, as they grow with it, and every document against every shard is
-quadratic. So the windows are dealt to shards by content: a window's anchor is the least hash of its ANCHOR_WORDS-word
-shingles, equal windows have equal anchors, and neighbouring windows mostly share theirs, so that a document is cut into
-segments of windows with one anchor. Only anchors of two or more documents go on. Equal segments are one row (the
-smallest doc_id has its words; in all other documents the whole segment is a repeat). The different segments of an anchor
-go to one shard, whose suffix automaton knows, for every substring, the smallest doc_id that has it; the segments are
-streamed through it for their matching statistics, and the windows matched over the full length in a smaller doc_id are repeats.
-
-An anchor with more than SEGMENTS_IN_SHARD different segments (a passage that very many documents share, each with other words
-around it) is not gathered in a task: its windows are counted one by one under a 128-bit key instead, which is exact as well.
+against_reference() is the plain form: automata of the shards of a reference table are broadcast round by round and all documents
+are streamed through each for their matching statistics. Its work is documents times shards, so it suits a bounded reference.
+
+substring_dedup() has the corpus itself as reference, where that would be quadratic. So the windows are dealt to shards by
+content: a window's anchor is the least hash of its ANCHOR_WORDS-word shingles, equal windows have equal anchors, and
+neighbouring windows mostly share theirs, so that a document is cut into segments of windows with one anchor. Only anchors
+of two or more documents go on. Equal segments are one row (the smallest doc_id has its words; in all other documents the whole
+segment is a repeat). The different segments of an anchor go to one shard, whose suffix automaton knows, for every substring, the
+smallest doc_id that has it; the segments are streamed through it for their matching statistics, and the windows matched over the
+full length in a smaller doc_id are repeats.
+
+A shard has a bounded number of words. An anchor whose different segments have more (a passage that very many documents share, each
+with other words around it) is split by its windows: the whole window becomes the anchor, so that equal windows alone stand
+together, and again equal ones are one row. Segments and windows are equal if two independent 64-bit hashes of their words are.
 """
 
 from __future__ import annotations
@@ -26,18 +30,18 @@ from pyspark.sql import functions as F
 
 from oddsbook.llm.common import small_batches, written
 
-ANCHOR_WORDS, SEGMENTS_IN_SHARD, SHARD_WORDS = 12, 1000, 20_000
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Words of a shingle, windows of a segment at most, words of a shard, and of a shard of a reference that is broadcast.
+ANCHOR_WORDS, SEGMENT_WINDOWS, SHARD_WORDS, REFERENCE_WORDS = 12, 1000, 20_000, 100_000
+_BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
 class _Hashes(dict):
-    """XXH64 of words, each computed once."""
+    """128-bit XXH3 of words, each computed once."""
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
+    def __missing__(self, word: bytes) -> bytes:
+        from xxhash import xxh3_128_digest
 
-        self[word] = value = xxh64_intdigest(word)
+        self[word] = value = xxh3_128_digest(word)
         return value
 
 
@@ -54,45 +58,50 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the base and its inverse modulo 2^64, as far as a text needed them."""
+    """Powers of a base and its inverse modulo 2^64, as far as a text needed them."""
 
-    def __init__(self):
+    def __init__(self, base: int):
+        self.factors = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.up):
             size = max(n, 2 * len(self.up))
-            self.up, self.down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, f, np.uint64)])) for f in (_BASE, _INVERSE))
+            self.up, self.down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, f, np.uint64)])) for f in self.factors)
         return self.up[:n], self.down[:n]
 
 
-_POWERS = _Powers()
+_POWERS = [_Powers(b) for b in _BASES]
 
 
 class Rolled:
-    """Hashes of any run of words of a text, from sums of prefixes."""
+    """Two independent 64-bit hashes of any run of words of a text, from sums of prefixes."""
 
     def __init__(self, words: list[bytes]):
         known = _word_hashes()
         if len(known) > 500_000:
             known.clear()
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, count=len(words))
-        up, self.down = _POWERS.get(len(words) + 1)
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up[:-1], dtype=np.uint64)])
+        h = np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint64).reshape(-1, 2)
+        self.sums, self.down = [], []
+        for lane, powers in enumerate(_POWERS):
+            up, down = powers.get(len(words) + 1)
+            self.sums.append(np.concatenate([[np.uint64(0)], np.cumsum(h[:, lane] * up[:-1], dtype=np.uint64)]))
+            self.down.append(down)
 
-    def run(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+    def run(self, start: np.ndarray, end: np.ndarray, lane: int) -> np.ndarray:
+        sums = self.sums[lane]
+        return _mixed((sums[end] - sums[start]) * self.down[lane][start] + (end - start).astype(np.uint64))
 
     def grams(self, n: int) -> np.ndarray:
-        at = np.arange(len(self.sums) - n)
-        return self.run(at, at + n)
+        at = np.arange(len(self.sums[0]) - n)
+        return self.run(at, at + n, 0)
 
 
-def segments(words: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The segments of a text: anchor, hash of their words, first window, number of windows."""
+def segments(words: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """The segments of a text: anchor, two hashes of their words, first window, number of windows."""
     n = len(words) - length + 1
     if n < 1:
-        return (np.empty(0, np.int64),) * 4
+        return (np.empty(0, np.int64),) * 5
     rolled = Rolled(words)
     size = min(ANCHOR_WORDS, length)
     least, width, wanted = rolled.grams(size), 1, length - size + 1
@@ -103,7 +112,13 @@ def segments(words: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
         least = np.minimum(least[: n], least[wanted - width : wanted - width + n])
     start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     count = np.diff(np.concatenate([start, [n]]))
-    return least[start].view(np.int64), rolled.run(start, start + count + length - 1).view(np.int64), start, count
+    if count.max() > SEGMENT_WINDOWS:  # the same words over and over: cut evenly from the first
+        more = (count - 1) // SEGMENT_WINDOWS
+        nth = np.arange(len(start) + more.sum()) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+        start = np.repeat(start, more + 1) + nth * SEGMENT_WINDOWS
+        count = np.diff(np.concatenate([start, [n]]))
+    h1, h2 = (rolled.run(start, start + count + length - 1, lane).view(np.int64) for lane in (0, 1))
+    return least[start].view(np.int64), h1, h2, start, count
 
 
 class Automaton:
@@ -174,40 +189,50 @@ class Automaton:
         return out
 
 
+def _columns(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+
 def _segments(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0).to_numpy(), b.column(2).cast(pa.binary()).to_pylist()
-            keys = b.column(1).to_numpy()
-            parts = [segments(t.split(), length) for t in texts]
+            parts = [segments(t.split(), length) for t in b.column(2).cast(pa.binary()).to_pylist()]
             times = [len(p[0]) for p in parts]
-            cols = [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, times)), pa.array(np.repeat(keys, times)), pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], ["doc", "body", "anchor", "words_hash", "at", "n"])
+            cols = [np.concatenate([np.empty(0, np.int64), *(p[i] for p in parts)]) for i in range(5)]
+            own = [pa.array(np.repeat(b.column(i).to_numpy(), times)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, cols[:3]), *(pa.array(c.astype(np.int32)) for c in cols[3:])], ["doc", "body", "anchor", "h1", "h2", "at", "n"])
 
-    return docs.mapInArrow(run, "doc long, body long, anchor long, words_hash long, at int, n int")
+    return docs.mapInArrow(run, "doc long, body long, anchor long, h1 long, h2 long, at int, n int")
 
 
 def _taken(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """What the wanted segments of each document consist of: their words, or one row for each window if their anchor is hot."""
+    """What the wanted segments of each document consist of: their words, or where split is set a row for each window with its hashes."""
+    names, kinds = ["anchor", "h1", "h2", "doc", "body", "at", "words"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for doc, body, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
                 words = text.split()
-                rolled = Rolled(words) if any(w["hot"] for w in own) else None
+                rolled = Rolled(words) if any(w["split"] for w in own) else None
                 for w in own:
-                    if not w["hot"]:
-                        out.append((w["anchor"], None, doc, body, w["at"], b" ".join(words[w["at"] : w["at"] + w["n"] + length - 1])))
+                    if not w["split"]:
+                        out.append((w["anchor"], None, None, doc, body, w["at"], b" ".join(words[w["at"] : w["at"] + w["n"] + length - 1])))
                     else:
                         at = np.arange(w["at"], w["at"] + w["n"])
-                        out += [(w["anchor"], h, doc, body, a, None) for h, a in zip(rolled.run(at, at + length).view(np.int64).tolist(), at.tolist(), strict=True)]
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "window", "doc", "body", "at", "words"])
+                        h1, h2 = (rolled.run(at, at + length, lane).view(np.int64).tolist() for lane in (0, 1))
+                        out += [(None, x, y, doc, body, a, None) for x, y, a in zip(h1, h2, at.tolist(), strict=True)]
+            yield _columns(out, names, kinds)
+
+    asked = wanted.groupBy("doc", "body").agg(F.collect_list(F.struct("anchor", "at", "n", "split")).alias("own"))
+    return docs.join(asked, ["doc", "body"]).select("doc", "body", "text", "own").mapInArrow(run, "anchor long, h1 long, h2 long, doc long, body long, at int, words binary")
 
-    asked = wanted.groupBy("doc", "body").agg(F.collect_list(F.struct("anchor", "at", "n", "hot")).alias("own"))
-    return docs.join(asked, ["doc", "body"]).select("doc", "body", "text", "own").mapInArrow(run, "anchor long, window long, doc long, body long, at int, words binary")
+
+def _runs(starts: list[int]) -> list[tuple[int, int]]:
+    """Ascending numbers as runs (first, how many)."""
+    at = np.array(starts, np.int64)
+    return [(int(r[0]), len(r)) for r in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1) if len(r)]
 
 
 def _matched(taken: DataFrame, length: int) -> DataFrame:
@@ -220,14 +245,11 @@ def _matched(taken: DataFrame, length: int) -> DataFrame:
         automaton.finish()
         out = []
         for doc, body, at, words in split:
-            starts = np.array(automaton.repeats(words, doc, length), np.int64)
-            for run in np.split(starts, np.flatnonzero(np.diff(starts) != 1) + 1) if len(starts) else []:
-                out.append((doc, body, at + int(run[0]), len(run)))
+            out += [(doc, body, at + first, n) for first, n in _runs(automaton.repeats(words, doc, length))]
         return out
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*shard(rows), strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], ["doc", "body", "at", "n"])
+        return _columns(shard(rows), ["doc", "body", "at", "n"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -242,27 +264,40 @@ def _matched(taken: DataFrame, length: int) -> DataFrame:
         if held:
             yield batch(held)
 
-    dealt = taken.where("window IS NULL").select("anchor", "doc", "body", "at", "words").repartition("anchor").sortWithinPartitions("anchor", "doc")
+    dealt = taken.where("anchor IS NOT NULL").select("anchor", "doc", "body", "at", "words").repartition("anchor").sortWithinPartitions("anchor", "doc")
     return dealt.mapInArrow(run, "doc long, body long, at int, n int")
 
 
-def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
+def shards(found: DataFrame, length: int, shard_words: int) -> tuple[DataFrame, DataFrame]:
+    """From segments of anchors that several documents have: those that equal one of a smaller doc, as (doc, body, at, n), and the different ones of
+    anchors that have several, with `split` where those of an anchor have more than shard_words words."""
+    key = ["anchor", "h1", "h2", "n"]
+    first = F.min(F.struct("doc", "body", "at")).alias("first")
+    distinct = written(found.groupBy(*key).agg(first).select(*key, F.col("first.doc").alias("doc"), F.col("first.body").alias("body"), F.col("first.at").alias("at")), "distinct-segments")
+    copies = found.join(distinct.select(*key, F.col("doc").alias("owner")), key).where("doc > owner").select("doc", "body", "at", "n")
+    words = F.sum(F.col("n") + (length - 1))
+    several = written(distinct.groupBy("anchor").agg(F.count("*").alias("k"), words.alias("w")).where("k > 1").select("anchor", (F.col("w") > shard_words).alias("split")), "several")
+    return copies, distinct.join(several, "anchor")
+
+
+def repeated_windows(docs: DataFrame, length: int, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc, body, at, n): runs of n windows from word `at` on that documents with a smaller doc share, for docs (doc, body, text)."""
     found = written(_segments(docs, length), "segments")
     shared = written(found.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("anchor"), "anchors")
     found = written(found.join(shared, "anchor"), "shared-segments")
-    key = ["anchor", "words_hash", "n"]
-    first = F.min(F.struct("doc", "body", "at")).alias("first")
-    distinct = written(found.groupBy(*key).agg(first).select(*key, F.col("first.doc").alias("doc"), F.col("first.body").alias("body"), F.col("first.at").alias("at")), "distinct-segments")
-    copies = found.join(distinct.select(*key, F.col("doc").alias("owner")), key).where("doc > owner").select("doc", "body", "at", "n")
-    several = written(distinct.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor", (F.col("k") > SEGMENTS_IN_SHARD).alias("hot")), "several")
-    taken = written(_taken(docs, distinct.join(several, "anchor"), length), "taken")
-    windows = taken.where("window IS NOT NULL")
-    owners = written(windows.groupBy("anchor", "window").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").drop("last"), "windows")
-    single = windows.join(owners, ["anchor", "window"]).where("doc > owner").select("doc", "body", "at", F.lit(1).alias("n"))
+    copies, different = shards(found, length, shard_words)
+    taken = written(_taken(docs, different, length), "taken")
+    windows = taken.where("anchor IS NULL")
+    owners = written(windows.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").drop("last"), "windows")
+    single = windows.join(owners, ["h1", "h2"]).where("doc > owner").select("doc", "body", "at", F.lit(1).alias("n"))
     return copies.unionByName(_matched(taken, length)).unionByName(single)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(body).alias("body"), body.alias("text"))
+
+
 def substring_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, n_words, n_removed, text) of every row of docs: text is what is left of its words, joined by one space.
 
@@ -271,9 +306,45 @@ def substring_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     other; rows with a null doc_id lose and take nothing. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(body).alias("body"), body.alias("text"))
-    gone = repeated_windows(rows.where("doc IS NOT NULL"), length).groupBy("doc", "body").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    rows = _rows(docs)
+    return _without(rows, repeated_windows(rows.where("doc IS NOT NULL"), length), length)
+
+
+def against_reference(docs: DataFrame, reference: DataFrame, length: int = 50, shard_words: int = REFERENCE_WORDS) -> DataFrame:
+    """The same for windows that a row of reference (doc_id, text) with a smaller doc_id has; a null doc_id there is below all others, one in docs above.
+
+    The automata of the reference are broadcast shard by shard, each about shard_words words and made of whole rows, and all documents are
+    streamed through each: for a reference of bounded size. Documents and reference may be null, empty or long texts, or none.
+    """
+    small_batches(docs.sparkSession)
+    rows, known = _rows(docs), _rows(reference)
+    total = known.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = -(-total // (6 * shard_words))  # words of five letters and a space
+    spark, spans = docs.sparkSession, None
+    lowest, highest = -(1 << 63), (1 << 63) - 1
+    for i in range(n):
+        automaton = Automaton()
+        for r in known.where(F.pmod("body", F.lit(n)) == i).collect():
+            automaton.add(r.text.encode().split(), lowest if r.doc is None else r.doc)
+        automaton.finish()
+        held = spark.sparkContext.broadcast(automaton)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out: list[tuple] = []
+                for doc, body, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                    out += [(doc, body, *r) for r in _runs(held.value.repeats(text.split(), highest if doc is None else doc, length))]
+                yield _columns(out, ["doc", "body", "at", "n"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
+
+        found = written(rows.mapInArrow(run, "doc long, body long, at int, n int"), "reference-spans")
+        held.destroy()
+        spans = found if spans is None else spans.unionByName(found)
+    return _without(rows, spans if n else spark.createDataFrame([], "doc long, body long, at int, n int"), length)
+
+
+def _without(rows: DataFrame, spans: DataFrame, length: int) -> DataFrame:
+    """(doc_id, n_words, n_removed, text) of rows without the words that the windows of the spans cover."""
+    gone = spans.groupBy(F.col("doc").alias("of"), F.col("body").alias("hash")).agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -290,4 +361,5 @@ def substring_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
                 texts.append(b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k] if removed[-1] else words))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "text"])
 
-    return rows.join(gone, ["doc", "body"], "left").select("doc", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
+    same = F.col("doc").eqNullSafe(F.col("of")) & (F.col("body") == F.col("hash"))
+    return rows.join(gone, same, "left").select("doc", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")

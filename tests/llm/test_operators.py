@@ -14,6 +14,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from oddsbook.llm import bpe, components, decontaminate, embeddings, licenses, lines, quality, simhash, substrings, tokencounts, tokenids
@@ -145,9 +146,10 @@ def test_substrings(docs, length):
     assert multiset(got) == substring_brute([(r.doc_id, r.text) for r in docs.collect()], length)
 
 
-@pytest.mark.parametrize("most", [1, 1000])
+@pytest.mark.parametrize("most", [1, 300, 20_000])
 def test_substrings_of_hot_passages(spark, monkeypatch, most):
-    monkeypatch.setattr(substrings, "SEGMENTS_IN_SHARD", most)
+    """However many words a shard may have: all anchors split, some, and none."""
+    monkeypatch.setattr(substrings, "repeated_windows", partial(substrings.repeated_windows, shard_words=most))
     rng = random.Random(2)
     pool = [[f"p{i}x{j}" for j in range(rng.randint(20, 40))] for i in range(6)]
     rows = []
@@ -164,6 +166,34 @@ def test_substrings_of_hot_passages(spark, monkeypatch, most):
     assert substrings.substring_dedup(none(docs)).count() == 0
 
 
+def test_shards_are_bounded_by_words(spark):
+    """A passage in 1,000 documents, each with other long texts around it, and periodic texts of all lengths."""
+    rng = random.Random(3)
+    passage = " ".join(f"p{j}" for j in range(70))
+    around = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(200))
+    rows = [(i, f"{around()} {passage} {around()}") for i in range(1000)]
+    rows += [(2000 + i, "to and fro " * (400 + 40 * i)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = substrings._segments(substrings._rows(docs), 50)
+    _, different = substrings.shards(found, 50, substrings.SHARD_WORDS)
+    words = {(r.anchor, r.split): r.w for r in different.groupBy("anchor", "split").agg(F.sum(F.col("n") + 49).alias("w")).collect()}
+    assert any(split for _, split in words) and all(w <= substrings.SHARD_WORDS for (_, split), w in words.items() if not split)
+    assert found.agg(F.max("n")).first()[0] <= substrings.SEGMENT_WINDOWS
+    got = substrings.substring_dedup(docs).select("doc_id", "n_words", "n_removed", "text").collect()
+    assert multiset(got) == substring_brute(rows, 50)
+
+
+@pytest.mark.parametrize("shard_words", [4_000, 100_000])
+def test_against_reference(docs, shard_words):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = substrings.against_reference(docs, docs.where("doc_id IS NOT NULL"), 5, shard_words).select("doc_id", "n_words", "n_removed", "text").collect()
+    some = [i for i, _ in rows if i is not None]
+    assert multiset(r for r in got if r.doc_id is not None) == Counter(k for k in substring_brute(rows, 5).elements() if k[0] in some)
+    assert {(r.n_removed, r.text) for r in got if r.doc_id is None} == {(60, ""), (0, "")}
+    assert substrings.against_reference(docs, none(docs), 5).where("n_removed > 0").count() == 0
+    assert substrings.against_reference(none(docs), docs, 5).count() == 0
+
+
 # 6
 
 
