@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 from oddsbook.llm.common import small_batches, written
 
-#: Words of a shingle, windows of a segment at most, words of a shard, and of a shard of a reference that is broadcast.
-ANCHOR_WORDS, SEGMENT_WINDOWS, SHARD_WORDS, REFERENCE_WORDS = 12, 1000, 20_000, 100_000
+#: Words of a shingle, windows of a segment at most, and words of a shard of a reference that is broadcast.
+ANCHOR_WORDS, SEGMENT_WINDOWS, REFERENCE_WORDS = 12, 1000, 100_000
+#: Words that one anchor's automaton may have (half a kilobyte of memory each), and up to which small anchors are gathered in one.
+SHARD_WORDS, GATHERED_WORDS = 200_000, 20_000
 _BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
@@ -256,7 +258,7 @@ def _matched(taken: DataFrame, length: int) -> DataFrame:
         words = 0
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if words >= SHARD_WORDS and row[0] != held[-1][0]:  # whole anchors only
+                if words >= GATHERED_WORDS and row[0] != held[-1][0]:  # whole anchors only
                     yield batch(held)
                     held, words = [], 0
                 held.append(row)

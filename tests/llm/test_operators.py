@@ -167,12 +167,12 @@ def test_substrings_of_hot_passages(spark, monkeypatch, most):
 
 
 def test_shards_are_bounded_by_words(spark):
-    """A passage in 1,000 documents, each with other long texts around it, and periodic texts of all lengths."""
+    """A passage in 2,600 documents, each with other long texts around it, and periodic texts of all lengths."""
     rng = random.Random(3)
     passage = " ".join(f"p{j}" for j in range(70))
-    around = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(200))
-    rows = [(i, f"{around()} {passage} {around()}") for i in range(1000)]
-    rows += [(2000 + i, "to and fro " * (400 + 40 * i)) for i in range(20)]
+    around = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(60))
+    rows = [(i, f"{around()} {passage} {around()}") for i in range(2600)]
+    rows += [(5000 + i, "to and fro " * (400 + 40 * i)) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = substrings._segments(substrings._rows(docs), 50)
     _, different = substrings.shards(found, 50, substrings.SHARD_WORDS)
