@@ -402,6 +402,23 @@ def test_embeddings(spark, monkeypatch, block):
     assert embeddings.near_vectors(none(df)).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 2048])
+def test_embedding_recall_at_the_default(spark, monkeypatch, block):
+    """Clusters of different spread, most links near the threshold: nothing below it is linked, and over 0.99 of the links are found."""
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((150, 48))
+    v = np.concatenate([rng.standard_normal((2000, 48)), *(c + s * rng.standard_normal((20, 48)) for c, s in zip(centres, np.linspace(0.2, 0.4, 150), strict=True))]).astype(np.float32)
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    want = near.sum(axis=1) - 1
+    assert want.sum() > 10_000
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df).collect()}
+    found = np.array([got[i] for i in range(len(v))])
+    assert (found <= want).all() and found.sum() / want.sum() >= 0.99
+
+
 @pytest.mark.parametrize("block", [2, 2048])
 def test_embeddings_keep_chains_and_stars_connected(spark, monkeypatch, block):
     monkeypatch.setattr(embeddings, "BLOCK", block)
