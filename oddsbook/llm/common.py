@@ -44,6 +44,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a working folder that no plan reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
     """Bounds the rows and bytes of an Arrow batch, so that a Python worker holds few whole texts at a time; a setting of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

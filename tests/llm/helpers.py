@@ -21,7 +21,7 @@ def clashing(docs):
     """The same with columns whose names the operators use themselves."""
     from pyspark.sql import functions as F
 
-    names = ["doc", "body", "words", "anchor", "at", "n", "score", "key", "fp", "component_id", "n_lines", "n_dropped", "licenses", "ids", "hits", "items", "shard", "batch", "drop"]
+    names = ["doc", "body", "words", "anchor", "at", "n", "score", "key", "fp", "component_id", "n_lines", "n_dropped", "licenses", "ids", "hits", "items", "shard", "batch", "drop", "row", "hash", "__doc", "__body", "__hash", "__drop", "__words", "__hashes", "__some", "__order0", "__candidates", "__score"]
     return docs.select("*", *(F.lit(f"own {n}").alias(n) for n in names))
 
 

@@ -60,6 +60,8 @@ def line_brute(rows, min_docs=3, min_chars=20):
 def test_line_dedup(docs, batches):
     got = lines.line_dedup(docs, batches=batches).select("doc_id", "text", "n_lines", "n_dropped").collect()
     assert multiset(got) == line_brute([(r.doc_id, r.text) for r in docs.collect()])
+    same = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    assert multiset(lines.line_dedup(docs, batches=batches).select(same).collect()) == multiset(docs.select(same).collect())
 
 
 def test_line_dedup_compacts(spark):
@@ -72,6 +74,38 @@ def test_line_dedup_compacts(spark):
     assert lines.line_dedup(none(docs)).count() == 0
 
 
+def test_line_store_is_opened_extended_and_compacted(spark):
+    """Many calls, each with its own session's view of the store; their keys and keepers against plain counts."""
+    rng = random.Random(4)
+    pool = [f"a line of the pool with number {i:03d}" for i in range(80)]
+    path, seen = work_path(spark, "line-store"), []
+    lines.LineRuns(spark, path, 3, 2, 5)._list()
+    for _ in range(5):
+        rows = [(rng.randrange(10_000), "\n".join(rng.choices(pool, k=rng.randint(0, 4)))) for _ in range(25)]
+        seen += rows
+        store = lines.LineRuns.open(spark, path)
+        got = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), batches=2, store=store).select("doc_id", "text", "n_lines", "n_dropped").collect()
+        held = defaultdict(list)
+        for i, t in seen:
+            for k in set(t.split("\n")):
+                held[k].append(i)
+        common = {k: max(v) for k, v in held.items() if len(k) >= 20 and len(v) >= 3}
+        assert multiset((r.doc_id, r.text) for r in got) == Counter((i, "\n".join(x for x in t.split("\n") if common.get(x, i) == i)) for i, t in rows)
+        assert all(len(level) < 2 for level in store.levels)
+    assert len(store.levels) > 3 and len(store.runs()) == sum(map(len, store.levels))
+
+
+def test_batches_merge_join_the_runs_in_their_order(spark):
+    """Runs are read without an exchange or a sort: only the batch is dealt out and sorted."""
+    counts = spark.range(1000).selectExpr("xxhash64(id) AS h1", "id AS h2", "id % 5 AS n_docs", "id AS keeper")
+    store = lines.LineRuns(spark, work_path(spark, "line-store"), buckets=4)
+    store.add(counts)
+    store.add(counts.where("h2 % 7 = 0"))
+    plan = store.fresh(counts)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange ") == 1 and plan.count("Sort [") == 1 and "Broadcast" not in plan
+    assert store.fresh(counts).count() == counts.where("n_docs < 3").count()
+
+
 # 5
 
 
