@@ -30,6 +30,11 @@ _NONE = np.iinfo(np.int64).max
 CACHED_WORDS, LEAVES_AT_ONCE = 400_000, 1 << 19
 
 
+# The word rule of the files that the encoder takes, as they state it.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: itself where printable in Latin-1, else one from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -134,6 +139,8 @@ class WordBpe:
         self.merges = Merges(path)
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
+        if (whole["normalizer"], whole["pre_tokenizer"]) != (_NORMALIZER, _PRE_TOKENIZER):
+            raise ValueError("the file's normalizer or pre-tokenizer is another than the word rule of this encoder")
         self.special = {a["content"]: a["id"] for a in whole["added_tokens"]}
         known = Tokenizer.from_file(path)
         self.normalise, self.split = known.normalizer.normalize_str, known.pre_tokenizer.pre_tokenize_str
@@ -153,7 +160,7 @@ class WordBpe:
             return [chunk.lower().decode()]
         text = chunk.decode("utf-8", "replace")
         out: list[str | int] = []
-        for part in self.marks.split(text) if self.marks and "<|" in text else [text]:
+        for part in self.marks.split(text) if self.marks and self.marks.search(text) else [text]:
             if part in self.special:
                 out.append(self.special[part])
             elif part.isascii() and part.isprintable():
@@ -201,7 +208,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) of every row of docs, for whole texts.
 
     ids are those of the tokenizers library without special tokens added, decoded is its decode of them with special
-    tokens kept. Null and empty texts give no ids and an empty text. Other columns are ignored; repeated rows stay rows.
+    tokens kept. Null and empty texts give no ids and an empty text. Other columns are ignored; repeated rows stay rows. A very long text is
+    taken whole; a word of very many characters has a tree of its own, of 16 bytes a character. A tokenizer file with another word rule is refused.
     """
     small_batches(docs.sparkSession)
 

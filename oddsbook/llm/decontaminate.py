@@ -2,8 +2,8 @@
 
 The index is made where the documents lie: a task numbers the words of its documents in one stream, document after
 document with a gap between them, and every SHARD_WORDS words writes a shard: for each term its sorted positions (stored
-as gaps), and the places of the documents. Postings are kept for the terms that some test item has; when the items
-have more words than may be broadcast, postings of all terms are kept and the items are looked up in blocks.
+as gaps), and the places of the documents. Postings are kept for the terms that some test item may have by a filter of fixed size
+over the hashes of the items' terms; the items themselves are looked up in blocks of bounded size, one after the other.
 
 A phrase is looked up from its rarest term in the shard: the positions of that term, less its offset, are intersected
 with the equally adjusted positions of the other terms, rarest first. Shards are bounded and are dealt out by number.
@@ -21,10 +21,10 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsbook.llm.common import small_batches, written
+from oddsbook.llm.common import small_batches, work_path, written
 
-#: Words of documents in a shard, and words of test items in a block that is broadcast.
-SHARD_WORDS, BLOCK_WORDS = 2_000_000, 500_000
+#: Words of documents in a shard, words of test items in a block that is broadcast, and slots of the filter of terms.
+SHARD_WORDS, BLOCK_WORDS, FILTER_SLOTS = 2_000_000, 500_000, 1 << 22
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _INDEX = "shard long, term binary, gaps array<int>, docs array<long>, starts array<int>, sizes array<int>"
 
@@ -38,13 +38,47 @@ def _text_column(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
 
 
-def build_index(docs: DataFrame, terms: list[bytes] | None, shard_words: int = SHARD_WORDS) -> DataFrame:
+def _slot(term: bytes) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(term) % FILTER_SLOTS
+
+
+class _Terms(dict):
+    """Numbers of the terms met in a shard; -1 for those that the filter says no item has."""
+
+    def __init__(self, slots: np.ndarray):
+        self.slots, self.names = slots, []
+
+    def __missing__(self, term: bytes) -> int:
+        if self.slots[_slot(term)]:
+            self.names.append(term)
+            self[term] = number = len(self.names) - 1
+        else:
+            self[term] = number = -1
+        return number
+
+
+def term_filter(items: DataFrame) -> np.ndarray:
+    """Which slots the terms of the items hash to: as many booleans whatever the items hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({_slot(w) for t in b.column(0).cast(pa.binary()).to_pylist() for w in words(t)}), pa.int32())], ["slot"])
+
+    small_batches(items.sparkSession)
+    slots = np.zeros(FILTER_SLOTS, bool)
+    slots[[r.slot for r in items.select(F.col("text").cast("string")).mapInArrow(run, "slot int").distinct().collect()]] = True
+    return slots
+
+
+def build_index(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The index as a written table: a row (shard, term, gaps) for each term of a shard, and one without a term that has its documents.
 
-    terms limits the postings to those terms; None keeps all.
+    Postings are those of the terms that pass the filter of the items' terms.
     """
     small_batches(docs.sparkSession)
-    known = None if terms is None else {t: i for i, t in enumerate(terms)}
+    held_slots = docs.sparkSession.sparkContext.broadcast(np.packbits(term_filter(items)))
 
     def flush(shard: int, ids: list[np.ndarray], names: list[bytes], docs: list[int | None], sizes: list[int]) -> pa.RecordBatch:
         stream = np.concatenate([*ids, np.empty(0, np.int32)])
@@ -63,22 +97,20 @@ def build_index(docs: DataFrame, terms: list[bytes] | None, shard_words: int = S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, gap = TaskContext.get().partitionId() << 32, np.array([-1], np.int32)
-        lookup, ids, docs, sizes, held = dict(known or {}), [], [], [], 0
+        slots = np.unpackbits(held_slots.value)
+        lookup, ids, docs, sizes, held = _Terms(slots), [], [], [], 0
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 found = words(text)
-                if known is None:
-                    for w in found:
-                        lookup.setdefault(w, len(lookup))
-                ids += [np.fromiter(map(lookup.get, found, repeat(-1)), np.int32, count=len(found)), gap]
+                ids += [np.fromiter(map(lookup.__getitem__, found), np.int32, count=len(found)), gap]
                 docs.append(doc)
                 sizes.append(len(found))
                 held += len(found) + 1
                 if held >= shard_words:
-                    yield flush(shard, ids, list(lookup), docs, sizes)
-                    lookup, shard, ids, docs, sizes, held = dict(known or {}), shard + 1, [], [], [], 0
+                    yield flush(shard, ids, lookup.names, docs, sizes)
+                    lookup, shard, ids, docs, sizes, held = _Terms(slots), shard + 1, [], [], [], 0
         if docs:
-            yield flush(shard, ids, list(lookup), docs, sizes)
+            yield flush(shard, ids, lookup.names, docs, sizes)
 
     return written(_text_column(docs, "doc_id").mapInArrow(run, _INDEX), "postings")
 
@@ -153,8 +185,8 @@ class Shard:
         return places
 
 
-def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> Iterator[tuple[int, list[tuple[str | None, list[bytes]]]]]:
-    """Blocks of items as (number of blocks, [(item_id as text, words)]) of about so many words at most, read one at a time.
+def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """Blocks of items as [(item_id as text, words)] of about so many words at most, read one at a time; one at least.
 
     Items with a null id are left out, unless unnamed is true.
     """
@@ -164,21 +196,21 @@ def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS, unnamed: bool
     n = max(1, -(-total // (2 * block_words)))  # a word and its gap have two characters at least
     for i in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
-        yield n, [(r.item_id, w) for r in part if (unnamed or r.item_id is not None) and (w := words(r.text.encode()))]
+        yield [(r.item_id, w) for r in part if (unnamed or r.item_id is not None) and (w := words(r.text.encode()))]
 
 
-def _matches(docs: DataFrame, items: DataFrame, schema: str, find, shard_words: int, block_words: int, unnamed: bool = False) -> list[DataFrame]:
-    """One table of find(shard, number, items) for each block of items."""
+def _matches(docs: DataFrame, items: DataFrame, schema: str, find, shard_words: int, block_words: int, unnamed: bool = False) -> DataFrame:
+    """The rows of find(shard, number, items) for each block of items, written block by block, so that one is broadcast at a time."""
 
     def over(held: Broadcast):
         return lambda rows: find(Shard(rows), int(rows.shard.iloc[0]), held.value)
 
-    out, index = [], None
-    for n, block in item_blocks(items, block_words, unnamed):
-        if index is None:
-            index = build_index(docs, sorted({w for _, ws in block for w in ws}) if n == 1 else None, shard_words)
-        out.append(index.groupBy("shard").applyInPandas(over(docs.sparkSession.sparkContext.broadcast(block)), schema))
-    return out
+    spark, index, path = docs.sparkSession, build_index(docs, items, shard_words), work_path(docs.sparkSession, "matches")
+    for i, block in enumerate(item_blocks(items, block_words, unnamed)):
+        held = spark.sparkContext.broadcast(block)
+        index.groupBy("shard").applyInPandas(over(held), schema).write.parquet(f"{path}/block={i}")
+        held.destroy()
+    return spark.read.schema(f"{schema}, block int").parquet(path).drop("block")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> DataFrame:
@@ -204,13 +236,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, shard_wor
         return pd.DataFrame({"shard": number, "place": range(len(of)), "doc_id": pd.array(shard.docs, "Int64"), "n_words": shard.sizes, "hits": hits, "items": [sorted(x, key=lambda i: (i is not None, i)) for x in of]})
 
     found = _matches(docs, items, "shard long, place long, doc_id long, n_words long, hits array<int>, items array<string>", find, shard_words, block_words, unnamed)
-    out = found[0]
-    if len(found) > 1:
-        for more in found[1:]:
-            out = out.unionByName(more)
-        gathered = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-        out = out.groupBy("shard", "place", "doc_id", "n_words").agg(gathered("hits"), gathered("items"))
-    return out.select("doc_id", "n_words", "hits", "items")
+    gathered = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return found.groupBy("shard", "place", "doc_id", "n_words").agg(gathered("hits"), gathered("items")).drop("shard", "place")
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = 13, span: int | None = None, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -228,11 +255,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 13, span: int | Non
             parts.append(pd.DataFrame({"doc_id": pd.array([shard.docs[d] for d in doc], "Int64"), "item_id": item, "item_word": pd.array([None] * len(at) if number is None else number, "Int64"), "doc_word": at - shard.starts[doc]}))
         return pd.concat(parts) if parts else pd.DataFrame({"doc_id": [], "item_id": [], "item_word": [], "doc_word": []})
 
-    found = _matches(docs, items, "doc_id long, item_id string, item_word long, doc_word long", find, shard_words, block_words)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return _matches(docs, items, "doc_id long, item_id string, item_word long, doc_word long", find, shard_words, block_words)
 
 
 def is_contaminated(n_hit, n_words):

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
@@ -25,6 +26,8 @@ from oddsbook.llm.common import small_batches
 
 #: Pre-tokens in a worker's cache, and nodes of a trie before it is begun anew.
 CACHED_WORDS, TRIE_NODES = 600_000, 200_000
+#: Characters of a pre-token beyond which it is counted without the trie, in memory that does not grow with it.
+LONG_WORD = 5_000
 #: Marks the start of a pre-token, as in the pieces.
 START = "▁"
 
@@ -55,6 +58,8 @@ class TrieCounter:
 
     def count(self, word: str) -> int:
         """Tokens on the best path of a pre-token; of equal paths the one whose last piece is longest, at every prefix."""
+        if len(word) > LONG_WORD:
+            return self._count_alone(word)
         if len(self.best) > self.most:
             self._begin()
         children, best, tokens, scores, longest = self.children, self.best, self.tokens, self.scores, self.longest
@@ -83,6 +88,27 @@ class TrieCounter:
         return tokens[node]
 
 
+    def _count_alone(self, word: str) -> int:
+        """The same for one long pre-token: only as many prefixes are kept as a piece has characters."""
+        scores, longest = self.scores, self.longest
+        best, tokens = deque([0.0], longest), deque([0], longest)
+        for end in range(1, len(word) + 1):
+            top, n, before = -math.inf, 0, len(best)
+            for k in range(before):  # the longest piece first
+                score = scores.get(word[end - before + k : end])
+                if score is None:
+                    if k < before - 1:
+                        continue
+                    score, more = self.unknown, len(word[end - 1].encode())
+                else:
+                    more = 1
+                if (total := best[k] + score) > top:
+                    top, n = total, tokens[k] + more
+            best.append(top)
+            tokens.append(n)
+        return tokens[-1]
+
+
 #: The counter and the known counts of a Python worker, by the run they belong to.
 _WORKER: dict[str, tuple[TrieCounter, dict[bytes, int]]] = {}
 
@@ -98,7 +124,7 @@ def _of_worker(run: str, scores: dict[str, float]) -> tuple[TrieCounter, dict[by
 def token_counts(docs: DataFrame, scores: dict[str, float], cached_words: int = CACHED_WORDS) -> DataFrame:
     """(doc_id, n_words, n_tokens) of every row of docs: pre-tokens between ASCII blanks, and their tokens under the unigram model.
 
-    Whole texts are counted; null, empty and blank texts have none. Other columns are ignored, repeated rows stay rows.
+    Whole texts are counted; null, empty and blank texts have none. Other columns are ignored, repeated rows stay rows. Memory is bounded for very long texts and pre-tokens.
     """
     small_batches(docs.sparkSession)
     name = uuid.uuid4().hex

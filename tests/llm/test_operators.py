@@ -403,6 +403,8 @@ def test_token_counts_agree_with_the_library(docs):
         for text in odd_texts()[:400]:
             for w in text.split():
                 assert counter.count("▁" + w) == len(library.encode("▁" + w).tokens), w
+    for w in ("ab" * 4000 + "é" * 2000, "x" * 6000):
+        assert counter.count(w) == len(library.encode(w).tokens)
     want = Counter()
     for r in docs.collect():
         ws = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
