@@ -9,12 +9,17 @@ stage's docs. All but the last return the columns of docs:
 4. decontaminate: documents of which a twentieth of the words or more lie inside passages of `benchmark` go.
 5. bpe: token ids of each whole text, and the text they decode to.
 
+Empty, null and very long texts are documents like others, in every stage as a whole; repeated rows stay or go together, ties are rows
+of one doc_id; other columns may be null and have any names (those that a stage adds for itself have made-up names).
+
 Null ids: a row with a null doc_id is a document like others in stages 1, 2 and 5; in stage 3 it stays only if no row of its group
 has an id, and in stage 4 it stays only if it is clean. Benchmark rows with a null item_id are passages like others. Empty tables pass through.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,28 +28,38 @@ from oddsbook.llm import bpe, decontaminate, lines, quality, simhash
 from oddsbook.llm.common import table, work_path
 
 
+def _new_name() -> str:
+    """A column name that no table has."""
+    return f"own_{uuid.uuid4().hex}"
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.with_scores(docs, model, "__score").where(F.col("__score") >= 0.5).select(*docs.columns)
+    """Documents with a score of 0.5 or more; null and empty texts have scores, and without labels every score is 0.5, so that all stay."""
+    model, score = quality.fit(docs, table(spark, sf_dir, "labels")), _new_name()
+    return quality.with_scores(docs, model, score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.line_dedup(docs).select(*docs.columns)
+    """All documents, without the lines they share; null and empty texts become "", repeated rows count as documents."""
+    return lines.line_dedup(docs, counts=False)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.simhash_groups(docs).select("doc_id", "component_id")
-    kept = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "__doc"), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left_semi")
+    """The documents with the smallest doc_id of their group; empty and null texts are one group, rows that share the kept doc_id all stay."""
+    groups, doc = simhash.simhash_groups(docs).select("doc_id", "component_id"), _new_name()
+    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias(doc)).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left_semi")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
-    hit = found.where(decontaminate.is_contaminated(F.size("hits"), F.col("n_words"))).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left_anti")
+    """The documents that are not contaminated; null and empty texts are clean, all rows of a doc_id go if one of them is contaminated."""
+    found, doc = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), unnamed=True), _new_name()
+    hit = found.where(decontaminate.is_contaminated(F.size("hits"), F.col("n_words"))).select(F.col("doc_id").alias(doc)).distinct()
+    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, decoded) of every document; null and empty texts have no ids and decode to an empty text."""
     return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 WORDS_IN_SHINGLE, BANDS = 5, 8
 
-#: Notices and grants of public licenses, by a name for each.
+# Notices, grants and full texts of public licenses, by a name for each.
 TEMPLATES = {
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
@@ -33,6 +33,11 @@ TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
     "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "bsd-2-clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "isc": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "unlicense": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
 
 
@@ -89,15 +94,18 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     A template is in a text if some span of twice its shingles, beginning at one of them, has at least `least` of its
     distinct shingles; containment is the largest such share and word the number of the first word of the first span that
     has it. Words are ASCII letters, digits and characters beyond ASCII, in lower case; templates without words match nothing,
-    null and empty texts have no licenses. Rows and other columns stay as they are; a column licenses is replaced.
+    null and empty texts have no licenses; very long texts are taken whole. Rows, repeated ones too, and other columns of any name stay
+    as they are; a column licenses is replaced. A template of words, but fewer than a shingle has, is an error: no longer text could match it.
     """
     spark = docs.sparkSession
     names = sorted(TEMPLATES if templates is None else templates)
     texts = TEMPLATES if templates is None else templates
     parts = [(n, shingles_of(words_of(texts[n]))) for n in names]
     parts = [(n, s) for n, s in parts if s]
-    rows = docs.withColumn("__words", _words(F.col("text").cast("string")))
-    rows = rows.withColumn("__hashes", _hashed(F.col("__words")))
+    if short := [n for n, s in parts if len(s[0].split(" ")) < WORDS_IN_SHINGLE]:
+        raise ValueError(f"templates of fewer than {WORDS_IN_SHINGLE} words: {', '.join(short)}")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _words(F.col("text").cast("string")).alias("words"))
+    rows = rows.withColumn("hashes", _hashed(F.col("words")))
     none = F.array().cast("array<int>")
     if not parts:
         return docs.withColumn("licenses", F.array().cast("array<struct<license:string,containment:double,word:int>>"))
@@ -111,8 +119,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     bands = {r.i: [r.one] + [r[f"b{b}"] for b in range(BANDS)] for r in small.select("i", F.array_min(hashes).alias("one"), *minima).collect()}
     least_shingles = {x.hash for own in bands.values() for x in own[1:]} | {own[0] for i, own in bands.items() if sizes[parts[i][0]] == 1}
 
-    rows = rows.withColumn("__some", F.arrays_overlap("__hashes", F.array(*(F.lit(h).cast("long") for h in sorted(least_shingles)))))
-    rows = rows.withColumns({f"__order{b}": F.when(F.col("__some"), _order(F.col("__hashes"), b, 2)).otherwise(F.array().cast("array<long>")) for b in range(BANDS)})
+    rows = rows.withColumn("some", F.arrays_overlap("hashes", F.array(*(F.lit(h).cast("long") for h in sorted(least_shingles)))))
+    rows = rows.withColumns({f"order{b}": F.when(F.col("some"), _order(F.col("hashes"), b, 2)).otherwise(F.array().cast("array<long>")) for b in range(BANDS)})
     found = []
     for size in classes:
         for band in range(1 if size == 1 else BANDS):
@@ -122,22 +130,28 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
                     of.setdefault(bands[i][0] if size == 1 else bands[i][band + 1].rank, []).append(i)
             known = F.array(*(F.lit(v).cast("long") for v in of))
             ids = F.create_map(*(x for v, own in of.items() for x in (F.lit(v).cast("long"), F.array(*map(F.lit, own)))))
-            source = F.col("__hashes" if size == 1 else f"__order{band}")
+            source = F.col("hashes" if size == 1 else f"order{band}")
             found.append(_looked_up(_minima(source, size), known, ids))
-    rows = rows.withColumn("__candidates", F.when(F.col("__some"), F.array_sort(F.array_distinct(F.concat(none, *found)))).otherwise(none))
+    rows = rows.withColumn("candidates", F.when(F.col("some"), F.array_sort(F.array_distinct(F.concat(none, *found)))).otherwise(none))
 
     listed = F.array(*(F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, s)).alias("shingles")) for n, s in parts))
-    words = F.col("__words")
+    words = F.col("words")
 
     def verified(i: Column) -> Column:
         template = F.element_at(listed, i + 1)
         length = F.size(template["shingles"])
-        shingles = F.transform(_starts(_shingle_count(words)), lambda p: F.array_join(F.slice(words, p, WORDS_IN_SHINGLE), " "))
-        places = F.filter(F.transform(shingles, lambda s, p: F.when(F.array_contains(template["shingles"], s), p + 1)), lambda p: p.isNotNull())
-        held = F.transform(places, lambda p: F.struct((F.size(F.array_intersect(template["shingles"], F.transform(F.slice(_starts(_shingle_count(words)), p, length * 2), lambda q: F.array_join(F.slice(words, q, WORDS_IN_SHINGLE), " ")))) / length).alias("share"), (-p).alias("p")))
-        best = F.array_max(held)
+        shingles = F.transform(_starts(_shingle_count(words)), lambda p: F.struct(p.alias("p"), F.array_join(F.slice(words, p, WORDS_IN_SHINGLE), " ").alias("s")))
+        places = F.filter(shingles, lambda x: F.array_contains(template["shingles"], x["s"]))
+
+        def best_of(hits: Column) -> Column:
+            """The best span that begins at a hit: it has the next 2 * length hits at most."""
+            own = lambda x, i: F.filter(F.slice(hits, i + 1, length * 2), lambda y: y["p"] < x["p"] + length * 2)
+            share = lambda x, i: F.size(F.array_distinct(F.transform(own(x, i), lambda y: y["s"]))) / length
+            return F.array_max(F.transform(hits, lambda x, i: F.struct(share(x, i).alias("share"), (-x["p"]).alias("p"))))
+
+        best = F.element_at(F.transform(F.array(places), best_of), 1)  # the hits are made once, as a bound variable
         return F.struct(template["license"].alias("license"), best["share"].alias("containment"), (-best["p"] - 1).alias("word"))
 
-    licenses = F.filter(F.transform("__candidates", verified), lambda x: x["containment"] >= least)
-    return rows.withColumn("licenses", licenses).select(*(c for c in docs.columns if c != "licenses"), "licenses")
+    licenses = F.filter(F.transform("candidates", verified), lambda x: x["containment"] >= least)
+    return rows.withColumn("licenses", licenses).select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "licenses"), "licenses")
 

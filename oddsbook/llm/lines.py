@@ -106,11 +106,11 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = 4, fanout: int = 3, store: LineRuns | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = 4, fanout: int = 3, store: LineRuns | None = None, counts: bool = True) -> DataFrame:
     """docs without the lines whose key has min_chars or more code points and is in min_docs or more documents, save in the largest doc_id that has it.
 
     Returns every row and column of docs with text replaced, and n_lines and n_dropped appended (columns of these names
-    are replaced). A null or empty text is one empty line and comes back as "". Very long texts are taken whole. Rows are documents: repeated rows
+    are replaced; without `counts` only text changes). A null or empty text is one empty line and comes back as "". Very long texts are taken whole. Rows are documents: repeated rows
     count as so many documents, and all rows of the keeper's doc_id keep the line. A null doc_id is below all others. Other columns
     may be null and have any names; an empty table gives none. With a store, documents that it knows from earlier calls count as
     well, and those of this call are added to it (min_docs and fanout are the store's then).
@@ -126,10 +126,10 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches:
     keys = rows.select(batch.alias("batch"), "doc", F.explode(F.array_distinct(F.filter(keyed, lambda k: F.length(k) >= min_chars))).alias("key"))
     path = work_path(spark, "line-counts")
     keys.select("batch", "doc", *hashes).groupBy("batch", *KEY).agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper")).write.partitionBy("batch").parquet(path)
-    counts = spark.read.schema("h1 long, h2 long, n_docs long, keeper long, batch int").parquet(path)
+    counted = spark.read.schema("h1 long, h2 long, n_docs long, keeper long, batch int").parquet(path)
     runs = store or LineRuns(spark, work_path(spark, "line-runs"), min_docs, fanout)
     for i in range(batches):
-        runs.add(counts.where(F.col("batch") == i))
+        runs.add(counted.where(F.col("batch") == i))
     delete(spark, path)
     common = written(runs.common(), "line-common")
 
@@ -140,6 +140,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches:
     split = F.split("body", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.coalesce("drop", F.array().cast("array<int>")))
     kept = F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")
-    new = {"text": F.when(F.col("drop").isNull(), F.col("body")).otherwise(kept), "n_lines": F.size(split), "n_dropped": F.coalesce(F.size("drop"), F.lit(0))}
-    names = [*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns)]
+    new = {"text": F.when(F.col("drop").isNull(), F.col("body")).otherwise(kept)}
+    if counts:
+        new |= {"n_lines": F.size(split), "n_dropped": F.coalesce(F.size("drop"), F.lit(0))}
+    names = [*docs.columns, *(c for c in new if c not in docs.columns)]
     return joined.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in names))

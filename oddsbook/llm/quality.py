@@ -171,7 +171,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
 
 
 def with_scores(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
-    """docs with the score of each row's whole text in a double column of that name (one already there is replaced)."""
+    """docs with the score of each row's whole text in a double column of that name (one already there is replaced).
+
+    Null, empty and very long texts have a score like others, repeated rows one each; other columns stay as they are.
+    """
     small_batches(docs.sparkSession)
     docs = docs.drop(score)
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])

@@ -503,6 +503,65 @@ def test_quality(spark):
     assert again == scored
 
 
+def tree_brute(g, h, depth, least, ridge):
+    """The step of each bin by trying every cut with plain sums."""
+    total = sum(g) ** 2 / (sum(h) + ridge)
+    best, at = 1e-9, 0
+    for cut in range(1, len(g)) if depth else ():
+        if min(sum(h[:cut]), sum(h[cut:])) >= least:
+            gain = sum(g[:cut]) ** 2 / (sum(h[:cut]) + ridge) + sum(g[cut:]) ** 2 / (sum(h[cut:]) + ridge) - total
+            if gain > best + 1e-12:
+                best, at = gain, cut
+    if not at:
+        return [-sum(g) / (sum(h) + ridge)] * len(g)
+    return tree_brute(g[:at], h[:at], depth - 1, least, ridge) + tree_brute(g[at:], h[at:], depth - 1, least, ridge)
+
+
+def pair_brute(g, h, least, ridge):
+    """The gain of the best table of steps: every first cut of either side, each part cut once along the other."""
+    best, loss = 0.0, lambda gs, hs, step: 2 * gs * step + (hs + 0.0) * step**2
+    for turned in (False, True):
+        a, b = (list(zip(*g, strict=True)), list(zip(*h, strict=True))) if turned else (g, h)
+        for cut in range(1, len(a)):
+            gain = -(sum(map(sum, g)) ** 2) / (sum(map(sum, h)) + ridge)
+            for part in (slice(0, cut), slice(cut, None)):
+                gs, hs = [sum(c) for c in zip(*a[part], strict=True)], [sum(c) for c in zip(*b[part], strict=True)]
+                gain -= sum(loss(x, y, s) for x, y, s in zip(gs, hs, tree_brute(gs, hs, 1, least, ridge), strict=True))
+            best = max(best, gain)
+    return best
+
+
+def test_boosting_steps_and_scores_against_plain_loops():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        g, h = rng.standard_normal(rng.integers(1, 14)), None
+        h = rng.random(len(g))
+        for depth in (0, 1, 2):
+            assert np.allclose(quality._tree(g, h, depth, 0.5, 1.0), tree_brute(g.tolist(), h.tolist(), depth, 0.5, 1.0))
+        g, h = rng.standard_normal((4, 5)), rng.random((4, 5))
+        assert np.isclose(quality._pair_tree(g, h, 0.5, 1.0)[1], pair_brute(g.tolist(), h.tolist(), 0.5, 1.0))
+    x = rng.integers(0, 12, (300, 3)).astype(float)
+    y = ((x[:, 0] > 5) ^ (x[:, 1] > 5)).astype(float)
+    model = quality.train(x, y, rounds=20, pair_rounds=20, n_pairs=2)
+    scores = model.score(x)
+    for row, score in zip(x.tolist(), scores.tolist(), strict=True):
+        total = model.base + sum(t[sum(e <= v for e in es)] for v, es, t in zip(row, model.edges, model.tables, strict=True))
+        total += sum(t[sum(e <= row[i] for e in model.coarse[i]), sum(e <= row[j] for e in model.coarse[j])] for i, j, t in model.pairs)
+        assert math.isclose(score, 1 / (1 + math.exp(-total)))
+    assert (((scores >= 0.5) == y).mean()) > 0.95 and any({i, j} == {0, 1} for i, j, _ in model.pairs)
+    first = quality.train(x, y, rounds=1, pair_rounds=0, n_pairs=0)
+    total, at = np.full(300, first.base), [[sum(e <= v for e in es) for v in x[:, f]] for f, es in enumerate(first.edges)]
+    for f, values in enumerate(first.tables):
+        p = [1 / (1 + math.exp(-t)) for t in total]
+        g, h = [0.0] * len(values), [0.0] * len(values)
+        for k, bin_of in enumerate(at[f]):
+            g[bin_of] += p[k] - y[k]
+            h[bin_of] += p[k] * (1 - p[k])
+        step = [0.1 * s for s in tree_brute(g, h, 2, 2.0, 1.0)]
+        assert np.allclose(values, step)
+        total = total + np.array([step[b] for b in at[f]])
+
+
 def test_quality_of_odd_texts(docs, spark):
     labels = spark.createDataFrame([(4, 1, 0), (13, 0, 0), (15, 0, 0)], "doc_id long, quality int, toxic int")
     for own in (labels, none(labels)):
@@ -516,11 +575,11 @@ def test_quality_of_odd_texts(docs, spark):
 
 
 def license_brute(text, least=0.8):
-    ws = licenses.words_of(text or "")
-    sh = [" ".join(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))] if ws else []
+    cut = lambda t: [" ".join(ws[k : k + 5]) for ws in [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())] if ws for k in range(max(1, len(ws) - 4))]
+    sh = cut(text or "")
     out = []
     for name, body in sorted(licenses.TEMPLATES.items()):
-        own = licenses.shingles_of(licenses.words_of(body))
+        own = list(dict.fromkeys(cut(body)))
         best = max(((len(set(own) & set(sh[p : p + 2 * len(own)])) / len(own), -p) for p, x in enumerate(sh) if x in own), default=(0, 0))
         if best[0] >= least:
             out.append((name, best[0], -best[1]))
@@ -543,6 +602,27 @@ def test_licenses(spark, docs):
     assert licenses.license_scan(docs, {"empty": "!!"}).where("size(licenses) > 0").count() == 0
 
 
+def test_license_recall(spark):
+    """Copies with words replaced and filler between: nearly all that brute force matches is found, and nothing else."""
+    rng, texts = random.Random(11), []
+    for body in licenses.TEMPLATES.values():
+        for _ in range(25):
+            ws = [w if rng.random() > 0.02 else "zzz" for w in body.split()]
+            at = rng.randrange(len(ws) + 1)
+            filler = [f"f{rng.randrange(99)}" for _ in range(rng.choice([0, 0, 3, len(ws) // 2]))]
+            around = [f"a{rng.randrange(99)}" for _ in range(rng.randrange(200))]
+            texts.append(" ".join([*around, *ws[:at], *filler, *ws[at:], *around]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    got = {(r.doc_id, x.license, x.containment, x.word) for r in licenses.license_scan(df).collect() for x in r.licenses}
+    want = {(i, *m) for i, t in enumerate(texts) for m in license_brute(t)}
+    assert got <= want and len(want) > 300 and len(got) / len(want) >= 0.99
+
+
+def test_short_templates_are_refused(spark):
+    with pytest.raises(ValueError):
+        licenses.license_scan(none(documents(spark)), {"short": "All rights reserved."})
+
+
 def test_licenses_run_no_python(spark):
     plan = licenses.license_scan(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

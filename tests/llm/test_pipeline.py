@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from tests.llm.helpers import DOCS, PASSAGE, documents, groups, none
+from tests.llm.helpers import DOCS, PASSAGE, clashing, documents, groups, none
 from tests.llm.test_operators import contamination_brute, line_brute, simhash_brute
 
 GOOD = ["river", "stone", "walks", "slowly", "over", "the", "green", "hill", "and", "under", "quiet", "trees"]
@@ -63,6 +63,31 @@ def test_stages(spark, folder, tmp_path):
         before = rows
 
 
+def test_stages_take_null_ids_and_clashing_columns(spark, folder):
+    """Each stage by itself on rows with null ids, repeated rows and columns of other tables' names."""
+    docs = clashing(documents(spark))
+    rows = docs.collect()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns
+        kept = got.collect()
+        own = {(r.doc_id, r.text or "") for r in rows}
+        assert all((r.doc_id, r.text or "") in own for r in kept) or name == "line_dedup"
+        assert all(r[f"{c}"] == f"own {c}" for r in kept for c in docs.columns[5:])
+        if name == "line_dedup":
+            assert Counter((r.doc_id, r.text) for r in kept) == Counter(k[:2] for k in line_brute([(r.doc_id, r.text) for r in rows]).elements())
+        elif name == "simhash":
+            least = {}
+            for r in rows:
+                p = simhash_brute(r.text)
+                least[p] = min((x for x in (least.get(p), r.doc_id) if x is not None), default=None)
+            assert Counter(r.doc_id for r in kept) == Counter(r.doc_id for r in rows if r.doc_id in set(least.values()))
+        elif name == "decontaminate":
+            bad = {k[0] for k in contamination_brute([(r.doc_id, r.text) for r in rows], [(1, PASSAGE)], 13) if k[2] and 20 * len(k[2]) >= k[1]}
+            assert None in bad and Counter(r.doc_id for r in kept) == Counter(r.doc_id for r in rows if r.doc_id not in bad)
+    assert corpus_pipeline.encode(spark, docs, folder).count() == len(rows)
+
+
 def test_run_and_empty_tables(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() > 100
     for name in ("documents", "labels", "benchmark"):
