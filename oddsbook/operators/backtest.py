@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsbook.config import DEFAULT, Config
+from oddsbook.functions.scalars import curriculum_schedule
 from oddsbook.operators.ledger import Book
+from oddsbook.operators.metrics import no_trade_streak
 from oddsbook.operators.quotes import depth, is_open
 
 _C = F.col
@@ -62,11 +64,16 @@ def violation_counts(admitted: DataFrame, snapshots: DataFrame, config: Config =
 STEP = """market_id long, step long, balance double, exposure double, n_positions int, commission double, recent_trades int, net_exposure double, concentration double,
 portfolio_mtm double, green_up double, positions array<struct<runner_idx:long,net_stake:double,mtm:double,age:double>>, trades array<struct<runner_idx:long,side:string,price:double,stake:double,liability:double>>,
 realised double, mtm_change double, sharpe double, reward double, last boolean,
-episode struct<balance:double,num_trades:long,realized_pnl:double,commission_paid:double,commission_rate:double,max_drawdown:double,mtm_reward:double,sharpe_reward:double,depth_violations:long,volatility_violations:long,stale_market_violations:long,suspended_violations:long,back_trades:long,worst_case:double,best_case:double,book_spread:double,is_green:boolean,back_depth_viol:long,lay_depth_viol:long,stake_floor_rej:long,back_stake_rej:long,lay_stake_rej:long,lay_trades:long,back_exposure:double,lay_exposure:double,mid_race_pnl:double,stale_penalty:double,netting_bonus:double,step:long>"""
+episode struct<balance:double,num_trades:long,realized_pnl:double,commission_paid:double,commission_rate:double,max_drawdown:double,mtm_reward:double,sharpe_reward:double,depth_violations:long,volatility_violations:long,stale_market_violations:long,suspended_violations:long,back_trades:long,worst_case:double,best_case:double,book_spread:double,is_green:boolean,back_depth_viol:long,lay_depth_viol:long,stake_floor_rej:long,back_stake_rej:long,lay_stake_rej:long,lay_trades:long,back_exposure:double,lay_exposure:double,mid_race_pnl:double,stale_penalty:double,netting_bonus:double,green_up_pnl:double,had_trades:boolean,step:long>"""
 _NAMES = ["market_id", "step", "balance", "exposure", "n_positions", "commission", "recent_trades", "net_exposure", "concentration", "portfolio_mtm", "green_up", "positions", "trades", "realised", "mtm_change", "sharpe", "reward", "last", "episode"]
 _SIDES = ("back", "lay")
 
 
+def limits_of(config: Config) -> dict[str, float]:
+    """The limits of a trade that a curriculum moves, at their final values."""
+    return {"min_liability": config.min_liability, "threshold": config.signal_threshold, "min_stake": config.min_stake}
+
+
 class Replay:
     """The state of one market during its replay."""
 
@@ -77,12 +84,13 @@ class Replay:
         self.n = int(first.runner_count) if pd.notna(first.runner_count) and first.runner_count > 0 else 9
         self.rate = float(first.commission_rate) if pd.notna(first.commission_rate) else config.commission_rate
         self.steps = np.sort(rows.step.unique())
-        at, slot = np.searchsorted(self.steps, rows.step.to_numpy()), rows.runner_idx.to_numpy().astype(int)
-        width = max(self.n, config.slots)
+        quoted = rows[rows.runner_idx.notna()]  # a step without quotes has one row without a runner
+        at, slot = np.searchsorted(self.steps, quoted.step.to_numpy()), quoted.runner_idx.to_numpy().astype(int)
+        width = max(self.n, config.slots, *(slot + 1)) if len(slot) else max(self.n, config.slots)
 
         def grid(name: str) -> np.ndarray:
             out = np.full((len(self.steps), width), np.nan)
-            out[at, slot] = rows[name].astype(float).to_numpy()
+            out[at, slot] = quoted[name].astype(float).to_numpy()
             return out
 
         self.prices = {s: grid(f"{s}_price_1") for s in _SIDES}
@@ -90,7 +98,8 @@ class Replay:
         self.micro, self.level, self.since, self.spread, self.signal = (grid(n) for n in ("microprice", "has_level_1", "secs_since_last_trade", "ret_std_5s", "signal"))
         one = rows.drop_duplicates("step").sort_values("step")
         self.in_play, self.open = (one.in_play.fillna(0) == 1).to_numpy(), (one.market_status == "OPEN").to_numpy()
-        self.allocation = one.allocation.fillna(0.0).to_numpy()
+        self.allocation = one.allocation.astype(float).fillna(0.0).to_numpy()
+        self.limits = list(zip(*(one[n].astype(float).fillna(v).tolist() for n, v in limits_of(config).items()), strict=True))
         self.quoted = ~(np.isnan(self.prices["back"]) | np.isnan(self.prices["lay"]))
         self.balance = self.peak = config.capital
         self.books: dict[int, Book] = {}
@@ -186,12 +195,11 @@ class Replay:
             "depth_violations": n["depth"], "volatility_violations": n["volatile"], "stale_market_violations": n["stale"], "suspended_violations": n["suspended"], "back_trades": n["back_trades"],
             "worst_case": float(payoffs.min()), "best_case": float(payoffs.max()), "book_spread": float(payoffs.max() - payoffs.min()), "is_green": bool(payoffs.min() > 0),
             "back_depth_viol": n["back_depth"], "lay_depth_viol": n["lay_depth"], "stake_floor_rej": n["stake_floor"], "back_stake_rej": n["back_stake"], "lay_stake_rej": n["lay_stake"], "lay_trades": n["lay_trades"],
-            "back_exposure": self.exposures["back"], "lay_exposure": self.exposures["lay"], "mid_race_pnl": self.mid_race, "stale_penalty": self.stale_penalty, "netting_bonus": self.mid_race / self.c.capital, "step": t,
+            "back_exposure": self.exposures["back"], "lay_exposure": self.exposures["lay"], "mid_race_pnl": self.mid_race, "stale_penalty": self.stale_penalty, "netting_bonus": self.mid_race / self.c.capital, "green_up_pnl": self.balance - self.c.capital, "had_trades": n["back_trades"] + n["lay_trades"] > 0, "step": t,
         }
 
     def run(self, max_steps: int | None = None) -> pd.DataFrame:
         c, out = self.c, []
-        limits = c.min_liability, c.signal_threshold, c.min_stake
         for t in range(len(self.steps)):
             if max_steps is not None and t >= max_steps:
                 break
@@ -203,7 +211,7 @@ class Replay:
             before, penalty, realised, made = sum(self.marks(t).values()), self.stale_penalty, 0.0, []
             if not self.open[t]:
                 self.counts["suspended"] += 1
-            for i, back, price, liability in self.admitted(t, limits) if self.open[t] else []:
+            for i, back, price, liability in self.admitted(t, self.limits[t]) if self.open[t] else []:
                 stake = liability if back else liability / (price - 1.0) if price > 1.01 else 0.0
                 if stake < 0.01:
                     continue
@@ -236,22 +244,33 @@ class Replay:
 def backtest(quotes: DataFrame, snapshots: DataFrame, config: Config = DEFAULT, max_steps: int | None = None) -> DataFrame:
     """A row per market and step up to its end: the state before the step, its trades and rewards, and on the last row the episode.
 
-    quotes are clean, with the columns signal and allocation; snapshots have runner_count, commission_rate, in_play and market_status. With
-    max_steps a market stops there without closing.
+    quotes are clean, with the columns signal and allocation; snapshots have runner_count, commission_rate, in_play and market_status. Every
+    snapshot is a step, with quotes or without. With max_steps a market stops there without closing. Where snapshots have global_step (the steps
+    that a training run made before), the limits of a trade follow the curriculum at that step, else they are the final ones.
     """
-    own = snapshots.select("market_id", "step", "runner_count", "commission_rate", "in_play", "market_status")
+    if "global_step" in snapshots.columns:
+        schedule = curriculum_schedule(_C("global_step"), config)
+        limits = [schedule[n].alias(n) for n in limits_of(config)]
+    else:
+        limits = [F.lit(v).alias(n) for n, v in limits_of(config).items()]
+    own = snapshots.select("market_id", "step", "runner_count", "commission_rate", "in_play", "market_status", *limits)
     fields = [f"{s}_{w}" for s in _SIDES for w in ("price_1", "size_1", "size_2", "size_3")]
     book = quotes.select("market_id", "step", "runner_idx", *fields, _C("has_level_1").cast("int").alias("has_level_1"), "microprice", "secs_since_last_trade", "ret_std_5s", "signal", "allocation")
-    return own.join(book, ["market_id", "step"]).groupBy("market_id").applyInPandas(lambda rows: Replay(rows, config).run(max_steps), STEP)
+    return own.join(book, ["market_id", "step"], "left").groupBy("market_id").applyInPandas(lambda rows: Replay(rows, config).run(max_steps), STEP)
 
 
 def backtest_trades(steps: DataFrame) -> DataFrame:
     return steps.select("market_id", "step", F.explode("trades").alias("t")).select("market_id", "step", "t.*")
 
 
-def episode_summary(steps: DataFrame) -> DataFrame:
-    """A row per market that ended: the measures of its episode."""
-    return steps.where("episode IS NOT NULL").select("market_id", F.col("episode.step").alias("length"), *(F.col(f"episode.{n}").alias(n) for n in steps.schema["episode"].dataType.names if n != "step"))
+def episode_summary(steps: DataFrame, runs: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
+    """A row per market that ended: the measures of its episode. With runs (market_id, run_id, episode), the order in which a process met the
+    markets, also the streak of episodes without trades up to it and its penalty."""
+    found = steps.where("episode IS NOT NULL").select("market_id", F.col("episode.step").alias("length"), *(F.col(f"episode.{n}").alias(n) for n in steps.schema["episode"].dataType.names if n != "step"))
+    if runs is None:
+        return found
+    streaks = no_trade_streak(found.join(runs, "market_id"), config=config)
+    return streaks.withColumnsRenamed({"streak": "no_trade_streak", "penalty": "no_trade_penalty"}).drop("run_id", "episode")
 
 
 def step_pnl(steps: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from oddsbook.functions.scalars import number, safe_log_norm, safe_normalize, sa
 LEVELS = [f"{side}_{what}_{level}" for level in (1, 2, 3) for what in ("price", "size") for side in ("back", "lay")]
 FIELDS = [*LEVELS, "has_level_1", "has_level_2", "has_level_3", "last_traded_price", "traded_vol_total", "traded_vol_60s", "secs_since_last_trade", "microprice", "ob_imbalance", "rel_spread", "prob_implied", "ret_std_5s", "ret_std_20s"]
 SLOTS = 24
+#: Fixed value: the runners of a market whose first row has no count.
+DEFAULT_RUNNERS = 9
 
 
 def wide_column(slot: int, field: str) -> str:
@@ -17,12 +19,22 @@ def wide_column(slot: int, field: str) -> str:
     return f"`run[{slot}].{field}`"
 
 
-def unpivot_runners(wide: DataFrame, keep: list[str], fields: list[str] = FIELDS) -> DataFrame:
-    """One row per snapshot and runner below runner_count, with the columns `keep`; absent runner columns are null, NaN too."""
+def first_runner_count(wide: DataFrame, market: str, order: str) -> DataFrame:
+    """(market, runners) by the first row of each market; a count that is null there is the default. One row a market."""
+    first = F.min_by(F.struct(F.col("runner_count").cast("int").alias("n")), order)["n"]
+    return wide.groupBy(market).agg(F.coalesce(first, F.lit(DEFAULT_RUNNERS)).alias("__runners"))
+
+
+def unpivot_runners(wide: DataFrame, keep: list[str], fields: list[str] = FIELDS, market: str = "market_id", order: str = "step") -> DataFrame:
+    """One row per snapshot and runner below the market's runner count, with the columns `keep`; absent runner columns are null, NaN too.
+
+    The runner count of a market is that of its first row, 9 if that is null; other rows' counts do not matter. Rows with a null market are left out.
+    """
+    wide = wide.join(first_runner_count(wide, market, order), market)
     have = set(wide.columns)
     value = lambda slot, f: number(F.col(wide_column(slot, f))) if f"run[{slot}].{f}" in have else F.lit(None).cast("double")
     slots = F.array(*(F.struct(F.lit(i).alias("runner_idx"), *(value(i, f).alias(f) for f in fields)) for i in range(SLOTS)))
-    rows = wide.select(*keep, F.explode(F.filter(slots, lambda s: s["runner_idx"] < F.col("runner_count"))).alias("__quote"))
+    rows = wide.select(*keep, F.explode(F.filter(slots, lambda s: s["runner_idx"] < F.col("__runners"))).alias("__quote"))
     return rows.select(*keep, "__quote.*")
 
 

@@ -133,7 +133,8 @@ _BODIES = {
     "append_episode_metrics": "SELECT episode, step, num_trades, " + _r("realized_pnl") + ", back_trades, CAST(NULL AS DOUBLE) AS green_up_pnl FROM episodes",
     "append_validation_metrics": "SELECT val_episode, " + _r("quantile_cont(pnl, 0.5)", "realized_pnl") + ", " + _r("quantile_cont(pnl, 0.1)", "pnl_p10") + ", " + _r("quantile_cont(pnl, 0.9)", "pnl_p90") + ", count(*) AS stochastic_rollouts, CAST(NULL AS DOUBLE) AS final_balance FROM rollout_pnl GROUP BY val_episode",
     "metrics_union": "SELECT episode, num_trades, " + _r("realized_pnl") + " FROM episodes",
-    "resume_offset": "SELECT (SELECT count(*) FROM episodes WHERE episode % 3 <> 0) + row_number() OVER (ORDER BY step) AS episode, step FROM episodes WHERE episode % 3 = 0 AND run_id = 0",
+    "resume_offset": "SELECT run_id, coalesce(k.n, 0) + row_number() OVER (PARTITION BY run_id ORDER BY step) AS episode, step FROM episodes e LEFT JOIN (SELECT run_id, count(*) AS n FROM episodes WHERE episode % 3 <> 0 GROUP BY run_id) k USING (run_id) WHERE episode % 3 = 0",
+    "quarantine_files": "SELECT 'broken-' || CAST(i AS VARCHAR) || '.parquet' AS file, 'read_error' AS reason FROM range((SELECT least(3, count(DISTINCT file)) FROM split WHERE split = 'undated')) r(i)",
     "to_float": f"SELECT o_orderkey, {_r(f'coalesce(CASE WHEN NOT isnan(TRY_CAST(t AS DOUBLE)) THEN TRY_CAST(t AS DOUBLE) END, -1.0)', 'v')} FROM (SELECT o_orderkey, {_TEXT} AS t FROM orders) o",
     "safe_normalize": f"SELECT {_KEY}, CASE WHEN ob_imbalance IS NOT NULL THEN {_unit('ob_imbalance', '(-1.0)', '1.0')} END AS imbalance0, {_unit('back_size_1', '20.0', '150.0')} AS size0 FROM quotes",
     "safe_log_norm": f"SELECT {_KEY}, {_r(_log('back_size_1'), 'size')}, {_r(_log('signal'), 'signal')} FROM quotes",
@@ -210,8 +211,8 @@ _BODIES["build_observation"] = (
     + " + ".join(_SINGLE(e) for e in _BASE.values()).replace(" ob_imbalance", " q.ob_imbalance") + " + " + " + ".join(_SINGLE(e) for e in _DELTAS) + ") AS total FROM quoted q JOIN (SELECT * EXCLUDE (traded_vol_total, prob_implied) FROM features) f USING (market_id, step, runner_idx) GROUP BY market_id, step) o USING (market_id, step)"
 )
 _BODIES["normalise_observation"] = (
-    f"SELECT {_KEY}, " + ", ".join(_r(_SINGLE(f"greatest(-10.0, least(10.0, (x{i} - a{i}) / sqrt(s{i} + 1e-8)))"), f"v{i}", 4) for i in range(3))
-    + f" FROM (SELECT {_KEY}, " + ", ".join(f"{_BASE[n]} AS x{i}" for i, n in enumerate(_VECTOR[:3])) + " FROM quoted) x CROSS JOIN (SELECT " + ", ".join(f"avg({_BASE[n]}) AS a{i}, var_pop({_BASE[n]}) AS s{i}" for i, n in enumerate(_VECTOR[:3])) + " FROM quoted WHERE market_id % 2 = 0) y"
+    f"SELECT {_KEY}, " + ", ".join(_r(_SINGLE(f"greatest(-10.0, least(10.0, (x{i} - a{i}) / sqrt(s{i} + 1e-8)))"), f"v{i}", 4) for i in range(len(_VECTOR)))
+    + f" FROM (SELECT {_KEY}, " + ", ".join(f"{_BASE[n]} AS x{i}" for i, n in enumerate(_VECTOR)) + " FROM quoted) x CROSS JOIN (SELECT " + ", ".join(f"avg({_BASE[n]}) AS a{i}, var_pop({_BASE[n]}) AS s{i}" for i, n in enumerate(_VECTOR)) + " FROM quoted WHERE market_id IN (SELECT market_id FROM snapshots JOIN split USING (file) WHERE split = 'train')) y"
 )
 for _check in ("pre_race_secs", "liquidity_at_off", "fav_spread", "fav_drift", "ob_imbalance", "prob_null_rate"):
     _BODIES[f"chk_{_check}"] = f"SELECT market_id, {_r(_check, 'value')} FROM checks"

@@ -78,7 +78,13 @@ def _marked(s: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(s: SparkSession, name: str) -> str:
-    shared = s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    """A new path in the folder that the cluster shares; a temporary folder only serves a local master."""
+    shared = s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        master = s.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        shared = tempfile.gettempdir()
     return f"{shared.rstrip('/')}/oddsbook-{name}-{uuid.uuid4().hex}"
 
 
@@ -101,6 +107,21 @@ def scan_snapshots(s, d):
     return rows.select(_C("source_market_id").cast("long").alias("market_id"), _C("secs_to_off").cast("long").alias("step"), "ts_unix", "runner_count", "market_status", "total_matched_market", _C("`run[0].back_price_1`").alias("b0"), _C("`run[6].lay_price_1`").alias("l6"))
 
 
+@query
+def quarantine_files(s, d):
+    """Markets with a date in their file name are Parquet; the others' rows are text files that only have Parquet's file name."""
+    path, rows = _folder(s, "mixed"), _snaps(s, d).select("market_id", "file", "ts_unix")
+    rows.where(split.race_date(_C("file")).isNotNull()).drop("file").write.parquet(path)
+    other = rows.where(split.race_date(_C("file")).isNull()).select("file").distinct()
+    other.repartition(3).sortWithinPartitions("file").write.text(f"{path}-text")
+    at = s._jvm.org.apache.hadoop.fs.Path(f"{path}-text")
+    files = at.getFileSystem(s._jsc.hadoopConfiguration())
+    texts = [f.getPath() for f in files.listStatus(at) if f.getPath().getName().endswith(".txt")]
+    for i, text in enumerate(texts):  # three files
+        files.rename(text, s._jvm.org.apache.hadoop.fs.Path(f"{path}/broken-{i}.parquet"))
+    return races.quarantine_files(s, path, races.scan_snapshots(s, path, {"ts_unix": rows.schema["ts_unix"].dataType}))
+
+
 @query
 def read_whitelist(s, d):
     files = _files(s, d).join(inspection.suitability(_snaps(s, d), _raw(s, d)), "market_id")
@@ -140,7 +161,7 @@ def metrics_union(s, d):
 @query
 def resume_offset(s, d):
     old, new = _appended(s, d)
-    return sink.resume_offset(old, new.where("run_id = 0").drop("episode")).select("episode", "step")
+    return sink.resume_offset(old, new.drop("episode")).select("run_id", "episode", "step")
 
 
 # Scalars and projections
@@ -260,9 +281,11 @@ def observation_stats(s, d):
 
 @query
 def normalise_observation(s, d):
+    """All places, by the statistics of the markets whose files are of the training period."""
     rows = _vectors(s, d)
-    out = ft.normalise_observation(rows, ft.observation_stats(rows.where("market_id % 2 = 0"), "v"), "v")
-    return out.select(*_KEY, *(_digits(_C("v")[i].cast("double"), 4).alias(f"v{i}") for i in range(3)))
+    train = split.temporal_split(_files(s, d)).where("split = 'train'").select("market_id")
+    out = ft.normalise_observation(rows, ft.observation_stats(rows.join(train, "market_id", "left_semi"), "v"), "v")
+    return out.select(*_KEY, *(_digits(_C("v")[i].cast("double"), 4).alias(f"v{i}") for i in range(len(_VECTOR))))
 
 
 # Filters
@@ -546,7 +569,9 @@ def step_pnl(s, d):
 
 @query
 def episode_summary(s, d):
-    return bt.episode_summary(workloads.run_backtest(_snaps(s, d), _raw(s, d)))
+    """Each day's markets are a run, in the order of their numbers."""
+    runs = _files(s, d).select("market_id", F.coalesce(split.race_date(_C("file")).cast("string"), _C("file")).alias("run_id"), _C("market_id").alias("episode"))
+    return bt.episode_summary(workloads.run_backtest(_snaps(s, d), _raw(s, d)), runs)
 
 
 @query
