@@ -161,7 +161,7 @@ def metrics_union(s, d):
 @query
 def resume_offset(s, d):
     old, new = _appended(s, d)
-    return sink.resume_offset(old, new.drop("episode")).select("run_id", "episode", "step")
+    return sink.resume_offset(old, new.drop("episode"), run="run_id").select("run_id", "episode", "step")
 
 
 # Scalars and projections

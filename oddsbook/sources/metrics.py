@@ -32,8 +32,11 @@ def metrics_union(old: DataFrame, new: DataFrame, schema: str = EPISODE) -> Data
     return fitted(old, schema).unionByName(fitted(new, schema))
 
 
-def resume_offset(old: DataFrame, new: DataFrame, order: str = "step", run: str = "run_id") -> DataFrame:
-    """new with episode numbers that go on after the rows of old, in each run by itself: a run is one process, the window's partition."""
+def resume_offset(old: DataFrame, new: DataFrame, order: str = "step", run: str | None = None) -> DataFrame:
+    """new with episode numbers that go on after the rows of old: in each run by itself where `run` names its column, else as rows of one
+    run. A run is one process, few enough rows for one ordered window."""
+    if run is None:
+        return new.withColumn("episode", F.lit(old.count()) + F.row_number().over(Window.orderBy(order)))
     known = old.groupBy(run).agg(F.count("*").alias("__known"))
     numbered = new.withColumn("episode", F.row_number().over(Window.partitionBy(run).orderBy(order))).join(known, run, "left")
     return numbered.withColumn("episode", F.col("episode") + F.coalesce("__known", F.lit(0))).drop("__known")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -153,6 +154,48 @@ def test_replay(spark, config):
     assert made > 50
 
 
+def test_replay_of_steps_without_quotes(spark):
+    """Quotes of every third step are gone, in play too: each snapshot is a step all the same, and a shut one counts."""
+    snaps, clean = fx.snapshots(spark, SF), q.clean_quotes(fx.quotes(spark, SF))
+    got = {r.market_id: r for r in backtest.episode_summary(backtest.backtest(clean.where("step % 3 <> 2"), snaps)).collect()}
+    whole = {r.market_id: r for r in backtest.episode_summary(backtest.backtest(clean, snaps)).collect()}
+    assert {m: (r.length, r.suspended_violations) for m, r in got.items()} == {m: (r.length, r.suspended_violations) for m, r in whole.items()}
+    none = backtest.episode_summary(backtest.backtest(clean.where("false"), snaps)).collect()
+    assert len(none) == len(whole) and all(r.balance == DEFAULT.capital and not r.had_trades for r in none)
+
+
+def test_replay_follows_the_curriculum(spark):
+    snaps, clean = fx.snapshots(spark, SF), q.clean_quotes(fx.quotes(spark, SF))
+    of = lambda s: sorted(map(tuple, backtest.episode_summary(backtest.backtest(clean, s)).select("market_id", "num_trades", "balance").collect()))
+    last, early = of(snaps.withColumn("global_step", F.lit(DEFAULT.curriculum_steps))), of(snaps.withColumn("global_step", F.lit(0)))
+    loose = replace(DEFAULT, min_liability=DEFAULT.start_liability, signal_threshold=DEFAULT.start_threshold, min_stake=DEFAULT.start_stake)
+    assert last == of(snaps)
+    assert early == sorted(map(tuple, backtest.episode_summary(backtest.backtest(clean, snaps, loose)).select("market_id", "num_trades", "balance").collect())) != last
+
+
+def test_episode_fields(spark):
+    steps = backtest.backtest(q.clean_quotes(fx.quotes(spark, SF)), fx.snapshots(spark, SF))
+    runs = steps.select("market_id").distinct().selectExpr("market_id", "0 AS run_id", "market_id AS episode")
+    trades = {m: n for m, n in steps.select("market_id", F.size("trades").alias("n")).groupBy("market_id").agg(F.sum("n")).collect()}
+    changed = {r.market_id: r for r in steps.groupBy("market_id").agg(F.sum(F.col("mtm_change")).alias("mtm"), F.sum("realised").alias("realised"), F.sum("sharpe").alias("sharpe")).collect()}
+    streak = 0
+    for r in backtest.episode_summary(steps, runs).orderBy("market_id").collect():
+        streak = 0 if trades[r.market_id] else streak + 1
+        assert (r.num_trades, r.had_trades, r.no_trade_streak) == (trades[r.market_id], trades[r.market_id] > 0, streak) and r.back_trades + r.lay_trades == r.num_trades
+        assert r.no_trade_penalty == (max(DEFAULT.streak_cap, -0.5 * (streak - DEFAULT.streak_grace + 1)) if streak >= DEFAULT.streak_grace else 0.0)
+        assert r.green_up_pnl == r.realized_pnl == pytest.approx(r.balance - DEFAULT.capital)
+        own = changed[r.market_id]
+        assert (r.mtm_reward, r.mid_race_pnl, r.sharpe_reward) == pytest.approx((own.mtm / DEFAULT.capital * DEFAULT.mtm_scale, own.realised, own.sharpe), abs=1e-6)
+        assert r.book_spread == pytest.approx(r.best_case - r.worst_case) and r.is_green == (r.worst_case > 0)
+
+
+def test_runner_count_is_that_of_the_first_row(spark):
+    rows = [(1, 0, 3), (1, 1, None), (1, 2, 5), (2, 0, None), (2, 1, 2)]
+    wide = spark.createDataFrame(rows, "market_id long, step long, runner_count int").withColumn("run[0].back_price_1", F.lit(2.0))
+    got = q.unpivot_runners(wide, ["market_id", "step"]).groupBy("market_id", "step").count().collect()
+    assert {(r.market_id, r.step): r["count"] for r in got} == {(1, 0): 3, (1, 1): 3, (1, 2): 3, (2, 0): 9, (2, 1): 9}
+
+
 def test_replay_does_not_depend_on_partitions(spark):
     snaps, clean = fx.snapshots(spark, SF), q.clean_quotes(fx.quotes(spark, SF))
     one, two = (backtest.episode_summary(backtest.backtest(c, snaps)).orderBy("market_id").collect() for c in (clean, clean.repartition(7, "runner_idx")))
