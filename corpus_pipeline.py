@@ -54,7 +54,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not contaminated; null and empty texts are clean, all rows of a doc_id go if one of them is contaminated."""
     found, doc = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), unnamed=True), _new_name()
-    hit = found.where(decontaminate.is_contaminated(F.size("hits"), F.col("n_words"))).select(F.col("doc_id").alias(doc)).distinct()
+    hit = found.where(decontaminate.is_contaminated(F.size("hits"), F.col("n_words"))).select(F.col("doc_id").alias(doc)).distinct().hint("merge")  # these grow with the corpus
     return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left_anti")
 
 
