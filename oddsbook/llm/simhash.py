@@ -65,7 +65,7 @@ def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
         raise ValueError("balls of radius 1 meet for fingerprints at most 2 bits apart; other radii are not offered")
     flips = F.array(F.lit(0).cast("long"), *(F.lit(v).cast("long") for v in [1 << i for i in range(63)] + [-(1 << 63)]))
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = prints.select("fp").distinct().repartition(tasks, "fp")  # so that the balls, 65 rows for one, are made in as many tasks
+    dealt = prints.select("fp").distinct().repartition(tasks, F.xxhash64("fp"))  # so that the balls, 65 rows for one, are made in as many tasks
     balls = dealt.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"))
     met = balls.groupBy("value").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     links = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
