@@ -26,12 +26,15 @@ def few_rows(config: Config = DEFAULT) -> Column:
 def market_checks(snapshots: DataFrame, quotes: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """A row per market with the measure of every check, from snapshots and raw quotes (before clean_quotes).
 
-    A market's rows are few hundreds, so per-market arrays of its pre-race rows would do; here each measure is an aggregate,
-    over quotes gathered to one struct array a snapshot, so that both inputs are shuffled once by market_id.
+    Each measure is an aggregate over snapshots that hold their quotes as an array. Both inputs go through one exchange by market_id, which
+    serves all windows and groupings. A snapshot without quotes has an empty array, quotes without a snapshot do not count. `file`, where
+    snapshots have it, is that of the market's first row.
     """
-    own = F.struct("runner_idx", "back_price_1", "lay_price_1", "ob_imbalance", "prob_implied")
-    books = quotes.groupBy("market_id", "step").agg(F.sort_array(F.collect_list(own)).alias("book"))
-    rows = snapshots.join(books, ["market_id", "step"], "left")
+    own = F.struct("runner_idx", "back_price_1", "lay_price_1", "ob_imbalance", "prob_implied").alias("quote")
+    names = [c for c in snapshots.columns if c not in ("market_id", "step")]
+    both = snapshots.select("market_id", "step", F.struct(*(F.col(c) for c in names)).alias("own")).unionByName(quotes.select("market_id", "step", own), allowMissingColumns=True)
+    steps = both.repartition("market_id").groupBy("market_id", "step").agg(F.collect_list("own").alias("owns"), F.sort_array(F.collect_list("quote")).alias("book"))
+    rows = steps.select("market_id", "step", "book", F.explode("owns").alias("own")).select("market_id", "step", "book", "own.*")
     pre = F.coalesce(F.col("in_play") == 0, F.lit(False)) if "in_play" in snapshots.columns else F.lit(True)
     w = Window.partitionBy("market_id")
     priced = F.filter("book", lambda q: q["back_price_1"] > 1.0)
@@ -58,6 +61,7 @@ def market_checks(snapshots: DataFrame, quotes: DataFrame, config: Config = DEFA
         F.coalesce(F.abs(last_pre("fb") - F.max("fav.price")) / F.max("fav.price") * 100, F.lit(0.0)).alias("fav_drift"),
         F.coalesce(last("result_closed"), F.lit(0)).cast("int").alias("result_closed"),
         last("result_winner_idx_first").alias("winner"), F.coalesce(F.trim(last("result_winner_selids")), F.lit("None")).alias("selids"),
+        *([F.min_by(F.struct("file"), "step")["file"].alias("file")] if "file" in names else []),
     )
     raw = rows.where("pre").select("market_id", F.explode("book").alias("q")).select("market_id", "q.runner_idx", "q.ob_imbalance", "q.prob_implied")
     runner = raw.groupBy("market_id", "runner_idx").agg(F.when(F.count("ob_imbalance") > 1, F.stddev_samp("ob_imbalance")).alias("sd"), F.sum(F.col("prob_implied").isNull().cast("int")).alias("nulls"), F.count("*").alias("n"))
@@ -66,6 +70,7 @@ def market_checks(snapshots: DataFrame, quotes: DataFrame, config: Config = DEFA
         "market_id", "few_rows", "n_runners", "pre_race_secs", "pre_race_snapshots", "liquidity_at_off", "fav", "fav_spread", "fav_drift",
         F.coalesce("sd", F.lit(0.0)).alias("ob_imbalance"), "result_closed",
         (F.col("winner").isNotNull() & (F.col("winner") != -1) & (F.col("selids") != "")).cast("int").alias("winner_valid"), F.coalesce("null_rate", F.lit(1.0)).alias("prob_null_rate"),
+        *(["file"] if "file" in names else []),
     )
 
 
@@ -88,8 +93,16 @@ def reason(config: Config = DEFAULT) -> Column:
 
 def suitability(snapshots: DataFrame, quotes: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(market_id, is_suitable, reason) of every market."""
-    found = market_checks(snapshots, quotes, config).select("market_id", reason(config).alias("reason"))
-    return found.select("market_id", (F.col("reason") == "passed_all_9_checks").alias("is_suitable"), "reason")
+    return _judged(market_checks(snapshots, quotes, config).select("market_id", reason(config).alias("reason")))
+
+
+def suitable_files(snapshots: DataFrame, quotes: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(market_id, file, is_suitable, reason) of every market, the file from the same pass."""
+    return _judged(market_checks(snapshots, quotes, config).select("market_id", "file", reason(config).alias("reason")))
+
+
+def _judged(found: DataFrame) -> DataFrame:
+    return found.withColumn("is_suitable", F.col("reason") == "passed_all_9_checks").select(*(c for c in found.columns if c != "reason"), "is_suitable", "reason")
 
 
 def reason_histogram(suitable: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsbook.config import DEFAULT, Config
+from oddsbook.functions.scalars import commission_rate
 
 _C = F.col
 
@@ -15,11 +16,28 @@ def episode_outcome(pnl: Column) -> Column:
 
 
 def rollout_quantiles(rollouts: DataFrame) -> DataFrame:
-    """Median and outer tenths of each episode's rollouts (val_episode, rollout, pnl), interpolated; the tenths are 0 for a single rollout. last_pnl is that of the last one."""
+    """Median and outer tenths of each episode's rollouts (val_episode, rollout, pnl), interpolated; the tenths are 0 for a single rollout.
+    last_pnl and all other columns are those of the last rollout.
+    """
     q = F.percentile("pnl", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    rows = rollouts.groupBy("val_episode").agg(q.alias("q"), F.count("*").alias("n_rollouts"), F.max_by("pnl", "rollout").alias("last_pnl"))
+    others = [c for c in rollouts.columns if c not in ("val_episode", "rollout", "pnl")]
+    last = F.max_by(F.struct(_C("pnl").alias("last_pnl"), *others), "rollout")
+    rows = rollouts.groupBy("val_episode").agg(q.alias("q"), F.count("*").alias("n_rollouts"), last.alias("last"))
     tail = lambda i: F.when(_C("n_rollouts") > 1, _C("q")[i]).otherwise(0.0)
-    return rows.select("val_episode", "n_rollouts", _C("q")[1].alias("realized_pnl"), tail(0).alias("pnl_p10"), tail(2).alias("pnl_p90"), "last_pnl")
+    return rows.select("val_episode", "n_rollouts", _C("q")[1].alias("realized_pnl"), tail(0).alias("pnl_p10"), tail(2).alias("pnl_p90"), "last.*")
+
+
+def race_card(snapshots: DataFrame, card: list[str], key: str = "market_id", order: str = "step", config: Config = DEFAULT) -> DataFrame:
+    """One row a market from its first row: file, runner count, commission rate, the columns `card` and how many of them are known; and its
+    number of snapshots. Columns of the card that snapshots lack are null; the key is no column of the card.
+    """
+    card = [c for c in card if c != key]
+    own = [c for c in ("file", "runner_count", "commission_rate") if c in snapshots.columns]
+    known = [c for c in card if c in snapshots.columns]
+    rows = snapshots.groupBy(key).agg(F.min_by(F.struct(*own, *known), order).alias("f"), F.count("*").alias("snapshots"))
+    field = lambda c: (_C("f")[c] if c in known else F.lit(None)).cast("string")
+    n_known = sum((field(c).isNotNull().cast("int") for c in card), F.lit(0))
+    return rows.select(key, *(_C("f")[c].alias(c) for c in own if c != "commission_rate"), commission_rate(_C("f.commission_rate") if "commission_rate" in own else F.lit(None).cast("double"), config).alias("commission_rate"), "snapshots", *(field(c).alias(c) for c in card), n_known.alias("n_known"))
 
 
 def _rates(rows_with: str = "num_trades") -> list[Column]:
@@ -28,13 +46,14 @@ def _rates(rows_with: str = "num_trades") -> list[Column]:
 
 
 def validation_summary(rows: DataFrame) -> DataFrame:
-    """One row over all validation episodes."""
+    """One row over all validation episodes; means of the rollouts' tenths and of the mid-race result where rows have them."""
     back, lay = F.sum("back_trades"), F.sum("lay_trades")
     mean = lambda c: F.avg(c).alias(f"mean_{c}")
     return rows.agg(
         F.count("*").alias("episodes"), F.avg("realized_pnl").alias("mean_pnl"), F.percentile("realized_pnl", F.lit(0.5)).alias("median_pnl"), F.stddev_samp("realized_pnl").alias("std_pnl"),
         (F.avg((_C("realized_pnl") > 0).cast("int")) * 100).alias("win_rate"), *_rates(), (back / F.greatest(lay, F.lit(1))).alias("back_lay_ratio"),
         mean("num_trades"), mean("commission_paid"), mean("back_exposure"), mean("lay_exposure"), mean("depth_violations"), mean("suspended_violations"),
+        *(mean(c) for c in ("pnl_p10", "pnl_p90", "mid_race_pnl") if c in rows.columns),
     )
 
 

@@ -17,9 +17,23 @@ def race_date(file: Column) -> Column:
     return F.when(parts[0] != "", F.try_to_date(F.concat_ws("-", *parts), "yyyy-MM-dd"))
 
 
+def file_dates(snapshots: DataFrame, source: str, order: str = "step") -> DataFrame:
+    """(file, race_date), a row a file, by its name (source filename), its first row's market_time (column) or the time it was modified
+    (modified), in the session's time zone; null where that is missing.
+    """
+    if source == "filename":
+        return snapshots.select("file").distinct().withColumn("race_date", race_date(F.col("file")))
+    if source not in ("column", "modified"):
+        raise ValueError(f"unknown source of dates: {source}")
+    first = F.min_by(F.struct("market_time"), order)["market_time"] if source == "column" else F.min("modified")
+    return snapshots.groupBy("file").agg(first.cast("date").alias("race_date"))
+
+
 def temporal_split(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """files with race_date and split: train or validation by period (ends included), undated, or null outside both."""
-    rows = files.withColumn("race_date", race_date(F.col("file")))
+    """files with race_date and split: train or validation by period (ends included), undated, or null outside both. Files that have a
+    race_date already (file_dates) keep it, others get that of their name.
+    """
+    rows = files if "race_date" in files.columns else files.withColumn("race_date", race_date(F.col("file")))
     period = lambda p: F.col("race_date").between(F.lit(p[0]).cast("date"), F.lit(p[1]).cast("date"))
     return rows.withColumn("split", F.when(F.col("race_date").isNull(), "undated").when(period(config.train_period), "train").when(period(config.validation_period), "validation"))
 

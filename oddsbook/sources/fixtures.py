@@ -93,7 +93,8 @@ FROM {orders}) a) b"""
 
 ROLLOUTS = """
 SELECT e.episode AS val_episode, r.rollout,
-  CAST((e.episode * 7919 + r.rollout * 104729) % 20001 - 10000 AS DOUBLE) / 100 AS pnl
+  CAST((e.episode * 7919 + r.rollout * 104729) % 20001 - 10000 AS DOUBLE) / 100 AS pnl,
+  (e.num_trades + r.rollout) % 40 AS num_trades, CAST((e.episode * 13 + r.rollout * 29) % 401 - 200 AS DOUBLE) / 10 AS mid_race_pnl
 FROM {episodes} e CROSS JOIN {rollouts} r"""
 
 
