@@ -123,9 +123,9 @@ def observation_stats(rows: DataFrame, vector: str = "observation") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for r in b.column(0).to_pylist() if r is not None]
-            if rows:
-                x = np.array(rows, dtype=np.float64)
+            rows = b.column(0).drop_null()
+            if len(rows):
+                x = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
                 mean = x.mean(axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([mean.tolist()], pa.list_(pa.float64())), pa.array([((x - mean) ** 2).sum(axis=0).tolist()], pa.list_(pa.float64()))], ["n", "mean", "m2"])
 

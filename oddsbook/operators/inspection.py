@@ -26,8 +26,8 @@ def few_rows(config: Config = DEFAULT) -> Column:
 def market_checks(snapshots: DataFrame, quotes: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """A row per market with the measure of every check, from snapshots and raw quotes (before clean_quotes).
 
-    Each measure is an aggregate over snapshots that hold their quotes as an array. Both inputs go through one exchange by market_id, which
-    serves all windows and groupings. A snapshot without quotes has an empty array, quotes without a snapshot do not count. `file`, where
+    Each measure is an aggregate over snapshots that hold their quotes as an array. Both inputs go through one exchange by market_id for
+    the measures of snapshots and one, of fewer columns, for those of runners; each serves all its windows and groupings. A snapshot without quotes has an empty array, quotes without a snapshot do not count. `file`, where
     snapshots have it, is that of the market's first row.
     """
     own = F.struct("runner_idx", "back_price_1", "lay_price_1", "ob_imbalance", "prob_implied").alias("quote")

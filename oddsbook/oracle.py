@@ -222,6 +222,21 @@ for _check in ("pre_race_secs", "liquidity_at_off", "fav_spread", "fav_drift", "
 for _check in ("pre_race_snapshots", "result_closed", "winner_valid"):
     _BODIES[f"chk_{_check}"] = f"SELECT market_id, {_check} AS value FROM checks"
 
+_SLOT = [*_BASE.values(), "0", "0", *_DELTAS[:-1], "0", _DELTAS[-1]]
+_WORLD = ["1", "0", "1", "0", _GLOBAL["g_progress"], "0", "0", _GLOBAL["g_runner_count"], "0", "0", "0", _GLOBAL["g_secs_to_off"], _GLOBAL["g_total_matched"], _GLOBAL["g_prob_entropy"], "0"]
+_Z = lambda x: _SINGLE(f"greatest(-10.0, least(10.0, ({x} - mean) / sqrt(variance + 1e-8)))")
+_OF_PLACES = "SELECT p.feature, n, coalesce(sum(x), 0) / n AS mean, greatest(0, coalesce(sum(x * x), 0) / n - (coalesce(sum(x), 0) / n) * (coalesce(sum(x), 0) / n)) AS variance FROM (SELECT range AS feature FROM range(999)) p CROSS JOIN (SELECT count(*) AS n FROM snapshots{where}) c LEFT JOIN (SELECT feature, x FROM obs_values{where}) o ON o.feature = p.feature GROUP BY p.feature, n"
+_TABLES |= {
+    "obs_slots": "SELECT q.market_id, q.step, q.runner_idx, [" + ", ".join(_SINGLE(e) for e in _SLOT) + "] AS vs FROM quoted q JOIN (SELECT market_id, step, runner_idx, m, m5, micro_delta_1, micro_delta_5, imbalance_delta, vol60_delta, spread_delta, vwap_ratio, price_percentile, favourite_delta FROM features) f ON f.market_id = q.market_id AND f.step = q.step AND f.runner_idx = q.runner_idx",
+    "obs_values": "SELECT market_id, step, runner_idx * 41 + unnest(range(41)) AS feature, unnest(vs) AS x FROM obs_slots UNION ALL SELECT market_id, step, 984 + unnest(range(15)) AS feature, unnest([" + ", ".join(_SINGLE(e) for e in _WORLD) + "]) AS x FROM snapshots",
+    "obs_train": _OF_PLACES.format(where=" WHERE market_id IN (SELECT market_id FROM snapshots JOIN split USING (file) WHERE split = 'train')"),
+}
+_BODIES["observation_stats_wide"] = f"SELECT feature, n, {_r('mean')}, {_r('variance')} FROM ({_OF_PLACES.format(where='')}) t"
+_BODIES["normalise_observation_wide"] = (
+    "SELECT market_id, step, 999 AS places, " + ", ".join(_r(f"coalesce(max(CASE WHEN feature = {i} THEN zx END), (SELECT {_Z(0)} FROM obs_train WHERE feature = {i}))", n, 4) for i, n in ((0, "first"), (12, "micro"), (995, "secs")))
+    + f", {_r(f'(SELECT sum({_Z(0)}) FROM obs_train) + sum(zx - z0)', 'total', 2)} FROM (SELECT v.market_id, v.step, v.feature, {_Z('x')} AS zx, {_Z(0)} AS z0 FROM obs_values v JOIN obs_train t ON t.feature = v.feature) u GROUP BY market_id, step"
+)
+
 
 def _words(text: str) -> set[str]:
     return set("".join(c if c.isalnum() or c == "_" else " " for c in text).split())

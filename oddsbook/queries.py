@@ -334,6 +334,26 @@ def normalise_observation(s, d):
     return out.select(*_KEY, *(_digits(_C("v")[i].cast("double"), 4).alias(f"v{i}") for i in range(len(_VECTOR))))
 
 
+def _observations(s, d):
+    return ft.build_observation(_snaps(s, d), ft.runner_features(_clean(s, d)))
+
+
+@query
+def observation_stats_wide(s, d):
+    """All 999 places of the vector."""
+    return ft.observation_stats(_observations(s, d)).select(_C("feature").cast("long").alias("feature"), "n", "mean", "variance")
+
+
+@query
+def normalise_observation_wide(s, d):
+    """All 999 places, by the statistics of the training period's markets: some of the places and their sum."""
+    rows = _observations(s, d)
+    train = split.temporal_split(_files(s, d)).where("split = 'train'").select("market_id")
+    out = ft.normalise_observation(rows, ft.observation_stats(rows.join(train, "market_id", "left_semi"))).withColumn("o", _C("observation").cast("array<double>"))
+    at = lambda i, name: _digits(F.element_at("o", i), 4).alias(name)
+    return out.select("market_id", "step", F.size("o").alias("places"), at(1, "first"), at(13, "micro"), at(996, "secs"), _digits(F.aggregate("o", F.lit(0.0), lambda a, v: a + v), 2).alias("total"))
+
+
 # Filters
 
 

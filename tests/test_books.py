@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import random
 import re
 from dataclasses import replace
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from oddsbook import queries
 from oddsbook.config import DEFAULT, EARLIER
-from oddsbook.operators import backtest, features, inspection, ledger, valuation
+from oddsbook.operators import backtest, features, inspection, ledger, metrics, split, valuation
 from oddsbook.operators import quotes as q
 from oddsbook.plans import workloads
 from oddsbook.sources import fixtures as fx
@@ -291,6 +292,53 @@ def test_shuffles(spark):
     assert plan.count("Exchange hashpartitioning") <= 5
 
 
+def test_inspection_shuffles_by_market_only(spark):
+    """Snapshots and quotes go through one exchange by market_id for the measures of snapshots and one for those of runners."""
+    snaps, raw = queries._snaps(spark, SF), queries._raw(spark, SF)
+    plan = workloads.inspect(snaps, raw)._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Final Plan ==")[0]
+    exchanges = re.findall(r"(?<!Broadcast)Exchange (\w+)\(([^,)]*)", plan)
+    assert exchanges and all(kind == "hashpartitioning" and key.startswith("market_id") for kind, key in exchanges)
+    assert len(exchanges) <= 2
+
+
+def test_inspection_of_odd_rows(spark):
+    """Snapshots without quotes stay, quotes without a snapshot do not count, empty inputs give nothing."""
+    snaps, raw = queries._snaps(spark, SF), queries._raw(spark, SF)
+    market = snaps.first().market_id
+    few = inspection.market_checks(snaps.where(f"market_id = {market}"), raw.where("false")).first()
+    assert few.few_rows and few.fav is None and few.prob_null_rate == 1.0 and few.file.endswith(".parquet")
+    assert inspection.market_checks(snaps.where("false"), raw).count() == 0
+    gone = inspection.market_checks(snaps.where(f"market_id = {market} AND step <> 3"), raw).first()
+    kept = inspection.market_checks(snaps.where(f"market_id = {market} AND step <> 3"), raw.where("step <> 3")).first()
+    assert gone == kept
+
+
+def test_dates_by_column_and_by_file_time(spark):
+    at = datetime.datetime(2026, 2, 3, 12, 30)
+    rows = spark.createDataFrame([("a", 1, None, at), ("a", 0, at, at), ("b", 0, None, at)], "file string, step int, market_time timestamp, modified timestamp")
+    day = datetime.date(2026, 2, 3)
+    assert {tuple(r) for r in split.file_dates(rows, "column").collect()} == {("a", day), ("b", None)}
+    assert {tuple(r) for r in split.file_dates(rows, "modified").collect()} == {("a", day), ("b", day)}
+    assert {tuple(r) for r in split.file_dates(rows, "filename").collect()} == {("a", None), ("b", None)}
+    assert {(r.file, r.split) for r in split.temporal_split(split.file_dates(rows, "column")).collect()} == {("a", "validation"), ("b", "undated")}
+    with pytest.raises(ValueError):
+        split.file_dates(rows, "other")
+
+
+def test_race_card(spark):
+    rows = spark.createDataFrame([(1, 1, "f", 5, 0.1, "late"), (1, 0, "f", 4, None, None), (2, 0, "g", None, 0.02, "Y")], "market_id long, step int, file string, runner_count int, commission_rate double, venue string")
+    card = {r.market_id: r for r in metrics.race_card(rows, ["venue", "race_type", "market_id"]).collect()}
+    assert (card[1].venue, card[1].n_known, card[1].runner_count, card[1].commission_rate, card[1].snapshots) == (None, 0, 4, 0.05, 2)
+    assert (card[2].venue, card[2].race_type, card[2].n_known, card[2].commission_rate) == ("Y", None, 1, 0.02)
+
+
+def test_other_columns_are_those_of_the_last_rollout(spark):
+    rows = spark.createDataFrame([(1, 0, 5.0, 3, "x"), (1, 1, 7.0, None, "y")], "val_episode int, rollout int, pnl double, num_trades int, note string")
+    row = metrics.rollout_quantiles(rows).first()
+    assert (row.realized_pnl, row.last_pnl, row.num_trades, row.note) == (6.0, 7.0, None, "y")
+
+
 def _stored(spark):
     path = queries._folder(spark, "quotes")
     fx.quotes(spark, SF).write.parquet(path)
