@@ -31,7 +31,7 @@ def market_checks(snapshots: DataFrame, quotes: DataFrame, config: Config = DEFA
     snapshots have it, is that of the market's first row.
     """
     own = F.struct("runner_idx", "back_price_1", "lay_price_1", "ob_imbalance", "prob_implied").alias("quote")
-    names = [c for c in snapshots.columns if c not in ("market_id", "step")]
+    names = ["ts_unix", "runner_count", "total_matched_market", "result_closed", "result_winner_idx_first", "result_winner_selids", *(c for c in ("in_play", "file") if c in snapshots.columns)]
     both = snapshots.select("market_id", "step", F.struct(*(F.col(c) for c in names)).alias("own")).unionByName(quotes.select("market_id", "step", own), allowMissingColumns=True)
     steps = both.repartition("market_id").groupBy("market_id", "step").agg(F.collect_list("own").alias("owns"), F.sort_array(F.collect_list("quote")).alias("book"))
     rows = steps.select("market_id", "step", "book", F.explode("owns").alias("own")).select("market_id", "step", "book", "own.*")
