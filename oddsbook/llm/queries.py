@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsbook.llm import bpe, decontaminate, embeddings, licenses, lines, quality, simhash, substrings, tokencounts, tokenids
+from oddsbook.llm import bpe, decontaminate, embeddings, exact, licenses, lines, quality, simhash, substrings, tokencounts, tokenids
 from oddsbook.llm.common import table, work_path
 
 
@@ -67,6 +67,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses.license", ",").alias("licenses"), F.array_max("licenses.containment").alias("containment"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_dedup(spark, f"{sf_dir}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_bpe": op9_bpe,
     "op10_licenses": op10_licenses,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 _OP1 = """
@@ -135,9 +140,14 @@ SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_ite
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
+_OP11 = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents) d WINDOW w AS (PARTITION BY body)"""
+
 ORACLES: dict[str, str] = {
     "op1_embedding_dedup": _OP1,
     "op2_line_dedup": _OP2,
     "op4_substring_dedup": _OP4,
     "op6_decontaminate": _OP6,
+    "op11_exact_dedup": _OP11,
 }
