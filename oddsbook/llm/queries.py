@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsbook.llm import bpe, decontaminate, embeddings, exact, licenses, lines, quality, simhash, substrings, tokencounts, tokenids
+from oddsbook.llm import bpe, codes, decontaminate, embeddings, exact, licenses, lines, quality, simhash, substrings, tokencounts, tokenids
 from oddsbook.llm.common import table, work_path
 
 
@@ -71,6 +71,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(spark, f"{sf_dir}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_licenses": op10_licenses,
     "op11_exact_dedup": op11_exact_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _OP1 = """
@@ -144,10 +149,31 @@ _OP11 = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
 FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents) d WINDOW w AS (PARTITION BY body)"""
 
+#: A round's assignment (n, place of the entry nearest to each part) and the codebook it gives.
+_NEAREST = """
+a{i} AS (SELECT n, p, min(struct_pack(d := d, e := e)) AS best FROM (
+  SELECT v.n, v.p, b.e, sum((v.x - b.x) * (v.x - b.x)) AS d FROM parts v JOIN b{i} b ON v.p = b.p AND v.k = b.k GROUP BY v.n, v.p, b.e) t GROUP BY n, p)"""
+_BOOK = """
+b{j} AS (SELECT b.p, b.e, b.k, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN (
+  SELECT a.p, a.best.e AS e, v.k, CAST(floor(sum(v.x) / count(*)) AS BIGINT) AS x FROM a{i} a JOIN parts v ON v.n = a.n AND v.p = a.p GROUP BY a.p, a.best.e, v.k) m
+  ON m.p = b.p AND m.e = b.e AND m.k = b.k)"""
+
+_OP13 = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+places AS (SELECT n, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i, len(embedding) // 4 AS w FROM kept),
+parts AS MATERIALIZED (SELECT n, i // w AS p, i % w AS k, CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM places),
+b0 AS MATERIALIZED (SELECT p, n AS e, k, x FROM parts WHERE n < 256),{",".join(_NEAREST.format(i=i).replace("AS (", "AS MATERIALIZED (", 1) + "," + _BOOK.format(i=i, j=i + 1).replace("AS (", "AS MATERIALIZED (", 1) for i in range(4))},{_NEAREST.format(i=4)},
+coded AS (SELECT n, string_agg(printf('%02x', CAST(best.e AS BIGINT)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a4 GROUP BY n),
+book AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, k)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (n) CROSS JOIN book"""
+
 ORACLES: dict[str, str] = {
     "op1_embedding_dedup": _OP1,
     "op2_line_dedup": _OP2,
     "op4_substring_dedup": _OP4,
     "op6_decontaminate": _OP6,
     "op11_exact_dedup": _OP11,
+    "op13_vector_codes": _OP13,
 }
