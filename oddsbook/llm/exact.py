@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from oddsbook.llm.common import delete, settings, work_path
 
 SCHEMA = "doc_id long, text string"
-#: The state store on disk, with bounded memory for all the partitions that an executor has.
+#: The state store on disk, with bounded memory for all the partitions that an executor has and no disk reserved beyond what they hold.
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
