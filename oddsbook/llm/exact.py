@@ -44,11 +44,11 @@ def _rows(source: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     return source.select("doc_id", body.alias("body"), digest(body).alias("digest"), F.struct(F.col("doc_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"))
 
 
-def retained(spark: SparkSession, path: str, checkpoint: str, digest: Callable[[Column], Column] = sha256, batch_bytes: str | None = None) -> DataFrame:
+def retained(spark: SparkSession, path: str, checkpoint: str, digest: Callable[[Column], Column] = sha256, batch_bytes: int | None = None) -> DataFrame:
     """(digest, keep, n) of all documents that the stream with this checkpoint has seen, after it has read the new files at path.
 
-    keep is (doc_id, file, row) of the document that stays, n the number of documents. batch_bytes bounds the files of one micro-batch
-    ("64g"); without it all new files are one. The stream's shuffle partitions are those of its first call.
+    keep is (doc_id, file, row) of the document that stays, n the number of documents. batch_bytes bounds the files of one
+    micro-batch; without it all new files are one. The stream's shuffle partitions are those of its first call.
     """
     reader = spark.readStream.schema(SCHEMA)
     if batch_bytes:
@@ -61,7 +61,7 @@ def retained(spark: SparkSession, path: str, checkpoint: str, digest: Callable[[
     return held.select(F.col("key.digest").alias("digest"), F.col("value.max").alias("keep"), F.col("value.count").alias("n"))
 
 
-def exact_dedup(spark: SparkSession, path: str, checkpoint: str | None = None, digest: Callable[[Column], Column] = sha256, batch_bytes: str | None = None) -> DataFrame:
+def exact_dedup(spark: SparkSession, path: str, checkpoint: str | None = None, digest: Callable[[Column], Column] = sha256, batch_bytes: int | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256, file, row) of every row of the Parquet file or folder at path.
 
     Texts are equal when all their bytes are; null is the empty text, very long texts are taken whole. Of equal texts the row with the
