@@ -96,6 +96,13 @@ class LineRuns:
         self._put(0, self.fresh(counts).select(*KEY, "n_docs", "keeper"))
         self._list()
 
+    def drop(self) -> None:
+        """Deletes the store: the tables of its runs and its folder."""
+        for run in (run for level in self.levels for run in level):
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        delete(self.spark, self.path)
+        self.levels = []
+
     def common(self) -> DataFrame:
         """(h1, h2, keeper) of the keys that min_docs or more documents have."""
         return self._merge([run for level in self.levels for run in level]).where(F.col("n_docs") >= self.min_docs).select(*KEY, "keeper")
@@ -110,7 +117,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches:
     """docs without the lines whose key has min_chars or more code points and is in min_docs or more documents, save in the largest doc_id that has it.
 
     Returns every row and column of docs with text replaced, and n_lines and n_dropped appended (columns of these names
-    are replaced; without `counts` only text changes). A null or empty text is one empty line and comes back as "". Very long texts are taken whole. Rows are documents: repeated rows
+    are replaced; without `counts` only text changes). A null or empty text is one empty line and comes back as "". Very long texts are taken whole,
+    in time in proportion to their lines. Rows are documents: repeated rows
     count as so many documents, and all rows of the keeper's doc_id keep the line. A null doc_id is below all others. Other columns
     may be null and have any names; an empty table gives none. With a store, documents that it knows from earlier calls count as
     well, and those of this call are added to it (min_docs and fanout are the store's then).
@@ -132,14 +140,16 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches:
         runs.add(counted.where(F.col("batch") == i))
     delete(spark, path)
     common = written(runs.common(), "line-common")
+    if store is None:
+        runs.drop()
 
     lines = rows.select("doc", F.xxhash64("body").alias("hash"), F.posexplode(keyed).alias("at", "key")).where(F.length("key") >= min_chars)
     dropped = lines.select("doc", "hash", "at", *hashes).join(common, KEY).where("doc <> keeper").groupBy("doc", "hash").agg(F.collect_set("at").alias("drop"))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), doc, body)
     joined = whole.withColumn("hash", F.xxhash64("body")).join(dropped, ["doc", "hash"], "left")
     split = F.split("body", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.coalesce("drop", F.array().cast("array<int>")))
-    kept = F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")
+    left = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("drop"))
+    kept = F.get(F.transform(F.array(split), lambda parts: F.array_join(F.transform(left(parts), lambda i: F.get(parts, i)), "\n")), F.lit(0))  # a text is split once, as a bound variable
     new = {"text": F.when(F.col("drop").isNull(), F.col("body")).otherwise(kept)}
     if counts:
         new |= {"n_lines": F.size(split), "n_dropped": F.coalesce(F.size("drop"), F.lit(0))}

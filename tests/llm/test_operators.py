@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 from functools import partial
@@ -74,6 +75,21 @@ def test_line_dedup_compacts(spark):
     assert lines.line_dedup(none(docs)).count() == 0
 
 
+def test_long_texts_take_time_in_proportion_to_their_lines(spark):
+    """Three texts of 100,000 lines share one line; nothing of the runs is left behind."""
+    shared = "a line that all three of the texts have"
+    texts = ["\n".join([shared, *(f"line {i} of the text with number {k}" for i in range(100_000))]) for k in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tables = spark.sql("SHOW TABLES").count()
+    lines.line_dedup(docs.limit(0)).count()
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in lines.line_dedup(docs).collect()}
+    assert time.perf_counter() - began < 40
+    assert [(got[k].n_lines, got[k].n_dropped) for k in range(3)] == [(100_001, 1), (100_001, 1), (100_001, 0)]
+    assert [got[k].text for k in range(3)] == [texts[0].partition("\n")[2], texts[1].partition("\n")[2], texts[2]]
+    assert spark.sql("SHOW TABLES").count() == tables
+
+
 def test_line_store_is_opened_extended_and_compacted(spark):
     """Many calls, each with its own session's view of the store; their keys and keepers against plain counts."""
     rng = random.Random(4)
