@@ -125,7 +125,7 @@ def assign(points: Tree, entries: Tree, book: np.ndarray) -> Iterator[tuple[slic
             yield slice(a, b), own[((book[own] ** 2).sum(axis=1) - 2 * points.x[a:b] @ book[own].T).argmin(axis=1)], None
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def _chunks(batches: Iterator[pa.RecordBatch], parts: int, chunk: int, leaf: int) -> Iterator[pa.RecordBatch]:
     """A row per chunk: ids, labels, and for each part position the tree's arrays as bytes."""
     held, n = [], 0
 
@@ -133,7 +133,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
         ids, labels, vectors = (c.combine_chunks() for c in rows.columns)
         x = vectors.flatten().to_numpy().astype(np.float64).reshape(len(ids), parts, -1)
         whole = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-        trees = [grow(x[:, p], LEAF) for p in range(parts)]
+        trees = [grow(x[:, p], leaf) for p in range(parts)]
         packed = lambda f: pa.array([[f(t).tobytes() for t in trees]], pa.list_(pa.binary()))
         small = [packed(lambda t, c=c: getattr(t, c).astype(np.int32)) for c in ("order", "x", "low", "high")]
         return pa.RecordBatch.from_arrays([whole(ids), whole(labels), *small, packed(lambda t: t.sums), pa.array([trees[0].depth], pa.int32())], ["ids", "labels", "orders", "points", "lows", "highs", "sums", "depth"])
@@ -141,10 +141,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
     for b in batches:
         held.append(b)
         n += b.num_rows
-        while n >= CHUNK:
+        while n >= chunk:
             rows = pa.Table.from_batches(held)
-            yield made(rows.slice(0, CHUNK))
-            held, n = rows.slice(CHUNK).to_batches(), n - CHUNK
+            yield made(rows.slice(0, chunk))
+            held, n = rows.slice(chunk).to_batches(), n - chunk
     if n:
         yield made(pa.Table.from_batches(held))
 
@@ -226,7 +226,8 @@ def fit(spark: SparkSession, kept: DataFrame, parts: int, entries: int, rounds:
     books = np.array([r.vector for r in first], np.int64).reshape(len(first), parts, -1).transpose(1, 0, 2).copy()
     label = kept.schema["label"].dataType.simpleString()
     schema = f"ids array<long>, labels array<{label}>, orders array<binary>, points array<binary>, lows array<binary>, highs array<binary>, sums array<binary>, depth int"
-    chunks = written(kept.select("vec_id", "label", "vector").mapInArrow(lambda batches: _chunks(batches, parts), schema), "vector-chunks")
+    chunk, leaf = CHUNK, LEAF
+    chunks = written(kept.select("vec_id", "label", "vector").mapInArrow(lambda batches: _chunks(batches, parts, chunk, leaf), schema), "vector-chunks")
     for _ in range(rounds):
         sums = _sums(chunks, books)
         used = sums[:, :, 0] > 0
