@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from oddsbook.config import DEFAULT, Config
 from oddsbook.functions.scalars import clip, log_norm_of, normalize_between, safe_log_norm, safe_normalize, safe_price_norm, to_float
+from oddsbook.operators import carry
 from oddsbook.operators.quotes import base_features, favourites, valid
 
 DELTAS = ["micro_delta_1", "micro_delta_5", "imbalance_delta", "vol60_delta", "ret_mean_5", "spread_delta"]
@@ -71,6 +72,15 @@ def position_age(state: DataFrame) -> DataFrame:
     return state.withColumn("position_age", F.when((F.abs("net_stake") > 0.01) & F.col("first_open").isNotNull(), age).otherwise(0.0))
 
 
+def positioned(quotes: DataFrame, states: DataFrame, markets: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Clean quotes of the complete grid with each runner's position before the step's trades (carry.carried), its mark and its age.
+
+    states are those of a ledger, markets has one row a market, (market_id, n_steps, rate). runner_features of these rows needs no further exchange: they are dealt out by market.
+    """
+    rows = carry.marked(carry.carried(quotes, states, before=True), config).join(markets.select("market_id", "n_steps", "rate"), "market_id", "left")
+    return rows.withColumn("position_age", carry.position_age(F.col("n_steps")))
+
+
 def global_features() -> dict[str, Column]:
     """What a snapshot alone gives of the 14 global features."""
     return {
@@ -85,25 +95,31 @@ def global_features() -> dict[str, Column]:
 def build_observation(snapshots: DataFrame, features: DataFrame, state: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
     """(market_id, step, observation array<float>[999]): 24 slots of 41, 14 globals, the value of closing now.
 
-    features are those of runner_features with the base features in; slots without a runner or a quote are zeros. state
-    has, for the moment before each step's trades, (market_id, step, balance, exposure, n_positions, commission, recent_trades, net_exposure,
+    features are those of runner_features; slots without a runner or a quote are zeros. If they were made from rows of positioned, the vector has the positions and
+    capital as of the moment before each step's trades, without a join. Else state has, for the moment before each step's trades, (market_id, step, balance, exposure, n_positions, commission, recent_trades, net_exposure,
     concentration, portfolio_mtm, green_up, positions array<struct<runner_idx, net_stake, mtm, age>>); without it no trades were made.
     """
-    names = slot_features()
-    base = base_features()
-    rows = features.where(valid(features)).withColumns(base)
+    names, quoted = slot_features(), valid(features)
+    held = "n_trades" in features.columns
+    rows = (features if held else features.where(quoted)).withColumns(base_features())
     if state is not None:
-        held = state.select("market_id", "step", F.explode("positions").alias("p")).select("market_id", "step", F.col("p.runner_idx").alias("runner_idx"), (F.col("p.net_stake") / config.capital).alias("net_position"), (F.col("p.mtm") / config.capital).alias("position_mtm"), F.col("p.age").alias("position_age"))
-        rows = rows.join(held, ["market_id", "step", "runner_idx"], "left")
+        placed = state.select("market_id", "step", F.explode("positions").alias("p")).select("market_id", "step", F.col("p.runner_idx").alias("runner_idx"), (F.col("p.net_stake") / config.capital).alias("net_position"), (F.col("p.mtm") / config.capital).alias("position_mtm"), F.col("p.age").alias("position_age"))
+        rows = rows.join(placed, ["market_id", "step", "runner_idx"], "left")
+    elif held:
+        rows = rows.withColumns({"net_position": F.col("net_stake") / config.capital, "position_mtm": F.col("mtm") / config.capital})
     else:
         rows = rows.withColumns({c: F.lit(0.0) for c in (*POSITION, "position_age")})
-    slot = F.array(*(F.coalesce(F.col(n), F.lit(0.0)) for n in names))
-    books = rows.groupBy("market_id", "step").agg(F.map_from_entries(F.collect_list(F.struct("runner_idx", slot))).alias("book"))
+    entry = F.struct("runner_idx", F.array(*(F.coalesce(F.col(n), F.lit(0.0)) for n in names)))
+    sums = carry.totals(F.col("rate"), config) if held and state is None else []
+    books = rows.groupBy("market_id", "step").agg(F.map_from_entries(F.collect_list(F.when(quoted, entry) if held else entry)).alias("book"), *sums)
     zeros = F.array_repeat(F.lit(0.0), len(names))
     own = snapshots.select("market_id", "step", *(c.alias(n) for n, c in global_features().items())).join(books, ["market_id", "step"], "left")
     parts = ["balance", "exposure", "n_positions", "commission", "recent_trades", "net_exposure", "concentration", "portfolio_mtm", "green_up"]
     start = dict.fromkeys(parts, 0.0) | {"balance": config.capital}
-    own = own.join(state.select("market_id", "step", *parts), ["market_id", "step"], "left") if state is not None else own.withColumns({p: F.lit(v) for p, v in start.items()})
+    if state is not None:
+        own = own.join(state.select("market_id", "step", *parts), ["market_id", "step"], "left")
+    elif not held:
+        own = own.withColumns({p: F.lit(v) for p, v in start.items()})
     s = lambda p: F.coalesce(F.col(p).cast("double"), F.lit(start[p]))
     share = lambda p: s(p) / config.capital
     world = F.array(
@@ -117,22 +133,30 @@ def build_observation(snapshots: DataFrame, features: DataFrame, state: DataFram
 def observation_stats(rows: DataFrame, vector: str = "observation") -> DataFrame:
     """(feature, n, mean, variance) of each place of a vector column; variance is that of the population.
 
-    Each batch gives counts, means and squared deviations of all places, which are merged per place: one row per batch and place is
-    shuffled, not one per value. Null vectors are left out.
+    A task merges the counts, means and squared deviations (n, mean, M2) of its batches pairwise, for all places at once, and gives one row a place; these
+    rows are dealt by place, and their deviations are taken from the common mean, so that nothing cancels where a mean is large. Null vectors are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, m2 = 0, 0.0, 0.0
         for b in batches:
             rows = b.column(0).drop_null()
-            if len(rows):
-                x = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-                mean = x.mean(axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([mean.tolist()], pa.list_(pa.float64())), pa.array([((x - mean) ** 2).sum(axis=0).tolist()], pa.list_(pa.float64()))], ["n", "mean", "m2"])
+            if k := len(rows):
+                x = rows.flatten().to_numpy(zero_copy_only=False).reshape(k, -1)
+                own = x.mean(axis=0)
+                apart = own - mean
+                mean = mean + apart * (k / (n + k))
+                m2 = m2 + ((x - own) ** 2).sum(axis=0) + apart * apart * (n * k / (n + k))
+                n += k
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([mean.tolist()], pa.list_(pa.float64())), pa.array([m2.tolist()], pa.list_(pa.float64()))], ["n", "mean", "m2"])
 
     parts = rows.select(F.col(vector).cast("array<double>").alias("x")).mapInArrow(run, "n long, mean array<double>, m2 array<double>")
     each = parts.select("n", F.posexplode(F.arrays_zip("mean", "m2")).alias("feature", "p")).select("feature", "n", "p.mean", "p.m2")
-    merged = each.groupBy("feature").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.sum("m2").alias("within"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("squares"))
-    return merged.select("feature", "n", "mean", F.greatest(F.lit(0.0), (F.col("within") + F.col("squares")) / F.col("n") - F.col("mean") * F.col("mean")).alias("variance"))
+    w = Window.partitionBy("feature")
+    of_all = each.withColumn("__mean", F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w))
+    apart = F.col("mean") - F.col("__mean")
+    return of_all.groupBy("feature").agg(F.sum("n").alias("n"), F.first("__mean").alias("mean"), (F.sum(F.col("m2") + F.col("n") * apart * apart) / F.sum("n")).alias("variance"))
 
 
 def normalise_observation(rows: DataFrame, stats: DataFrame, vector: str = "observation", config: Config = DEFAULT, epsilon: float = 1e-8) -> DataFrame:

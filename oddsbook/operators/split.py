@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsbook.config import DEFAULT, Config
+from oddsbook.operators.ranking import numbered
 
 #: A date in a file name; the fixed pattern of the archive.
 DATE_PATTERN = r"(20\d{2})[-_]?(\d{2})[-_]?(\d{2})"
@@ -39,21 +40,26 @@ def temporal_split(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def validation_order(split: DataFrame) -> DataFrame:
-    """Validation files in time order, numbered from 1. The numbering is a sort of few files, one row each."""
-    return split.where("split = 'validation'").select("file", "race_date", F.row_number().over(Window.orderBy("race_date", "file")).alias("place"))
+    """Validation files in time order, then by name, numbered from 1."""
+    return numbered(split.where("split = 'validation'").select("file", "race_date"), [F.col("race_date"), F.col("file")])
+
+
+def _shuffled(files: DataFrame, seed: int, last_first: bool = False) -> DataFrame:
+    """(file, place) in the order of a hash with the seed."""
+    key, file = F.md5(F.concat(F.lit(f"{seed}:"), F.col("file"))), F.col("file")
+    rows = files.select("file", key.alias("__key"))
+    order = [F.desc("__key"), file.desc()] if last_first else [F.col("__key"), file]
+    return numbered(rows, order).drop("__key")
 
 
 def train_shuffle(split: DataFrame, seed: int = 42) -> DataFrame:
     """Training files in an order that a hash with the seed gives: the same on every run."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("file")))
-    return split.where("split = 'train'").select("file", F.row_number().over(Window.orderBy(key, "file")).alias("place"))
+    return _shuffled(split.where("split = 'train'"), seed)
 
 
 def tail_split(files: DataFrame, n_validation: int = 100, seed: int = 42) -> DataFrame:
     """The older rule: shuffle, and the last n files are for validation."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("file")))
-    place = F.row_number().over(Window.orderBy(key.desc(), F.desc("file")))
-    return files.select("file", F.when(place <= n_validation, "validation").otherwise("train").alias("split"))
+    return _shuffled(files, seed, last_first=True).select("file", F.when(F.col("place") <= n_validation, "validation").otherwise("train").alias("split"))
 
 
 def leak_check(split: DataFrame) -> DataFrame:

@@ -78,16 +78,34 @@ FROM rates r JOIN slots j ON j.runner_idx < r.runner_count LEFT JOIN positions p
     "pool": "SELECT *, least(1, greatest(0, prob_implied)) AS f_prob, greatest(0, least(1, prob_implied)) <> 0 OR micro_delta_1 <> 0 OR price_percentile <> 0 AS act FROM features",
 }
 
-_LEDGER = """l AS (SELECT market_id, runner_idx, 0::BIGINT AS k, 0.0::DOUBLE AS bs, 0.0::DOUBLE AS wb, 0.0::DOUBLE AS ls, 0.0::DOUBLE AS wl, 0.0::DOUBLE AS realised FROM (SELECT DISTINCT market_id, runner_idx FROM tr) t0
+_LEDGER = """l AS (SELECT market_id, runner_idx, 0::BIGINT AS k, 0.0::DOUBLE AS bs, 0.0::DOUBLE AS wb, 0.0::DOUBLE AS ls, 0.0::DOUBLE AS wl, 0.0::DOUBLE AS realised, 0.0::DOUBLE AS paid FROM (SELECT DISTINCT market_id, runner_idx FROM tr) t0
 UNION ALL
 SELECT market_id, runner_idx, k, CASE WHEN side = 'BACK' THEN (CASE WHEN rem > 0.01 THEN bs + rem ELSE bs END) ELSE bs2 END, CASE WHEN side = 'BACK' THEN (CASE WHEN rem > 0.01 THEN (wb * bs + price * rem) / (bs + rem) ELSE wb END) ELSE (CASE WHEN bs2 = 0 THEN 0 ELSE wb END) END,
   CASE WHEN side = 'LAY' THEN (CASE WHEN rem > 0.01 THEN ls + rem ELSE ls END) ELSE ls2 END, CASE WHEN side = 'LAY' THEN (CASE WHEN rem > 0.01 THEN (wl * ls + price * rem) / (ls + rem) ELSE wl END) ELSE (CASE WHEN ls2 = 0 THEN 0 ELSE wl END) END,
-  realised + CASE WHEN pnl > 0 THEN pnl * 0.95 ELSE pnl END
+  realised + CASE WHEN pnl > 0 THEN pnl * 0.95 ELSE pnl END, paid + CASE WHEN pnl > 0 THEN pnl * 0.05 ELSE 0 END
 FROM (SELECT *, CASE WHEN side = 'LAY' AND bs > 0.01 THEN (CASE WHEN bs - c < 0.01 THEN 0 ELSE bs - c END) ELSE bs END AS bs2, CASE WHEN side = 'BACK' AND ls > 0.01 THEN (CASE WHEN ls - c < 0.01 THEN 0 ELSE ls - c END) ELSE ls END AS ls2, stake - c AS rem,
   CASE WHEN side = 'BACK' THEN c * (price - wl) / price ELSE c * (wb - price) / price END AS pnl
-  FROM (SELECT l.market_id, l.runner_idx, t.k, l.bs, l.wb, l.ls, l.wl, l.realised, t.side, t.price, t.stake, CASE WHEN t.side = 'BACK' AND l.ls > 0.01 THEN least(t.stake, l.ls) WHEN t.side = 'LAY' AND l.bs > 0.01 THEN least(t.stake, l.bs) ELSE 0.0 END AS c
+  FROM (SELECT l.market_id, l.runner_idx, t.k, l.bs, l.wb, l.ls, l.wl, l.realised, l.paid, t.side, t.price, t.stake, CASE WHEN t.side = 'BACK' AND l.ls > 0.01 THEN least(t.stake, l.ls) WHEN t.side = 'LAY' AND l.bs > 0.01 THEN least(t.stake, l.bs) ELSE 0.0 END AS c
     FROM l JOIN tr t ON t.market_id = l.market_id AND t.runner_idx = l.runner_idx AND t.k = l.k + 1) a) b)"""
 
+#: The netted position of every runner as of each step, after the trades of the step (as_of) or before them (as_of_before), with its mark, and sums by step.
+_AS_OF = """SELECT *, CASE WHEN back_price_1 IS NULL OR lay_price_1 IS NULL THEN 0 ELSE CASE WHEN bs > 0.01 AND wb > 1.01 AND lay_price_1 > 1.01 THEN bs * (wb - lay_price_1) / lay_price_1 ELSE 0 END
+  + CASE WHEN ls > 0.01 AND wl > 1.01 AND back_price_1 > 1.01 THEN ls * (back_price_1 - wl) / back_price_1 ELSE 0 END END AS mtm
+FROM (SELECT q.market_id, q.step, q.runner_idx, q.back_price_1, q.lay_price_1, m.rate, m.n_steps, coalesce(s.k, 0) AS n_trades, s.first_open, coalesce(s.bs, 0) AS bs, coalesce(s.wb, 0) AS wb, coalesce(s.ls, 0) AS ls, coalesce(s.wl, 0) AS wl,
+    coalesce(s.bs - s.ls, 0) AS net, coalesce(s.realised, 0) AS realised, coalesce(s.paid, 0) AS paid
+  FROM clean q JOIN (SELECT market_id, n_steps, coalesce(commission_rate, 0.05) AS rate FROM snapshots WHERE step = 0) m ON m.market_id = q.market_id
+  ASOF LEFT JOIN netted s ON q.market_id = s.market_id AND q.runner_idx = s.runner_idx AND q.step {after} s.step) t"""
+_STEPS = """SELECT market_id, step, sum(bs) + sum(CASE WHEN wl > 1 THEN ls * (wl - 1) ELSE 0 END) AS exposure, sum(net) AS net_exposure, count(*) FILTER (WHERE n_trades > 0) AS n_positions,
+  coalesce(sum(CASE WHEN abs(net) > 1e-6 THEN net * net END) / (sum(CASE WHEN abs(net) > 1e-6 THEN abs(net) END) * sum(CASE WHEN abs(net) > 1e-6 THEN abs(net) END)), 0) AS concentration, sum(mtm) AS portfolio_mtm,
+  sum(CASE WHEN mtm > 0 THEN mtm * (1 - rate) ELSE mtm END) AS green_up, sum(CASE WHEN mtm > 0 THEN mtm * rate ELSE 0 END) AS closing, CAST(least(10, sum(n_trades)) AS BIGINT) AS recent, 1000 + sum(realised) AS balance, sum(paid) AS paid FROM {of} GROUP BY market_id, step"""
+_NETTED = {
+    "netted": "SELECT l.market_id, l.runner_idx, t.step, l.k, l.bs, l.wb, l.ls, l.wl, l.realised, l.paid, min(t.step) OVER (PARTITION BY l.market_id, l.runner_idx) AS first_open FROM l JOIN tr t ON t.market_id = l.market_id AND t.runner_idx = l.runner_idx AND t.k = l.k",
+    "as_of": _AS_OF.format(after=">="),
+    "as_of_before": _AS_OF.format(after=">"),
+    "asof_steps": _STEPS.format(of="as_of"),
+    "before_steps": _STEPS.format(of="as_of_before"),
+}
+
 _KEY = "market_id, step, runner_idx"
 _SIDE = "'BACK'"
 
@@ -132,6 +150,8 @@ _BODIES = {
     "read_whitelist": "SELECT file FROM files JOIN suitable USING (market_id) WHERE is_suitable",
     "append_episode_metrics": "SELECT episode, step, num_trades, " + _r("realized_pnl") + ", back_trades, CAST(NULL AS DOUBLE) AS green_up_pnl FROM episodes",
     "append_validation_metrics": "SELECT val_episode, " + _r("quantile_cont(pnl, 0.5)", "realized_pnl") + ", " + _r("quantile_cont(pnl, 0.1)", "pnl_p10") + ", " + _r("quantile_cont(pnl, 0.9)", "pnl_p90") + ", count(*) AS stochastic_rollouts, CAST(NULL AS DOUBLE) AS final_balance FROM rollout_pnl GROUP BY val_episode",
+    "append_episode_batches": "SELECT CASE WHEN episode % 3 <> 0 THEN 'old' ELSE 'new' END AS batch, episode, step, num_trades, " + _r("realized_pnl") + ", CAST(NULL AS DOUBLE) AS green_up_pnl FROM episodes",
+    "resume_from_commits": "SELECT run_id, (SELECT count(*) FROM episodes WHERE episode % 3 <> 0) + row_number() OVER (ORDER BY step * 10 + run_id) AS episode, step FROM episodes WHERE episode % 3 = 0",
     "metrics_union": "SELECT episode, num_trades, " + _r("realized_pnl") + " FROM episodes",
     "resume_offset": "SELECT run_id, coalesce(k.n, 0) + row_number() OVER (PARTITION BY run_id ORDER BY step) AS episode, step FROM episodes e LEFT JOIN (SELECT run_id, count(*) AS n FROM episodes WHERE episode % 3 <> 0 GROUP BY run_id) k USING (run_id) WHERE episode % 3 = 0",
     "quarantine_files": "SELECT 'broken-' || CAST(i AS VARCHAR) || '.parquet' AS file, 'read_error' AS reason FROM range((SELECT least(3, count(DISTINCT file)) FROM split WHERE split = 'undated')) r(i)",
@@ -236,6 +256,28 @@ _BODIES["normalise_observation_wide"] = (
     "SELECT market_id, step, 999 AS places, " + ", ".join(_r(f"coalesce(max(CASE WHEN feature = {i} THEN zx END), (SELECT {_Z(0)} FROM obs_train WHERE feature = {i}))", n, 4) for i, n in ((0, "first"), (12, "micro"), (995, "secs")))
     + f", {_r(f'(SELECT sum({_Z(0)}) FROM obs_train) + sum(zx - z0)', 'total', 2)} FROM (SELECT v.market_id, v.step, v.feature, {_Z('x')} AS zx, {_Z(0)} AS z0 FROM obs_values v JOIN obs_train t ON t.feature = v.feature) u GROUP BY market_id, step"
 )
+_AGE = "CASE WHEN abs(net) > 0.01 AND first_open IS NOT NULL AND n_trades > 0 THEN least(1.0, greatest(0.0, (step - first_open) / n_steps)) ELSE 0.0 END"
+_BODIES |= {
+    "mark_positions_by_step": f"SELECT {_KEY}, {_r('bs', 'back_stake')}, {_r('ls', 'lay_stake')}, {_r('net', 'net_stake')}, n_trades, {_r('mtm')} FROM as_of WHERE n_trades > 0",
+    "market_exposure_by_step": f"SELECT market_id, step, {_rs('exposure, net_exposure')}, n_positions FROM asof_steps",
+    "position_concentration_by_step": f"SELECT market_id, step, {_r('concentration')} FROM asof_steps",
+    "portfolio_mtm_by_step": f"SELECT market_id, step, {_rs('portfolio_mtm, balance')}, {_r('paid', 'commission')} FROM asof_steps",
+    "green_up_by_step": f"SELECT market_id, step, {_r('green_up')}, {_r('closing', 'commission')} FROM asof_steps",
+    "position_age_by_step": f"SELECT {_KEY}, {_r(_AGE, 'position_age')} FROM as_of",
+    "recent_trades_by_step": f"SELECT market_id, step, {_r('recent / 10', 'recent')} FROM asof_steps",
+}
+_HELD = [*_BASE.values(), "net / 1000", "mtm / 1000", *_DELTAS[:-1], _AGE.replace("step -", "q.step -"), _DELTAS[-1]]
+_HELD_WORLD = [
+    "balance / 1000", "exposure / 1000", "greatest(0, balance - exposure) / 1000", "n_positions / 24", _GLOBAL["g_progress"].replace("step", "s.step", 1), "paid / 1000", "recent / 10", _GLOBAL["g_runner_count"], "net_exposure / 1000", "concentration", "portfolio_mtm / 1000",
+    _GLOBAL["g_secs_to_off"], _GLOBAL["g_total_matched"], _GLOBAL["g_prob_entropy"], "green_up / 1000",
+]
+_BODIES["build_observation_with_positions"] = (
+    "SELECT q.market_id, q.step, q.runner_idx AS slot, " + ", ".join(_r(_SINGLE(e), f"v{i}", 4) for i, e in enumerate(_HELD))
+    + " FROM quoted q JOIN (SELECT market_id, step, runner_idx, m, m5, micro_delta_1, micro_delta_5, imbalance_delta, vol60_delta, spread_delta, vwap_ratio, price_percentile, favourite_delta FROM features) f ON f.market_id = q.market_id AND f.step = q.step AND f.runner_idx = q.runner_idx"
+    + " JOIN (SELECT market_id, step, runner_idx, net, mtm, first_open, n_trades, n_steps FROM as_of_before) h ON h.market_id = q.market_id AND h.step = q.step AND h.runner_idx = q.runner_idx"
+    + " UNION ALL SELECT s.market_id, s.step, 24 AS slot, " + ", ".join([*(_r(_SINGLE(e), f"v{i}", 4) for i, e in enumerate(_HELD_WORLD)), *(f"CAST(NULL AS DOUBLE) AS v{i}" for i in range(15, 41))])
+    + " FROM snapshots s JOIN before_steps b ON b.market_id = s.market_id AND b.step = s.step"
+)
 
 
 def _words(text: str) -> set[str]:
@@ -244,13 +286,19 @@ def _words(text: str) -> set[str]:
 
 def _with(name: str, body: str) -> str:
     """The body after the tables that it needs."""
-    needed = _words(body) | ({"tr"} if name == "position_ledger" else set())
+    needed, netted = _words(body), {}
+    for table in reversed(_NETTED):
+        if table in needed:
+            needed |= _words(_NETTED[table])
+            netted = {table: _NETTED[table]} | netted
+    folded = bool(netted) or name == "position_ledger"
+    needed |= {"tr"} if folded else set()
     for table in reversed(_TABLES):
         if table in needed:
             needed |= _words(_TABLES[table]) - {table}
     parts = [f"{t} AS MATERIALIZED ({sql})" for t, sql in _TABLES.items() if t in needed]
-    if name == "position_ledger":
-        return f"WITH RECURSIVE {', '.join(parts)}, {_LEDGER} {body}"
+    if folded:
+        return f"WITH RECURSIVE {', '.join([*parts, _LEDGER, *(f'{t} AS MATERIALIZED ({sql})' for t, sql in netted.items())])} {body}"
     return f"WITH {', '.join(parts)} {body}" if parts else body
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +11,13 @@ from oddsbook.config import DEFAULT, EARLIER
 from oddsbook.functions import scalars as x
 from oddsbook.operators import backtest as bt
 from oddsbook.operators import features as ft
-from oddsbook.operators import inspection, ledger, metrics, split, valuation
+from oddsbook.operators import carry, inspection, ledger, metrics, split, valuation
 from oddsbook.operators import quotes as q
 from oddsbook.plans import workloads
 from oddsbook.sources import fixtures as fx
 from oddsbook.sources import metrics as sink
 from oddsbook.sources import races
+from oddsbook.sources.work import files_of, work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,20 +46,19 @@ def _utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-#: Where a session has written the derived tables of a folder.
-_STORED: dict[tuple[str, str, str], str] = {}
+#: Where a session has written the derived tables of a folder, by the files they were derived from.
+_STORED: dict[tuple, str] = {}
+_SOURCES = ("events", "orders")
 
 
 def _stored(s: SparkSession, d: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """A derived table, written once a session, so that queries scan the columns they need and do not derive them anew."""
-    key = (s.sparkContext.applicationId, d, name)
+    """A derived table, written once a session for the source files as they are, so that queries scan the columns they need and do not derive them anew."""
+    key = (s.sparkContext.applicationId, name, *(files_of(s, f"{d}/{t}.parquet") for t in _SOURCES))
     path = _STORED.get(key)
-    if path:
-        at = s._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not at.getFileSystem(s._jsc.hadoopConfiguration()).exists(at):
-            path = None
+    if path and not files_of(s, f"{path}/_SUCCESS"):
+        path = None
     if not path:
-        path = _STORED[key] = _folder(s, name)
+        path = _STORED[key] = work_path(s, name)
         make(_utc(s), d).write.parquet(path)
     return _utc(s).read.parquet(path)
 
@@ -78,7 +76,12 @@ def _clean(s: SparkSession, d: str) -> DataFrame:
 
 
 def _trades(s: SparkSession, d: str) -> DataFrame:
-    return fx.trades(_utc(s), d)
+    return _utc(s).sql(fx.TRADES, quotes=_raw(s, d), snapshots=_snaps(s, d))
+
+
+def _ledger(s: SparkSession, d: str) -> DataFrame:
+    """The netted positions after each trade."""
+    return _stored(s, d, "ledger", lambda s, d: ledger.position_ledger(_trades(s, d).withColumn("rate", F.lit(0.05))))
 
 
 def _files(s: SparkSession, d: str) -> DataFrame:
@@ -93,19 +96,18 @@ def _positions(s: SparkSession, d: str) -> DataFrame:
     return ledger.last_state(ledger.position_ledger_simple(_trades(s, d)))
 
 
-def _marked(s: SparkSession, d: str) -> DataFrame:
-    return valuation.mark_positions(_positions(s, d), valuation.closing_quotes(_clean(s, d), _snaps(s, d)))
+def _markets(s: SparkSession, d: str) -> DataFrame:
+    return _snaps(s, d).where("step = 0").select("market_id", "n_steps", x.commission_rate(_C("commission_rate")).alias("rate"))
+
 
+def _held(s: SparkSession, d: str) -> DataFrame:
+    """The complete grid with netted positions after each step's trades and their marks."""
+    grid = _clean(s, d).select(*_KEY, "back_price_1", "lay_price_1", "microprice")
+    return carry.marked(carry.carried(grid, _ledger(s, d))).join(_markets(s, d), "market_id")
 
-def _folder(s: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a temporary folder only serves a local master."""
-    shared = s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        master = s.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        shared = tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/oddsbook-{name}-{uuid.uuid4().hex}"
+
+def _marked(s: SparkSession, d: str) -> DataFrame:
+    return valuation.mark_positions(_positions(s, d), valuation.closing_quotes(_clean(s, d), _snaps(s, d)))
 
 
 def _wide(s: SparkSession, d: str) -> DataFrame:
@@ -121,7 +123,7 @@ def _wide(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def scan_snapshots(s, d):
-    path = _folder(s, "races")
+    path = work_path(s, "races")
     _wide(s, d).withColumn("market_id", _C("market_id").cast("string")).withColumn("secs_to_off", _C("step").cast("double")).drop("step").write.parquet(path)
     rows = races.scan_snapshots(s, path)
     return rows.select(_C("source_market_id").cast("long").alias("market_id"), _C("secs_to_off").cast("long").alias("step"), "ts_unix", "runner_count", "market_status", "total_matched_market", _C("`run[0].back_price_1`").alias("b0"), _C("`run[6].lay_price_1`").alias("l6"))
@@ -130,7 +132,7 @@ def scan_snapshots(s, d):
 @query
 def quarantine_files(s, d):
     """Markets with a date in their file name are Parquet; the others' rows are text files that only have Parquet's file name."""
-    path, rows = _folder(s, "mixed"), _snaps(s, d).select("market_id", "file", "ts_unix")
+    path, rows = work_path(s, "mixed"), _snaps(s, d).select("market_id", "file", "ts_unix")
     rows.where(split.race_date(_C("file")).isNotNull()).drop("file").write.parquet(path)
     other = rows.where(split.race_date(_C("file")).isNull()).select("file").distinct()
     other.repartition(3).sortWithinPartitions("file").write.text(f"{path}-text")
@@ -146,7 +148,7 @@ def quarantine_files(s, d):
 def read_whitelist(s, d):
     files = _files(s, d).join(inspection.suitability(_snaps(s, d), _raw(s, d)), "market_id")
     rows = files.select("file", F.when(_C("is_suitable"), F.lit(" True")).otherwise("False").alias("is_suitable"))
-    path = _folder(s, "whitelist")
+    path = work_path(s, "whitelist")
     rows.unionByName(rows).write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
     return races.read_whitelist(s, path)
 
@@ -158,7 +160,7 @@ def _appended(s, d) -> tuple[DataFrame, DataFrame]:
 
 @query
 def append_episode_metrics(s, d):
-    path = _folder(s, "episodes")
+    path = work_path(s, "episodes")
     for rows in _appended(s, d):
         sink.append_episode_metrics(rows, path)
     return sink.read_metrics(s, path).select("episode", "step", "num_trades", "realized_pnl", "back_trades", "green_up_pnl")
@@ -166,13 +168,30 @@ def append_episode_metrics(s, d):
 
 @query
 def append_validation_metrics(s, d):
-    path = _folder(s, "validation")
+    path = work_path(s, "validation")
     found = metrics.rollout_quantiles(fx.rollout_pnl(s, d))
     for part in (found.where("val_episode % 2 = 0"), found.where("val_episode % 2 = 1")):
         sink.append_validation_metrics(part.withColumn("stochastic_rollouts", _C("n_rollouts")), path)
     return sink.read_metrics(s, path, sink.VALIDATION).select("val_episode", "realized_pnl", "pnl_p10", "pnl_p90", "stochastic_rollouts", "final_balance")
 
 
+@query
+def append_episode_batches(s, d):
+    """Two batches, of which the second is tried again, and an attempt at a third that failed before its commit."""
+    path, (old, new) = work_path(s, "batches"), _appended(s, d)
+    for batch, rows in (("old", old), ("new", new), ("new", new)):
+        sink.append_batch(rows, path, batch)
+    sink.fitted(new, sink.EPISODE).write.parquet(f"{path}/rows/batch=lost/attempt=0")
+    return sink.read_batches(s, path).select("batch", "episode", "step", "num_trades", "realized_pnl", "green_up_pnl")
+
+
+@query
+def resume_from_commits(s, d):
+    path, (old, new) = work_path(s, "batches"), _appended(s, d)
+    sink.append_batch(old, path, "old")
+    return sink.resume_from_commits(s, path, new.drop("episode").withColumn("__order", _C("step") * 10 + _C("run_id")), "__order").select("run_id", "episode", "step")
+
+
 @query
 def metrics_union(s, d):
     return sink.metrics_union(*_appended(s, d)).select("episode", "num_trades", "realized_pnl")
@@ -297,7 +316,7 @@ def race_card_metadata(s, d):
         "venue": F.get(parts, F.lit(1)), "race_number": F.get(parts, F.lit(2)), "country_code": F.when(_C("step") % 3 == 0, F.when(_C("market_id") % 7 != 0, "GB")).otherwise("none"),
         "market_id": _C("market_id").cast("string"), "secs_to_off": _C("step").cast("double"), "runner_count": _C("runner_count").cast("int"),
     })
-    path = _folder(s, "cards")
+    path = work_path(s, "cards")
     rows.select("market_id", "secs_to_off", "runner_count", "commission_rate", "venue", "race_number", "country_code").write.parquet(path)
     card = metrics.race_card(races.scan_snapshots(s, path).drop("file"), [c for c in races.CARD if c != "market_id"], "source_market_id", "secs_to_off")
     return card.select(_C("source_market_id").cast("long").alias("market_id"), "venue", "race_number", "country_code", "race_type", "runner_count", "n_known", "snapshots")
@@ -594,6 +613,54 @@ def worst_case_book(s, d):
     return valuation.worst_case_book(valuation.book_payoffs(_positions(s, d), _rates(s, d)))
 
 
+# Positions and values at every step
+
+
+@query
+def mark_positions_by_step(s, d):
+    return _held(s, d).where("n_trades > 0").select(*_KEY, "back_stake", "lay_stake", "net_stake", "n_trades", "mtm")
+
+
+@query
+def market_exposure_by_step(s, d):
+    return carry.by_step(_held(s, d)).select("market_id", "step", "exposure", "net_exposure", "n_positions")
+
+
+@query
+def position_concentration_by_step(s, d):
+    return carry.by_step(_held(s, d)).select("market_id", "step", "concentration")
+
+
+@query
+def portfolio_mtm_by_step(s, d):
+    return carry.by_step(_held(s, d)).select("market_id", "step", "portfolio_mtm", "balance", "commission")
+
+
+@query
+def green_up_by_step(s, d):
+    return carry.by_step(_held(s, d)).select("market_id", "step", "green_up", _C("closing_commission").alias("commission"))
+
+
+@query
+def position_age_by_step(s, d):
+    return _held(s, d).select(*_KEY, carry.position_age(_C("n_steps")).alias("position_age"))
+
+
+@query
+def recent_trades_by_step(s, d):
+    return carry.by_step(_held(s, d)).select("market_id", "step", (_C("recent_trades") / 10).alias("recent"))
+
+
+@query
+def build_observation_with_positions(s, d):
+    """All 999 places before each step's trades: a row for each slot that is not all zeros (v0 to v40), and one, slot 24, for the 15 last places."""
+    rows = ft.runner_features(ft.positioned(_clean(s, d), _ledger(s, d), _markets(s, d)))
+    seen = ft.build_observation(_snaps(s, d), rows).select("market_id", "step", _C("observation").cast("array<double>").alias("o"))
+    part = lambda i: F.struct(i.alias("slot"), F.slice("o", i * 41 + 1, 41).alias("v"))
+    slots = seen.select("market_id", "step", F.explode(F.transform(F.sequence(F.lit(0), F.lit(24)), part)).alias("p")).where(F.exists("p.v", lambda v: v != 0))
+    return slots.select("market_id", "step", _C("p.slot").cast("long").alias("slot"), *(_digits(F.get("p.v", F.lit(i)), 4).alias(f"v{i}") for i in range(41)))
+
+
 # Metrics
 
 
