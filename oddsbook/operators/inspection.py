@@ -105,6 +105,12 @@ def _judged(found: DataFrame) -> DataFrame:
     return found.withColumn("is_suitable", F.col("reason") == "passed_all_9_checks").select(*(c for c in found.columns if c != "reason"), "is_suitable", "reason")
 
 
+def with_unread(suitable: DataFrame, listed: DataFrame) -> DataFrame:
+    """suitable (market_id, file, is_suitable, reason) and a row, with a null market, for each file of listed that gave no market: reason read_error."""
+    lost = listed.select("file").distinct().join(suitable.select("file").distinct(), "file", "left_anti")
+    return suitable.unionByName(lost.select("file", F.lit(False).alias("is_suitable"), F.lit("read_error").alias("reason")), allowMissingColumns=True)
+
+
 def reason_histogram(suitable: DataFrame) -> DataFrame:
     """Rejected markets by reason, most frequent first."""
     return suitable.where(~F.col("is_suitable")).groupBy("reason").agg(F.count("*").alias("markets")).orderBy(F.desc("markets"), "reason")

@@ -76,13 +76,18 @@ def lay_share_by_band(rows: DataFrame, ends: tuple[int, ...] = (200, 600, 1200,
     return out.select(F.coalesce("band", F.lit(-1)).alias("band"), "back_trades", "lay_trades", "back_exposure", "lay_exposure", F.coalesce(F.try_divide(_C("lay_trades") * 100.0, _C("back_trades") + _C("lay_trades")), F.lit(0.0)).alias("lay_pct"), F.try_divide("lay_exposure", "back_exposure").alias("exposure_ratio"))
 
 
-def size_ratio_by_price(quotes: DataFrame, edges: tuple[float, ...] = (2.0, 3.0, 5.0, 8.0, 13.0, 25.0)) -> DataFrame:
-    """The median of lay size over back size in buckets of the back price, where both are there."""
+def size_ratios(quotes: DataFrame, edges: tuple[float, ...] = (2.0, 3.0, 5.0, 8.0, 13.0, 25.0)) -> DataFrame:
+    """quotes with bucket, that of the back price, and ratio, lay size over back size, where both are there."""
     bucket = F
     for i, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         bucket = bucket.when((_C("back_price_1") >= low) & (_C("back_price_1") < high), i)
     rows = quotes.withColumn("bucket", bucket.otherwise(None)).where(_C("bucket").isNotNull() & (_C("back_size_1") > 0) & _C("lay_size_1").isNotNull())
-    return rows.groupBy("bucket").agg(F.percentile(_C("lay_size_1") / _C("back_size_1"), F.lit(0.5)).alias("median_ratio"), F.count("*").alias("n"))
+    return rows.withColumn("ratio", _C("lay_size_1") / _C("back_size_1"))
+
+
+def size_ratio_by_price(quotes: DataFrame, edges: tuple[float, ...] = (2.0, 3.0, 5.0, 8.0, 13.0, 25.0)) -> DataFrame:
+    """The median of lay size over back size in buckets of the back price, exactly; sketches.sketched has a form whose size does not grow."""
+    return size_ratios(quotes, edges).groupBy("bucket").agg(F.percentile("ratio", F.lit(0.5)).alias("median_ratio"), F.count("*").alias("n"))
 
 
 def no_trade_streak(rows: DataFrame, run: str = "run_id", config: Config = DEFAULT) -> DataFrame:

@@ -66,3 +66,31 @@ def leak_check(split: DataFrame) -> DataFrame:
     """One row: the last training date, the first validation date, and whether they are in order (or one is missing)."""
     ends = split.agg(F.max(F.when(F.col("split") == "train", F.col("race_date"))).alias("last_train"), F.min(F.when(F.col("split") == "validation", F.col("race_date"))).alias("first_validation"))
     return ends.withColumn("no_leak", F.coalesce(F.col("last_train") < F.col("first_validation"), F.lit(True)))
+
+
+def temporal_folds(files: DataFrame, periods: DataFrame) -> DataFrame:
+    """(..., race_date, fold, split): files by a table of periods (fold, split, first, last), both ends included.
+
+    Folds may overlap: a file has a row for each period that its date is in, and one with null fold and split "undated" where it has no date; files of
+    no period are left out. Files that have a race_date already keep it, others get that of their name. A period is dealt out by its days, so the join is on the date.
+    """
+    rows = files if "race_date" in files.columns else files.withColumn("race_date", race_date(F.col("file")))
+    days = periods.where("first <= last").select("fold", "split", F.explode(F.sequence("first", "last")).alias("race_date")).distinct()
+    names = [*(c for c in rows.columns if c not in ("race_date", "fold", "split")), "race_date", "fold", "split"]
+    undated = rows.where("race_date IS NULL").withColumns({"fold": F.lit(None).cast(periods.schema["fold"].dataType), "split": F.lit("undated")})
+    return rows.drop("fold", "split").join(days, "race_date").select(names).unionByName(undated.select(names))
+
+
+def fold_leaks(folds: DataFrame) -> DataFrame:
+    """For every pair of a fold's training and a fold's validation: the last training date, the first validation date, the number of files in both, and no_leak, whether
+    dates are in order (or one is missing). The folds, a row each, are paired in one row; the files are not.
+    """
+    date = lambda name, f: f(F.when(F.col("split") == name, F.col("race_date")))
+    ends = folds.where("fold IS NOT NULL").groupBy("fold").agg(date("train", F.max).alias("last_train"), date("validation", F.min).alias("first_validation"))
+    listed = ends.agg(F.collect_list(F.struct("fold", "last_train", "first_validation")).alias("all"))
+    pairs = listed.select(F.explode("all").alias("t"), "all").select("t", F.explode("all").alias("v"))
+    pairs = pairs.select(F.col("t.fold").alias("train_fold"), F.col("v.fold").alias("validation_fold"), "t.last_train", "v.first_validation")
+    own = lambda name: folds.where(F.col("split") == name).select("file", F.col("fold").alias(f"{name}_fold")).distinct()
+    shared = own("train").join(own("validation"), "file").groupBy("train_fold", "validation_fold").agg(F.count("*").alias("shared_files"))
+    found = pairs.join(shared, ["train_fold", "validation_fold"], "left").withColumn("shared_files", F.coalesce("shared_files", F.lit(0)))
+    return found.withColumn("no_leak", F.coalesce(F.col("last_train") < F.col("first_validation"), F.lit(True)) & (F.col("shared_files") == 0))

@@ -57,6 +57,8 @@ LEFT JOIN (SELECT market_id, avg(sd) AS sd, CAST(sum(nulls) AS DOUBLE) / sum(n)
   ELSE 'passed_all_9_checks' END AS reason FROM checks) t""",
     "dated": "SELECT file, TRY_CAST(nullif(regexp_extract(file, '(20\\d{2})[-_]?(\\d{2})[-_]?(\\d{2})', 1), '') || '-' || regexp_extract(file, '(20\\d{2})[-_]?(\\d{2})[-_]?(\\d{2})', 2) || '-' || regexp_extract(file, '(20\\d{2})[-_]?(\\d{2})[-_]?(\\d{2})', 3) AS DATE) AS race_date FROM files",
     "split": "SELECT *, CASE WHEN race_date IS NULL THEN 'undated' WHEN race_date BETWEEN DATE '2025-10-01' AND DATE '2026-01-31' THEN 'train' WHEN race_date BETWEEN DATE '2026-02-01' AND DATE '2026-03-31' THEN 'validation' END AS split FROM dated",
+    "periods": "SELECT range AS fold, 'train' AS split, DATE '2025-10-01' + CAST(range * 30 AS INT) AS first, DATE '2025-10-01' + CAST(range * 30 + 69 AS INT) AS last FROM range(4) UNION ALL SELECT range, 'validation', DATE '2025-10-01' + CAST(range * 30 + 73 - CASE WHEN range = 3 THEN 20 ELSE 0 END AS INT), DATE '2025-10-01' + CAST(range * 30 + 102 AS INT) FROM range(4)",
+    "folds": "SELECT d.file, d.race_date, p.fold, p.split FROM dated d JOIN periods p ON d.race_date BETWEEN p.first AND p.last UNION ALL SELECT file, race_date, NULL, 'undated' FROM dated WHERE race_date IS NULL",
     "proposals": "SELECT q.*, 800.0::DOUBLE AS available, 800.0::DOUBLE * ((allocation + 1.0) / 2.0) * 1.5 AS budget FROM clean q JOIN live l ON l.market_id = q.market_id AND l.step = q.step WHERE l.market_status = 'OPEN'",
     "sized": """SELECT *, CASE WHEN side = 'BACK' THEN own WHEN price > 1.01 THEN own / (price - 1.0) ELSE 0 END AS intended, least(own, available * 0.3, CASE WHEN side = 'BACK' THEN total * 0.5 ELSE total * 0.5 * (price - 1.0) END) AS liability
 FROM (SELECT *, CASE WHEN signal > 0 THEN 'BACK' ELSE 'LAY' END AS side, CASE WHEN signal > 0 THEN back_price_1 ELSE lay_price_1 END AS price, budget * abs(signal) * CASE WHEN ret_std_5s > 0.05 THEN 0.3 ELSE 1.0 END AS own,
@@ -152,6 +154,14 @@ _BODIES = {
     "append_validation_metrics": "SELECT val_episode, " + _r("quantile_cont(pnl, 0.5)", "realized_pnl") + ", " + _r("quantile_cont(pnl, 0.1)", "pnl_p10") + ", " + _r("quantile_cont(pnl, 0.9)", "pnl_p90") + ", count(*) AS stochastic_rollouts, CAST(NULL AS DOUBLE) AS final_balance FROM rollout_pnl GROUP BY val_episode",
     "append_episode_batches": "SELECT CASE WHEN episode % 3 <> 0 THEN 'old' ELSE 'new' END AS batch, episode, step, num_trades, " + _r("realized_pnl") + ", CAST(NULL AS DOUBLE) AS green_up_pnl FROM episodes",
     "resume_from_commits": "SELECT run_id, (SELECT count(*) FROM episodes WHERE episode % 3 <> 0) + row_number() OVER (ORDER BY step * 10 + run_id) AS episode, step FROM episodes WHERE episode % 3 = 0",
+    "read_report": "SELECT 'g' || CAST(g AS VARCHAR) || '.parquet' AS file, n AS n_rows, g <> 1 AS whole, CASE WHEN g = 1 THEN 'read_in_part' END AS reason FROM (SELECT market_id % 4 AS g, count(*) AS n FROM snapshots GROUP BY market_id % 4) t UNION ALL SELECT 'none.parquet', NULL, false, 'read_error'",
+    "whole_snapshots": "SELECT 'g' || CAST(market_id % 4 AS VARCHAR) || '.parquet' AS file, market_id, step, " + _r("total_matched_market") + " FROM snapshots WHERE market_id % 4 <> 1",
+    "inspect_unread_files": "SELECT file, is_suitable AND market_id % 6 <> 5 AS is_suitable, CASE WHEN market_id % 6 = 5 THEN 'read_error' ELSE reason END AS reason, split FROM files JOIN suitable USING (market_id) JOIN split USING (file)",
+    "reason_histogram_of_all_files": "SELECT CASE WHEN market_id % 6 = 5 THEN 'read_error' ELSE reason END AS reason, count(*) AS markets FROM suitable WHERE NOT is_suitable OR market_id % 6 = 5 GROUP BY 1",
+    "temporal_folds": "SELECT file, race_date, fold, split FROM folds",
+    "fold_leaks": "SELECT t.fold AS train_fold, v.fold AS validation_fold, t.d AS last_train, v.d AS first_validation, coalesce(s.n, 0) AS shared_files, coalesce(t.d < v.d, true) AND coalesce(s.n, 0) = 0 AS no_leak FROM (SELECT fold, max(race_date) FILTER (WHERE split = 'train') AS d FROM folds WHERE fold IS NOT NULL GROUP BY fold) t CROSS JOIN (SELECT fold, min(race_date) FILTER (WHERE split = 'validation') AS d FROM folds WHERE fold IS NOT NULL GROUP BY fold) v LEFT JOIN (SELECT a.fold AS tf, b.fold AS vf, count(*) AS n FROM folds a JOIN folds b USING (file) WHERE a.split = 'train' AND b.split = 'validation' GROUP BY a.fold, b.fold) s ON s.tf = t.fold AND s.vf = v.fold",
+    "rollout_quantile_sketches": "SELECT val_episode, n, " + ", ".join(_r(f"l[CAST(ceil({p} * n) AS BIGINT)]", c) for c, p in (("pnl_p10", 0.1), ("realized_pnl", 0.5), ("pnl_p90", 0.9))) + " FROM (SELECT val_episode, count(*) AS n, list_sort(list(pnl)) AS l FROM rollout_pnl GROUP BY val_episode) t",
+    "size_ratio_sketches": "SELECT bucket, count(*) AS n, true AS within FROM (SELECT *, CASE WHEN back_price_1 >= 2 AND back_price_1 < 3 THEN 0 WHEN back_price_1 >= 3 AND back_price_1 < 5 THEN 1 WHEN back_price_1 >= 5 AND back_price_1 < 8 THEN 2 WHEN back_price_1 >= 8 AND back_price_1 < 13 THEN 3 WHEN back_price_1 >= 13 AND back_price_1 < 25 THEN 4 END AS bucket FROM quotes) t WHERE bucket IS NOT NULL AND back_size_1 > 0 AND lay_size_1 IS NOT NULL GROUP BY bucket",
     "metrics_union": "SELECT episode, num_trades, " + _r("realized_pnl") + " FROM episodes",
     "resume_offset": "SELECT run_id, coalesce(k.n, 0) + row_number() OVER (PARTITION BY run_id ORDER BY step) AS episode, step FROM episodes e LEFT JOIN (SELECT run_id, count(*) AS n FROM episodes WHERE episode % 3 <> 0 GROUP BY run_id) k USING (run_id) WHERE episode % 3 = 0",
     "quarantine_files": "SELECT 'broken-' || CAST(i AS VARCHAR) || '.parquet' AS file, 'read_error' AS reason FROM range((SELECT least(3, count(DISTINCT file)) FROM split WHERE split = 'undated')) r(i)",

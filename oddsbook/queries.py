@@ -11,7 +11,7 @@ from oddsbook.config import DEFAULT, EARLIER
 from oddsbook.functions import scalars as x
 from oddsbook.operators import backtest as bt
 from oddsbook.operators import features as ft
-from oddsbook.operators import carry, inspection, ledger, metrics, split, valuation
+from oddsbook.operators import carry, inspection, ledger, metrics, sketches, split, valuation
 from oddsbook.operators import quotes as q
 from oddsbook.plans import workloads
 from oddsbook.sources import fixtures as fx
@@ -96,6 +96,9 @@ def _positions(s: SparkSession, d: str) -> DataFrame:
     return ledger.last_state(ledger.position_ledger_simple(_trades(s, d)))
 
 
+_folder = work_path
+
+
 def _markets(s: SparkSession, d: str) -> DataFrame:
     return _snaps(s, d).where("step = 0").select("market_id", "n_steps", x.commission_rate(_C("commission_rate")).alias("rate"))
 
@@ -144,6 +147,51 @@ def quarantine_files(s, d):
     return races.quarantine_files(s, path, races.scan_snapshots(s, path, {"ts_unix": rows.schema["ts_unix"].dataType}))
 
 
+def _damage(s: SparkSession, path: str) -> None:
+    """Overwrites a stretch in the middle of a Parquet file's pages, so that it opens but some of its row groups cannot be read."""
+    at = s._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(s._jsc.hadoopConfiguration())
+    stream = fs.open(at)
+    held = bytearray(s._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    stream.close()
+    pages = len(held) - 8 - int.from_bytes(held[-8:-4], "little")  # the footer and its length come last
+    half, n = pages // 2, pages // 8
+    held[half : half + n] = b"\xff" * n
+    out = fs.create(at, True)
+    out.write(held)
+    out.close()
+
+
+def _race_folder(s: SparkSession, d: str) -> str:
+    """Four race files of many row groups, by market_id modulo 4; that of 1 is damaged in the middle, and one file is no Parquet at all."""
+    path, rows = work_path(s, "races"), _wide(s, d).withColumn("g", _C("market_id") % 4)
+    rows.withColumn("market_id", _C("market_id").cast("string")).withColumn("secs_to_off", _C("step").cast("double")).drop("step").repartition("g").write.partitionBy("g").option("parquet.block.size", 8192).option("parquet.page.size", 1024).parquet(f"{path}-parts")
+    fs = s._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(s._jsc.hadoopConfiguration())
+    fs.mkdirs(s._jvm.org.apache.hadoop.fs.Path(path))
+    for part, _, _ in files_of(s, f"{path}-parts"):
+        if "/g=" in part and part.endswith(".parquet"):
+            fs.rename(s._jvm.org.apache.hadoop.fs.Path(part), s._jvm.org.apache.hadoop.fs.Path(f"{path}/g{part.partition('/g=')[2][0]}.parquet"))
+    _damage(s, f"{path}/g1.parquet")
+    out = fs.create(s._jvm.org.apache.hadoop.fs.Path(f"{path}/none.parquet"), True)
+    out.write(bytearray(b"no parquet"))
+    out.close()
+    return path
+
+
+@query
+def read_report(s, d):
+    """Files by what their footers say and whether they could be read whole."""
+    return races.read_report(s, _race_folder(s, d)).select("file", "n_rows", _C("reason").isNull().alias("whole"), "reason")
+
+
+@query
+def whole_snapshots(s, d):
+    """Rows of the files that could be read whole: none of a file that was read in part."""
+    path = _race_folder(s, d)
+    rows = races.whole_snapshots(races.scan_snapshots(s, path), races.read_report(s, path))
+    return rows.select("file", _C("source_market_id").cast("long").alias("market_id"), _C("secs_to_off").cast("long").alias("step"), "total_matched_market")
+
+
 @query
 def read_whitelist(s, d):
     files = _files(s, d).join(inspection.suitability(_snaps(s, d), _raw(s, d)), "market_id")
@@ -423,6 +471,22 @@ def min_rows_and_columns(s, d):
     return inspection.market_checks(_snaps(s, d), _raw(s, d)).select("market_id", _C("few_rows").cast("int").alias("few_rows"))
 
 
+def _unread(s, d):
+    """Inspection of a folder in which the files of every sixth market could not be read."""
+    seen = lambda rows: rows.where("market_id % 6 <> 5")
+    return workloads.inspect(seen(_snaps(s, d)), seen(_raw(s, d)), listed=_files(s, d).select("file"))
+
+
+@query
+def inspect_unread_files(s, d):
+    return _unread(s, d).select("file", "is_suitable", "reason", "split")
+
+
+@query
+def reason_histogram_of_all_files(s, d):
+    return inspection.reason_histogram(_unread(s, d))
+
+
 # Joins and splits
 
 
@@ -466,6 +530,25 @@ def no_temporal_leak(s, d):
     return split.leak_check(split.temporal_split(_files(s, d)))
 
 
+def _folds(s, d):
+    """Four folds of 70 days each for training and, three days later, 30 for validation; they begin 30 days apart, so they overlap. Of the last, both periods do."""
+    start = lambda days: F.date_add(F.lit("2025-10-01").cast("date"), (_C("id") * 30 + days).cast("int"))
+    folds = s.range(4).withColumnRenamed("id", "fold").withColumn("id", _C("fold"))
+    late = F.when(_C("fold") == 3, 20).otherwise(0)
+    train, check = (folds.select("fold", F.lit(n).alias("split"), start(a).alias("first"), start(b).alias("last")) for n, a, b in (("train", 0, 69), ("validation", 73 - late, 102)))
+    return split.temporal_folds(_files(s, d), train.unionByName(check))
+
+
+@query
+def temporal_folds(s, d):
+    return _folds(s, d).select("file", "race_date", "fold", "split")
+
+
+@query
+def fold_leaks(s, d):
+    return split.fold_leaks(_folds(s, d))
+
+
 @query
 def trade_quotes(s, d):
     signals = _raw(s, d).where("signal >= 0.5").select(*_KEY, "signal")
@@ -691,6 +774,24 @@ def size_ratio_by_price(s, d):
     return metrics.size_ratio_by_price(_raw(s, d))
 
 
+@query
+def rollout_quantile_sketches(s, d):
+    """Sketches of each half of the rollouts, merged; so few values are held whole, and a quantile is the value at its rank."""
+    rows = fx.rollout_pnl(s, d)
+    parts = sketches.sketched(rows.withColumn("half", _C("rollout") % 2), ["val_episode", "half"], _C("pnl"))
+    return sketches.quantiles(sketches.merged(parts, ["val_episode"]), {"pnl_p10": 0.1, "realized_pnl": 0.5, "pnl_p90": 0.9})
+
+
+@query
+def size_ratio_sketches(s, d):
+    """By price bucket, from sketches per market: whether the median is within the sketch's error of the middle rank."""
+    rows = metrics.size_ratios(_raw(s, d))
+    merged = sketches.merged(sketches.sketched(rows, ["bucket", "market_id"], _C("ratio")), ["bucket"])
+    found = rows.join(sketches.quantiles(merged, {"median": 0.5}), "bucket").groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(_C("ratio") < _C("median")).alias("below"), F.count_if(_C("ratio") <= _C("median")).alias("upto"))
+    error = sketches.rank_error() * _C("n")
+    return found.select("bucket", "n", ((_C("below") <= _C("n") / 2 + error) & (_C("upto") >= _C("n") / 2 - error)).alias("within"))
+
+
 # Replay
 
 

@@ -54,6 +54,33 @@ def quarantine_files(spark: SparkSession, directory: str, rows: DataFrame) -> Da
     return listed.join(rows.select("file").distinct(), "file", "left_anti").withColumn("reason", F.lit("read_error"))
 
 
+def read_report(spark: SparkSession, directory: str, types: dict[str, T.DataType] | None = None) -> DataFrame:
+    """(file, n_rows, n_read, reason) of every file of the directory: rows by its footer, rows that can be read with all their columns, and why it is not whole.
+
+    Every column is read once. reason is null for a file that is whole, read_in_part for one that gave fewer rows than its footer says (a damaged row group, or
+    columns stored in other types), no_rows for a Parquet file without rows, and read_error for one whose footer cannot be read (n_rows is null then). Paths of
+    files without any row pass through the driver, to look at their first and last bytes.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(directory).select("path", F.element_at(F.split("path", "/"), -1).alias("file"))
+    source = spark.read.schema(race_schema()).option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.parquet").parquet(directory)
+    footers = source.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n_rows"))  # no column is read
+    rows = scan_snapshots(spark, directory, types)
+    values = F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns))
+    read = rows.groupBy("file").agg(F.count("*").alias("n_read"), F.bit_xor(values).alias("__all")).select("file", F.when(F.col("__all").isNotNull(), F.col("n_read")).alias("n_read"))
+    found = listed.join(footers, "file", "left").join(read, "file", "left")
+    paths = [r.path for r in found.where("n_rows IS NULL").select("path").collect()]
+    magic = F.lit(b"PAR1")
+    ends = (F.substring("content", 1, 4) == magic) & (F.substring("content", -4, 4) == magic) & (F.col("length") >= 12)
+    empty = (spark.read.format("binaryFile").load(paths) if paths else spark.read.format("binaryFile").load(directory).where("false")).where(ends).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.lit(True).alias("__empty"))
+    why = F.when(F.col("__empty"), "no_rows").when(F.col("n_rows").isNull(), "read_error").when(F.coalesce("n_read", F.lit(0)) < F.col("n_rows"), "read_in_part")
+    return found.join(empty, "file", "left").select("file", F.when(F.col("__empty"), F.lit(0)).otherwise(F.col("n_rows")).alias("n_rows"), F.coalesce("n_read", F.lit(0)).alias("n_read"), why.alias("reason"))
+
+
+def whole_snapshots(rows: DataFrame, report: DataFrame) -> DataFrame:
+    """The rows of the files that read_report found whole: a file that was read in part gives none."""
+    return rows.join(report.where("reason IS NOT NULL").select("file"), "file", "left_anti").select(*(F.col(f"`{c}`") for c in rows.columns))
+
+
 def read_whitelist(spark: SparkSession, path: str) -> DataFrame:
     """The files that an inspection table (file, is_suitable) calls suitable, each once."""
     rows = spark.read.option("header", True).schema("file string, is_suitable string").csv(path)
