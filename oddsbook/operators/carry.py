@@ -7,7 +7,9 @@ by market once; a window then takes the last state so far, and all later windows
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from oddsbook.config import DEFAULT, Config
@@ -19,31 +21,52 @@ STATE = ["back_stake", "back_price", "lay_stake", "lay_price", "net_stake", "rea
 TOTALS = ["exposure", "net_exposure", "n_positions", "concentration", "portfolio_mtm", "green_up", "closing_commission", "recent_trades", "balance", "commission"]
 
 
-def carried(grid: DataFrame, states: DataFrame, before: bool = False) -> DataFrame:
-    """The rows of grid (market_id, step, runner_idx, ...) with the runner's position after the trades of the step, or before them.
+def _both(grid: DataFrame, states: DataFrame) -> DataFrame:
+    """(market_id, runner_idx, step, __row, __state, __k) of the grid's rows and the states, dealt out by market."""
+    key = ["market_id", "runner_idx", "step"]
+    state = F.struct(*((_C(n) if n in states.columns else F.lit(0.0)).cast("double").alias(n) for n in STATE))
+    own = grid.select(*(_C(c).cast("long") for c in key), F.struct(*(_C(c) for c in grid.columns)).alias("__row"))
+    moved = states.select(*(_C(c).cast("long") for c in key), state.alias("__state"), _C("k").cast("long").alias("__k"))
+    return own.unionByName(moved, allowMissingColumns=True).repartition("market_id")
+
 
-    Added are the columns STATE (0 before the first trade), first_open, the step of the runner's first trade so far (null if none), and n_trades, its trades so
+def _position(frame: WindowSpec) -> Column:
+    """The last state of a frame with n_trades and first_open; zeros and null before the first."""
+    last = F.max(F.when(_C("__state").isNotNull(), F.struct("step", "__k", "__state"))).over(frame)["__state"]
+    first = F.min(F.when(_C("__state").isNotNull(), _C("step"))).over(frame)
+    return F.struct(*(F.coalesce(last[n], F.lit(0.0)).alias(n) for n in STATE), first.alias("first_open"), F.count("__state").over(frame).alias("n_trades"))
+
+
+def around(grid: DataFrame, states: DataFrame, before: str | None = "before", after: str | None = "after") -> DataFrame:
+    """The rows of grid (market_id, step, runner_idx, ...) with the runner's position before the trades of the step and after them, a struct each (None leaves one out).
+
+    A struct has STATE (0 before the first trade), first_open, the step of the runner's first trade so far (null if none), and n_trades, its trades so
     far. States of several trades of a step count in the order of k; states of runners or steps that the grid lacks give no rows, but
-    carry on. The grid's rows of one market, step and runner all get the same state.
+    carry on. Grid rows of one market, step and runner all get the same states.
     """
-    key = ["market_id", "runner_idx", "step"]
-    state = F.struct(*((_C(n) if n in states.columns else F.lit(0.0)).cast("double").alias(n) for n in STATE))
-    own = grid.select(*(_C(c).cast("long") for c in key), F.struct(*(_C(c) for c in grid.columns)).alias("__row"), F.lit(0 if before else 1).alias("__kind"), F.lit(0).cast("long").alias("__k"))
-    moved = states.select(*(_C(c).cast("long") for c in key), state.alias("__state"), F.lit(1 if before else 0).alias("__kind"), _C("k").cast("long").alias("__k"))
-    both = own.unionByName(moved, allowMissingColumns=True).repartition("market_id")
-    w = Window.partitionBy("market_id", "runner_idx").orderBy("step", "__kind", "__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = both.withColumns({"__held": F.last("__state", ignorenulls=True).over(w), "first_open": F.min(F.when(_C("__state").isNotNull(), _C("step"))).over(w), "n_trades": F.count("__state").over(w)})
-    rows = rows.where("__row IS NOT NULL")
-    kept = [_C(c) if c in key else _C("__row")[c].alias(c) for c in grid.columns]
-    return rows.select(*kept, *(F.coalesce(_C("__held")[n], F.lit(0.0)).alias(n) for n in STATE), "first_open", "n_trades")
+    by_step = Window.partitionBy("market_id", "runner_idx").orderBy("step")
+    ends = {name: end for name, end in ((before, -1), (after, 0)) if name}
+    rows = _both(grid, states).withColumns({name: _position(by_step.rangeBetween(Window.unboundedPreceding, end)) for name, end in ends.items()})
+    key = ("market_id", "runner_idx", "step")
+    return rows.where("__row IS NOT NULL").select(*(_C(c) if c in key else _C("__row")[c].alias(c) for c in grid.columns), *ends)
 
 
-def marked(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Rows of carried with mtm, what closing the position at the row's own exit prices gives before commission; 0 without a quote."""
+def carried(grid: DataFrame, states: DataFrame, before: bool = False) -> DataFrame:
+    """The rows of grid with the fields of the position after the trades of the step, or before them, as columns of their own; as around has them."""
+    rows = around(grid, states, "__held" if before else None, None if before else "__held")
+    return rows.select(*grid.columns, "__held.*")
+
+
+def mark(position: Callable[[str], Column], config: Config = DEFAULT) -> Column:
+    """What closing a position, given by its fields, at the row's own exit prices gives before commission; 0 without a quote."""
     back_exit, lay_exit = exit_prices(_C("back_price_1"), _C("lay_price_1"), _C("microprice"), config)
-    value = runner_close_pnl(_C("back_stake"), _C("back_price"), _C("lay_stake"), _C("lay_price"), back_exit, lay_exit)
-    quoted = _C("back_price_1").isNotNull() & _C("lay_price_1").isNotNull()
-    return rows.withColumn("mtm", F.when(quoted, value).otherwise(0.0))
+    value = runner_close_pnl(*(position(c) for c in ("back_stake", "back_price", "lay_stake", "lay_price")), back_exit, lay_exit)
+    return F.when(_C("back_price_1").isNotNull() & _C("lay_price_1").isNotNull(), value).otherwise(0.0)
+
+
+def marked(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Rows of carried with mtm, the mark of the position."""
+    return rows.withColumn("mtm", mark(_C, config))
 
 
 def position_age(n_steps: Column) -> Column:

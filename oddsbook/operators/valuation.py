@@ -5,7 +5,7 @@ Positions are rows (market_id, runner_idx, back_stake, back_price, lay_stake, la
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsbook.config import DEFAULT, Config
@@ -67,6 +67,16 @@ def book_payoffs(positions: DataFrame, markets: DataFrame) -> DataFrame:
     return rows.select("market_id", _C("runner_idx").alias("winner"), after_commission(payoff, _C("rate")).alias("payoff"))
 
 
+def payoffs_of(positions: Column, runners: Column, rate: Column) -> Column:
+    """The payoffs under each winner 0 .. runners - 1 from an array of a market's positions (runner_idx, back_stake, back_price, lay_stake, lay_price); the rule of book_payoffs."""
+    held = F.filter(positions, lambda p: ((p["back_stake"] > 0.01) | (p["lay_stake"] > 0.01)) & (p["runner_idx"] < runners))
+    total = F.aggregate(held, F.lit(0.0), lambda a, p: a + p["lay_stake"] - p["back_stake"])
+    side = lambda p, s: F.when((p[f"{s}_stake"] > 0.01) & (p[f"{s}_price"] > 1.01), p[f"{s}_stake"] * (p[f"{s}_price"] - 1.0)).otherwise(0.0)
+    own = F.map_from_entries(F.transform(held, lambda p: F.struct(p["runner_idx"].cast("long"), side(p, "back") - side(p, "lay") - (p["lay_stake"] - p["back_stake"]))))
+    winners = F.sequence(F.lit(0).cast("long"), F.greatest(runners.cast("long"), F.lit(1)) - 1)
+    return F.transform(winners, lambda j: after_commission(total + F.coalesce(F.try_element_at(own, j), F.lit(0.0)), rate))
+
+
 def worst_case_book(payoffs: DataFrame) -> DataFrame:
     found = payoffs.groupBy("market_id").agg(F.min("payoff").alias("worst_case"), F.max("payoff").alias("best_case"))
     return found.select("*", (_C("best_case") - _C("worst_case")).alias("book_spread"), (_C("worst_case") > 0).alias("is_green"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -19,6 +19,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/oddsbook-{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written once to the shared folder and read from there."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def files_of(spark: SparkSession, path: str) -> tuple:
     """(path, size, time of change) of each file at path or below it; none where there is nothing."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
