@@ -1,6 +1,7 @@
 """License scans: MinHash bands over overlapping windows of shingles retrieve templates, exact shingle containment verifies them.
 
-Everything is column expressions over a document's row, without a join or a shuffle. The templates are a short list that is part of the plan.
+Everything is column expressions over a document's row, without a join or a shuffle. The templates and their bands are data: constants that Spark reads from one text
+each when it plans (_constant), so that a plan does not grow with the words of the templates.
 Templates are sorted by length into classes of 1, 2, 4, 8, ... shingles. A text is covered by windows of each class that
 occurs, a quarter of their length apart, and a window has one minimum for each of BANDS hash orders (one order for windows
 of a single shingle, whose minimum is that shingle). A window and a template that agree in one band are a candidate, so
@@ -13,6 +14,7 @@ computed for the texts that have one of these few shingles; the others have no c
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -83,9 +85,15 @@ def _minima(hashes: Column, size: int) -> Column:
     return hashes if size == 1 else F.transform(_starts(F.size(hashes), max(1, size // 4)), lambda s: F.array_min(F.slice(hashes, s, size)))
 
 
-def _looked_up(values: Column, known: Column, ids: Column) -> Column:
-    """The templates of the band values among those known."""
-    return F.flatten(F.transform(F.array_intersect(values, known), lambda v: F.element_at(ids, v)))
+def _constant(value: list, kind: str) -> Column:
+    """A list as one constant of a Spark type."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _looked_up(values: Column, of: dict[int, list[int]]) -> Column:
+    """The templates of the band values among those of the given map from band values to templates."""
+    ids = F.map_from_entries(_constant([{"v": v, "own": own} for v, own in of.items()], "array<struct<v:bigint,own:array<int>>>"))
+    return F.flatten(F.transform(F.array_intersect(values, F.map_keys(ids)), lambda v: F.element_at(ids, v)))
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
@@ -119,7 +127,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     bands = {r.i: [r.one] + [r[f"b{b}"] for b in range(BANDS)] for r in small.select("i", F.array_min(hashes).alias("one"), *minima).collect()}
     least_shingles = {x.hash for own in bands.values() for x in own[1:]} | {own[0] for i, own in bands.items() if sizes[parts[i][0]] == 1}
 
-    rows = rows.withColumn("some", F.arrays_overlap("hashes", F.array(*(F.lit(h).cast("long") for h in sorted(least_shingles)))))
+    rows = rows.withColumn("some", F.arrays_overlap("hashes", _constant(sorted(least_shingles), "array<bigint>")))
     rows = rows.withColumns({f"order{b}": F.when(F.col("some"), _order(F.col("hashes"), b, 2)).otherwise(F.array().cast("array<long>")) for b in range(BANDS)})
     found = []
     for size in classes:
@@ -128,13 +136,11 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
             for i, (n, _) in enumerate(parts):
                 if sizes[n] == size:
                     of.setdefault(bands[i][0] if size == 1 else bands[i][band + 1].rank, []).append(i)
-            known = F.array(*(F.lit(v).cast("long") for v in of))
-            ids = F.create_map(*(x for v, own in of.items() for x in (F.lit(v).cast("long"), F.array(*map(F.lit, own)))))
             source = F.col("hashes" if size == 1 else f"order{band}")
-            found.append(_looked_up(_minima(source, size), known, ids))
+            found.append(_looked_up(_minima(source, size), of))
     rows = rows.withColumn("candidates", F.when(F.col("some"), F.array_sort(F.array_distinct(F.concat(none, *found)))).otherwise(none))
 
-    listed = F.array(*(F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, s)).alias("shingles")) for n, s in parts))
+    listed = _constant([{"license": n, "shingles": s} for n, s in parts], "array<struct<license:string,shingles:array<string>>>")
     words = F.col("words")
 
     def verified(i: Column) -> Column:
