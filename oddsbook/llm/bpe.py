@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 
 from oddsbook.llm.common import small_batches
 
-_NONE = np.iinfo(np.int64).max
+_NONE = int(np.iinfo(np.int64).max)
 #: Words in a worker's cache, and tree leaves that are merged at a time.
 CACHED_WORDS, LEAVES_AT_ONCE = 400_000, 1 << 19
+#: Words of one tree size below which they are merged one by one in plain lists.
+FEW = 8
 
 
 # The word rule of the files that the encoder takes, as they state it.
@@ -53,6 +55,7 @@ class Merges:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         keys = np.array([(self.ids[a] << 32) | self.ids[b] for a, b in pairs], dtype=np.int64)
         self.merged = np.array([self.ids[a + b] for a, b in pairs], dtype=np.int64)
+        self.rank_of, self.merged_of = dict(zip(keys.tolist(), range(len(keys)), strict=True)), self.merged.tolist()
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.inner, self.last = np.full(512, -1, np.int64), np.full(512, -1, np.int64)  # by character
@@ -78,6 +81,10 @@ class Merges:
         caps = np.maximum(2, 2 ** np.ceil(np.log2(sizes)).astype(np.int64))
         for cap in np.unique(caps):
             rows = np.flatnonzero(caps == cap)
+            if len(rows) < FEW:  # a step of all rows at once is worth its while for many rows only
+                for r in rows.tolist():
+                    out[r] = np.array(self._merge_one(symbols[ends[r] - sizes[r] : ends[r]].tolist(), int(cap)), "<i4").tobytes()
+                continue
             for at in range(0, len(rows), step := max(1, LEAVES_AT_ONCE // int(cap))):
                 part = rows[at : at + step]
                 within = np.arange(cap)
@@ -90,6 +97,43 @@ class Merges:
                     out[r] = data[x:y]
         return out
 
+    def _merge_one(self, symbols: list[int], cap: int) -> list[int]:
+        """The same for the symbols of one word, step by step in plain lists: a merge updates three leaves and what changes above them."""
+        n, ranks, merged = len(symbols), self.rank_of, self.merged_of
+        tree = [_NONE] * (2 * cap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        for i in range(n - 1):
+            rank = ranks.get((symbols[i] << 32) | symbols[i + 1]) if symbols[i] >= 0 and symbols[i + 1] >= 0 else None
+            if rank is not None:
+                tree[cap + i] = rank * cap + i
+        for node in range(cap - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+
+        def put(at: int) -> None:
+            """The leaf of the pair that begins at a place, and the nodes above it as far as they change."""
+            right, rank = after[at], None
+            if right < n and symbols[at] >= 0 and symbols[right] >= 0:
+                rank = ranks.get((symbols[at] << 32) | symbols[right])
+            value, node = _NONE if rank is None else rank * cap + at, cap + at
+            while node and tree[node] != value:
+                tree[node] = value
+                node >>= 1
+                if node:
+                    value = min(tree[2 * node], tree[2 * node + 1])
+
+        while (root := tree[1]) != _NONE:
+            at = root % cap
+            gone = after[at]
+            symbols[at], symbols[gone] = merged[root // cap], -1
+            after[at] = following = after[gone]
+            if following < n:
+                before[following] = at
+            put(gone)
+            put(at)
+            if before[at] >= 0:
+                put(before[at])
+        return [x for x in symbols if x >= 0]
+
     def _merge(self, symbols: np.ndarray, sizes: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
         """Merges the symbols of each row to the end; what is left, row after row, and how much of each row."""
         m = len(symbols)
@@ -209,7 +253,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     ids are those of the tokenizers library without special tokens added, decoded is its decode of them with special
     tokens kept. Null and empty texts give no ids and an empty text. Other columns are ignored; repeated rows stay rows. A very long text is
-    taken whole; a word of very many characters has a tree of its own, of 16 bytes a character. A tokenizer file with another word rule is refused.
+    taken whole; a word of very many characters has a tree of its own, of some 200 bytes a character, and takes time in proportion to n log n. A tokenizer file with another word rule is refused.
     """
     small_batches(docs.sparkSession)
 
