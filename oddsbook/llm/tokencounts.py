@@ -26,8 +26,8 @@ from oddsbook.llm.common import small_batches
 
 #: Pre-tokens in a worker's cache, and nodes of a trie before it is begun anew.
 CACHED_WORDS, TRIE_NODES = 600_000, 200_000
-#: Characters of a pre-token beyond which it is counted without the trie, in memory that does not grow with it.
-LONG_WORD = 5_000
+#: Characters of a pre-token that the trie holds; what follows them is shared by few words.
+DEPTH = 1_000
 #: Marks the start of a pre-token, as in the pieces.
 START = "▁"
 
@@ -56,56 +56,44 @@ class TrieCounter:
         self.best: list[float] = [0.0]
         self.tokens: list[int] = [0]
 
+    def _step(self, word: str, end: int, best: deque, tokens: deque) -> tuple[float, int]:
+        """The forward step to the prefix word[:end], from the last prefixes as far as a piece can reach: its score and its tokens."""
+        top, n, before, scores = -math.inf, 0, len(best), self.scores
+        for k in range(before):  # the longest piece first
+            score = scores.get(word[end - before + k : end])
+            if score is None:
+                if k < before - 1:
+                    continue
+                score, more = self.unknown, len(word[end - 1].encode())
+            else:
+                more = 1
+            if (total := best[k] + score) > top:
+                top, n = total, tokens[k] + more
+        return top, n
+
     def count(self, word: str) -> int:
-        """Tokens on the best path of a pre-token; of equal paths the one whose last piece is longest, at every prefix."""
-        if len(word) > LONG_WORD:
-            return self._count_alone(word)
+        """Tokens on the best path of a pre-token; of equal paths the one whose last piece is longest, at every prefix.
+
+        Prefixes of up to DEPTH characters are nodes of the trie and computed once for all words that share them; of what follows, as many prefixes are held as
+        a piece has characters.
+        """
         if len(self.best) > self.most:
             self._begin()
-        children, best, tokens, scores, longest = self.children, self.best, self.tokens, self.scores, self.longest
-        node, path = 0, [0]
+        node, best, tokens = 0, deque([0.0], self.longest), deque([0], self.longest)
         for end in range(1, len(word) + 1):
-            following = children[node].get(word[end - 1])
-            if following is None:  # the forward step of a prefix that no word before had
-                top, n = -math.inf, 0
-                for start in range(max(0, end - longest), end):
-                    score = scores.get(word[start:end])
-                    if score is None:
-                        if start < end - 1:
-                            continue
-                        score, more = self.unknown, len(word[start].encode())
-                    else:
-                        more = 1
-                    if (total := best[path[start]] + score) > top:
-                        top, n = total, tokens[path[start]] + more
-                following = len(best)
-                children[node][word[end - 1]] = following
-                children.append({})
-                best.append(top)
-                tokens.append(n)
-            node = following
-            path.append(node)
-        return tokens[node]
-
-
-    def _count_alone(self, word: str) -> int:
-        """The same for one long pre-token: only as many prefixes are kept as a piece has characters."""
-        scores, longest = self.scores, self.longest
-        best, tokens = deque([0.0], longest), deque([0], longest)
-        for end in range(1, len(word) + 1):
-            top, n, before = -math.inf, 0, len(best)
-            for k in range(before):  # the longest piece first
-                score = scores.get(word[end - before + k : end])
-                if score is None:
-                    if k < before - 1:
-                        continue
-                    score, more = self.unknown, len(word[end - 1].encode())
-                else:
-                    more = 1
-                if (total := best[k] + score) > top:
-                    top, n = total, tokens[k] + more
+            following = self.children[node].get(word[end - 1]) if end <= DEPTH else None
+            if following is None:
+                top, n = self._step(word, end, best, tokens)
+                if end <= DEPTH:
+                    following = self.children[node][word[end - 1]] = len(self.best)
+                    self.children.append({})
+                    self.best.append(top)
+                    self.tokens.append(n)
+            else:
+                top, n = self.best[following], self.tokens[following]
             best.append(top)
             tokens.append(n)
+            node = following
         return tokens[-1]
 
 
