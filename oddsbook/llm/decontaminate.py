@@ -3,7 +3,8 @@
 The index is made where the documents lie: a task numbers the words of its documents in one stream, document after
 document with a gap between them, and every SHARD_WORDS words writes a shard: for each term its sorted positions (stored
 as gaps), and the places of the documents. Postings are kept for the terms that some test item may have by a filter of fixed size
-over the hashes of the items' terms; the items themselves are looked up in blocks of bounded size, one after the other.
+over the hashes of the items' terms. The index is a table bucketed by shard; the items are looked up in blocks of bounded size, one after the other, and
+each block reads the buckets as they lie, without an exchange. Only documents with a match give rows.
 
 A phrase is looked up from its rarest term in the shard: the positions of that term, less its offset, are intersected
 with the equally adjusted positions of the other terms, rarest first. Shards are bounded and are dealt out by number.
@@ -11,6 +12,7 @@ with the equally adjusted positions of the other terms, rarest first. Shards are
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -21,7 +23,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsbook.llm.common import small_batches, work_path, written
+from oddsbook.llm.common import delete, small_batches, work_path, written
 
 #: Words of documents in a shard, words of test items in a block that is broadcast, and slots of the filter of terms.
 SHARD_WORDS, BLOCK_WORDS, FILTER_SLOTS = 2_000_000, 500_000, 1 << 22
@@ -72,11 +74,29 @@ def term_filter(items: DataFrame) -> np.ndarray:
     return slots
 
 
-def build_index(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The index as a written table: a row (shard, term, gaps) for each term of a shard, and one without a term that has its documents.
+class Index:
+    """The index as a table of its own, bucketed by shard: a row (shard, term, gaps) for each term of a shard, and one without a term that has its documents."""
 
-    Postings are those of the terms that pass the filter of the items' terms.
-    """
+    def __init__(self, rows: DataFrame):
+        self.spark, self.name = rows.sparkSession, f"postings_{uuid.uuid4().hex}"
+        self.path, buckets = work_path(self.spark, "postings"), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows.repartition(buckets, "shard").write.format("parquet").bucketBy(buckets, "shard").option("path", self.path).saveAsTable(self.name)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def documents(self) -> DataFrame:
+        """(shard, place, doc_id, n_words) of every document, by its place in its shard; each row once."""
+        held = self.spark.read.schema(_INDEX).parquet(self.path).where("term IS NULL")
+        return held.select("shard", F.posexplode(F.arrays_zip("docs", "sizes")).alias("place", "d")).select("shard", F.col("place").cast("long").alias("place"), F.col("d.docs").alias("doc_id"), F.col("d.sizes").cast("long").alias("n_words"))
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
+
+
+def build_index(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS) -> Index:
+    """The index of docs; postings are those of the terms that pass the filter of the items' terms."""
     small_batches(docs.sparkSession)
     held_slots = docs.sparkSession.sparkContext.broadcast(np.packbits(term_filter(items)))
 
@@ -112,7 +132,7 @@ def build_index(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WORD
         if docs:
             yield flush(shard, ids, lookup.names, docs, sizes)
 
-    return written(_text_column(docs, "doc_id").mapInArrow(run, _INDEX), "postings")
+    return Index(_text_column(docs, "doc_id").mapInArrow(run, _INDEX))
 
 
 class Shard:
@@ -199,16 +219,16 @@ def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS, unnamed: bool
         yield [(r.item_id, w) for r in part if (unnamed or r.item_id is not None) and (w := words(r.text.encode()))]
 
 
-def _matches(docs: DataFrame, items: DataFrame, schema: str, find, shard_words: int, block_words: int, unnamed: bool = False) -> DataFrame:
+def _matches(index: Index, items: DataFrame, schema: str, find, block_words: int, unnamed: bool = False) -> DataFrame:
     """The rows of find(shard, number, items) for each block of items, written block by block, so that one is broadcast at a time."""
 
     def over(held: Broadcast):
         return lambda rows: find(Shard(rows), int(rows.shard.iloc[0]), held.value)
 
-    spark, index, path = docs.sparkSession, build_index(docs, items, shard_words), work_path(docs.sparkSession, "matches")
+    spark, path = index.spark, work_path(index.spark, "matches")
     for i, block in enumerate(item_blocks(items, block_words, unnamed)):
         held = spark.sparkContext.broadcast(block)
-        index.groupBy("shard").applyInPandas(over(held), schema).write.parquet(f"{path}/block={i}")
+        index.rows().groupBy("shard").applyInPandas(over(held), schema).write.parquet(f"{path}/block={i}")
         held.destroy()
     return spark.read.schema(f"{schema}, block int").parquet(path).drop("block")
 
@@ -231,13 +251,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, shard_wor
             for d in np.unique(shard.doc_of(at)).tolist():
                 of[d].add(item)
         hit = np.flatnonzero(np.cumsum(edges) > 0)
-        ends = np.searchsorted(hit, [*shard.starts, total])
-        hits = [hit[x:y] - s for x, y, s in zip(ends[:-1], ends[1:], shard.starts, strict=True)]
-        return pd.DataFrame({"shard": number, "place": range(len(of)), "doc_id": pd.array(shard.docs, "Int64"), "n_words": shard.sizes, "hits": hits, "items": [sorted(x, key=lambda i: (i is not None, i)) for x in of]})
+        some = [d for d, names in enumerate(of) if names]
+        hits = [hit[np.searchsorted(hit, shard.starts[d]) : np.searchsorted(hit, shard.starts[d] + shard.sizes[d])] - shard.starts[d] for d in some]
+        return pd.DataFrame({"shard": number, "place": some, "hits": pd.Series(hits, dtype=object), "items": pd.Series([sorted(of[d], key=lambda i: (i is not None, i)) for d in some], dtype=object)})
 
-    found = _matches(docs, items, "shard long, place long, doc_id long, n_words long, hits array<int>, items array<string>", find, shard_words, block_words, unnamed)
+    index = build_index(docs, items, shard_words)
+    found = _matches(index, items, "shard long, place long, hits array<int>, items array<string>", find, block_words, unnamed)
     gathered = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return found.groupBy("shard", "place", "doc_id", "n_words").agg(gathered("hits"), gathered("items")).drop("shard", "place")
+    found = found.groupBy("shard", "place").agg(gathered("hits"), gathered("items"))
+    sizes = written(index.documents(), "index-documents")
+    index.drop()
+    none = {"hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>")}
+    return sizes.join(found.hint("merge"), ["shard", "place"], "left").select("doc_id", "n_words", *(F.coalesce(c, v).alias(c) for c, v in none.items()))
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = 13, span: int | None = None, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -255,7 +280,10 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 13, span: int | Non
             parts.append(pd.DataFrame({"doc_id": pd.array([shard.docs[d] for d in doc], "Int64"), "item_id": item, "item_word": pd.array([None] * len(at) if number is None else number, "Int64"), "doc_word": at - shard.starts[doc]}))
         return pd.concat(parts) if parts else pd.DataFrame({"doc_id": [], "item_id": [], "item_word": [], "doc_word": []})
 
-    return _matches(docs, items, "doc_id long, item_id string, item_word long, doc_word long", find, shard_words, block_words)
+    index = build_index(docs, items, shard_words)
+    found = _matches(index, items, "doc_id long, item_id string, item_word long, doc_word long", find, block_words)
+    index.drop()
+    return found
 
 
 def is_contaminated(n_hit, n_words):
