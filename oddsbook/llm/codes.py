@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsbook.llm.common import written
+from oddsbook.llm.common import discard, written
 
 CHUNK, LEAF = 4096, 128
 #: Components are below this in magnitude: products, boxes' bounds and squared distances of a part of up to 10,000 places are whole numbers
@@ -256,6 +256,7 @@ def vector_codes(rows: DataFrame, parts: int = 4, entries: int = 256, rounds: in
         none = kept.where("false").select("vec_id", "label", F.lit("").alias("code"), F.lit(0).cast("long").alias("error"), F.lit(0).cast("long").alias("label_error"))
         return none.withColumn("codebooks_sha256", F.lit(digest))
     coded = written(_coded(chunks, books, "label"), "vector-codes")
+    discard(chunks)
     sums = coded.groupBy(F.col("label").alias("own")).agg(F.sum("error").alias("label_error"))
     joined = coded.join(sums, F.col("label").eqNullSafe(F.col("own")), "left")
     return joined.select("vec_id", "label", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))

@@ -43,7 +43,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once to the shared folder and read from there: cuts the lineage, and a lost executor costs a reread."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that `written` returned and that no later plan reads."""
+    for df in tables:
+        delete(df.sparkSession, df.written_at)
 
 
 def delete(spark: SparkSession, path: str) -> None:

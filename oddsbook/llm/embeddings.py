@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsbook.llm.common import written
+from oddsbook.llm.common import discard, written
 from oddsbook.llm.components import connected_components
 
 #: Vectors in a block of a bucket, vectors a bucket of unlike vectors has on average, and bits of a sketch.
@@ -152,8 +152,9 @@ def _unit_links(ids: np.ndarray, vectors: np.ndarray, n: np.ndarray, codes: np.n
     return links, ids[order[root[place]]]
 
 
-def _links(coded: DataFrame, tables: int, threshold: float) -> DataFrame:
-    """(id, links, least): partial link counts of distinct vectors, and the smallest id that the links of a unit connect them with; (id, least) span its links."""
+def _links(coded: DataFrame, tables: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, links, least): partial link counts of distinct vectors, and the smallest id that the links of a unit connect them with; (id, least) span its links.
+    With it come the tables written for it."""
     placed = coded.select("id", "s1", "s2", F.posexplode("codes").alias("t", "code"), F.size("vector").alias("dim"))
     key = ["dim", "t", "code"]
     sizes = written(placed.groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")), "bucket-sizes")
@@ -192,7 +193,7 @@ def _links(coded: DataFrame, tables: int, threshold: float) -> DataFrame:
         some = links > 0
         return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(least[some])], ["id", "links", "least"])
 
-    return dealt.mapInArrow(lambda batches: _by_unit(batches, work), "id long, links long, least long")
+    return dealt.mapInArrow(lambda batches: _by_unit(batches, work), "id long, links long, least long"), sizes, candidates
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.9, recall: float = 0.998, seed: int = 17) -> DataFrame:
@@ -213,11 +214,14 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, recall: float = 0.998,
     n = distinct.count()
     bits, tables = tables_for(n, threshold, recall)
     coded = written(_codes(distinct, bits, tables, seed), "coded")
-    links = written(_links(coded, tables, threshold), "vector-links")
+    found, *parts = _links(coded, tables, threshold)
+    links = written(found, "vector-links")
+    discard(coded, *parts)
     counts = written(links.groupBy("id").agg(F.sum("links").alias("links")), "vector-counts")
     joined = written(connected_components(links.select(F.col("id").alias("a"), F.col("least").alias("b"))), "vector-components")
     known = distinct.join(counts, "id", "left").join(joined, distinct.id == joined.node, "left")
     known = written(known.select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id")), "vector-known")
+    discard(distinct, links, counts, joined)
     found = valid.join(known, "vector").select("vec_id", "n_links", "component_id")
     alone = rows.where(~linked).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -78,13 +78,15 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id keep their fingerprint and belong to the group of the fingerprint; a group whose ids are all null
     has a null component_id. Repeated rows are rows of one group. An empty table gives none.
     """
-    from oddsbook.llm.common import written
+    from oddsbook.llm.common import discard, written
 
     prints = written(fingerprints(docs), "simhash")
     least = written(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")), "simhash-distinct")
     joined = written(connected_components(near_links(least)), "simhash-components")
     rooted = least.join(joined, least.fp == joined.node, "left").select("fp", "doc", F.coalesce("component", "fp").alias("root"))
     rooted = written(rooted, "simhash-rooted")
+    discard(least, joined)
     first = written(rooted.groupBy("root").agg(F.min("doc").alias("component_id")), "simhash-first")
     named = written(rooted.join(first, "root").select("fp", "component_id"), "simhash-named")
+    discard(rooted, first)
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

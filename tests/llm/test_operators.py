@@ -281,6 +281,20 @@ def test_contamination(spark, docs, shard_words, block_words):
     assert len(empty) == docs.count() and not any(r.hits for r in empty)
 
 
+def test_blocks_of_items_read_the_index_as_it_lies(spark, docs):
+    """The index is dealt out once: looking a block up takes no exchange, whatever the number of blocks; only matches give rows."""
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    index = decontaminate.build_index(docs, items, 50)
+    looked = index.rows().groupBy("shard").applyInPandas(lambda rows: rows[["shard"]].head(1), "shard long")
+    assert "Exchange" not in looked._jdf.queryExecution().executedPlan().toString()
+    shards = [r.shard for r in looked.collect()]
+    assert len(shards) == len(set(shards)) > 3 and index.documents().count() == docs.count()
+    index.drop()
+    tables = spark.sql("SHOW TABLES").count()
+    decontaminate.contamination(docs, items, shard_words=50, block_words=20)
+    assert spark.sql("SHOW TABLES").count() == tables
+
+
 @pytest.mark.parametrize("block_words", [500_000, 4])
 def test_contamination_by_items_without_id(spark, tmp_path, monkeypatch, block_words):
     monkeypatch.setattr(decontaminate, "contamination", partial(decontaminate.contamination, shard_words=50, block_words=block_words))
@@ -395,6 +409,19 @@ def test_segment_tree_bpe_agrees_with_the_library():
             assert decoded.decode() == library.decode(want, skip_special_tokens=False), repr(text)
 
 
+def test_few_long_words_are_merged_like_many():
+    """Plain trees of few words against rows of one array, and 80,000 characters in time."""
+    merges = bpe.Merges(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(6)
+    words = ["".join(rng.choices("etaoinshrdlu", k=n)) for n in (1, 2, 3, 8, 9, 60, 700, 5000)] + ["a" * 3000, "ab" * 700]
+    few = [merges.encode([w])[0] for w in words]
+    many = [merges.encode([w] * bpe.FEW)[-1] for w in words]
+    assert few == many
+    began = time.perf_counter()
+    merges.encode(["".join(rng.choices("etaoinshrdlu", k=80_000))])
+    assert time.perf_counter() - began < 10
+
+
 def test_encode_decode(docs):
     from tokenizers import Tokenizer
 
@@ -634,6 +661,19 @@ def test_license_recall(spark):
     assert got <= want and len(want) > 300 and len(got) / len(want) >= 0.99
 
 
+def test_a_hundred_templates_are_planned_in_time(spark):
+    """Templates are constants of the plan: a hundred of 200 words each, every one found in the document that has it."""
+    rng = random.Random(8)
+    made = {f"t{i:03d}": " ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for i in range(100)}
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(made.values())] + [(100, "none of them")], "doc_id long, text string")
+    licenses.license_scan(docs)._jdf.queryExecution().executedPlan()
+    began = time.perf_counter()
+    found = licenses.license_scan(docs, made)
+    found._jdf.queryExecution().executedPlan()
+    assert time.perf_counter() - began < 30
+    assert {r.doc_id: [x.license for x in r.licenses] for r in found.collect()} == {i: [n] for i, n in enumerate(made)} | {100: []}
+
+
 def test_short_templates_are_refused(spark):
     with pytest.raises(ValueError):
         licenses.license_scan(none(documents(spark)), {"short": "All rights reserved."})
