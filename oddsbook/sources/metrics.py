@@ -115,5 +115,5 @@ def resume_offset(old: DataFrame, new: DataFrame, order: str = "step", run: str
     if run is None:
         return numbered(new, [F.col(order)], "episode", old.count() + 1)
     known = old.groupBy(run).agg(F.count("*").alias("__known"))
-    numbered = new.withColumn("episode", F.row_number().over(Window.partitionBy(run).orderBy(order))).join(known, run, "left")
-    return numbered.withColumn("episode", F.col("episode") + F.coalesce("__known", F.lit(0))).drop("__known")
+    rows = new.withColumn("episode", F.row_number().over(Window.partitionBy(run).orderBy(order))).join(known, run, "left")
+    return rows.withColumn("episode", F.col("episode") + F.coalesce("__known", F.lit(0))).drop("__known")
