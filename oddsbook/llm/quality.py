@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
     """Learns from at most max_rows labelled documents that are not held out: those least by a hash of doc_id.
 
     Labels that are null or of no document are left out; of several labels of a document the largest counts. Only max_rows
-    ids and their feature rows reach the driver; the features are computed on the executors.
+    ids and as many feature rows reach the driver, of rows that share an id too; the features are computed on the executors.
     """
     small_batches(docs.sparkSession)
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
@@ -165,7 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([features(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
-    got = sorted((r.doc_id, r.quality, *r.x) for r in rows.mapInArrow(run, "doc_id long, quality int, x array<double>").collect())
+    found = rows.mapInArrow(run, "doc_id long, quality int, x array<double>")
+    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_rows)  # rows may share an id
+    got = sorted((r.doc_id, r.quality, *r.x) for r in found.collect())
     x = np.array([r[2:] for r in got], dtype=np.float64).reshape(len(got), len(FEATURES))
     return train(x, np.array([r[1] for r in got], dtype=np.float64))
 
