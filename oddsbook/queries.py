@@ -71,6 +71,12 @@ def _raw(s: SparkSession, d: str) -> DataFrame:
     return _stored(s, d, "quotes", fx.quotes)
 
 
+def prepare(s: SparkSession, d: str) -> None:
+    """Writes the tables that the queries share, if this session has not for these sources."""
+    for name, make in (("snapshots", fx.snapshots), ("quotes", fx.quotes)):
+        _stored(s, d, name, make)
+
+
 def _clean(s: SparkSession, d: str) -> DataFrame:
     return q.clean_quotes(_raw(s, d))
 
@@ -404,7 +410,8 @@ def normalise_observation(s, d):
 
 
 def _observations(s, d):
-    return ft.build_observation(_snaps(s, d), ft.runner_features(_clean(s, d)))
+    """The vectors, written once: their statistics and their normal form read them apart."""
+    return _stored(s, d, "observations", lambda s, d: ft.build_observation(_snaps(s, d), ft.runner_features(_clean(s, d))))
 
 
 @query
