@@ -36,6 +36,7 @@ def sha256(text: Column) -> Column:
 
 def _any(path: str) -> str:
     """A pattern that only path itself fits: a stream takes a single file by a pattern, a folder either way."""
+    path = path.rstrip("/")
     return f"{path[:-1]}[{path[-1]}]"
 
 

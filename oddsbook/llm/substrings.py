@@ -34,6 +34,8 @@ from oddsbook.llm.common import small_batches, written
 ANCHOR_WORDS, SEGMENT_WINDOWS, REFERENCE_WORDS = 12, 1000, 100_000
 #: Words that one anchor's automaton may have (half a kilobyte of memory each), and up to which small anchors are gathered in one.
 SHARD_WORDS, GATHERED_WORDS = 200_000, 20_000
+#: Rows of windows that a task holds at a time.
+STRETCH = 1 << 16
 _BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
@@ -209,22 +211,33 @@ def _segments(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _taken(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """What the wanted segments of each document consist of: their words, or where split is set a row for each window with its hashes."""
+    """What the wanted segments of each document consist of: their words, or where split is set a row for each window with its hashes, in arrays of bounded length."""
     names, kinds = ["anchor", "h1", "h2", "doc", "body", "at", "words"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
+    def windows(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h1, h2, doc, body, at = (np.concatenate(c) for c in zip(*held, strict=True))
+        cols = [pa.nulls(len(at), pa.int64()), *map(pa.array, (h1, h2, doc, body)), pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
+            held, n = [], 0
             for doc, body, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
                 words = text.split()
                 rolled = Rolled(words) if any(w["split"] for w in own) else None
                 for w in own:
                     if not w["split"]:
                         out.append((w["anchor"], None, None, doc, body, w["at"], b" ".join(words[w["at"] : w["at"] + w["n"] + length - 1])))
-                    else:
-                        at = np.arange(w["at"], w["at"] + w["n"])
-                        h1, h2 = (rolled.run(at, at + length, lane).view(np.int64).tolist() for lane in (0, 1))
-                        out += [(None, x, y, doc, body, a, None) for x, y, a in zip(h1, h2, at.tolist(), strict=True)]
+                        continue
+                    at = np.arange(w["at"], w["at"] + w["n"])
+                    held.append((*(rolled.run(at, at + length, lane).view(np.int64) for lane in (0, 1)), np.full(len(at), doc), np.full(len(at), body), at))
+                    n += len(at)
+                    if n >= STRETCH:
+                        yield windows(held)
+                        held, n = [], 0
+            if held:
+                yield windows(held)
             yield _columns(out, names, kinds)
 
     asked = wanted.groupBy("doc", "body").agg(F.collect_list(F.struct("anchor", "at", "n", "split")).alias("own"))
