@@ -32,8 +32,10 @@ def slot_features() -> list[str]:
     return [*base_features(), *POSITION, *DELTAS, *SESSION]
 
 
-def runner_features(quotes: DataFrame) -> DataFrame:
-    """Clean quotes with the momentum and session features and the gap to the favourite; null where the runner has no quote."""
+def runner_features(quotes: DataFrame, opening: DataFrame | None = None) -> DataFrame:
+    """Clean quotes with the momentum and session features and the gap to the favourite; null where the runner has no quote. Favourites are taken
+    from the first rows of opening, plain quotes of the same markets, where quotes are costly to make; else from quotes.
+    """
     quoted, so_far = valid(quotes), runner().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = quotes.withColumns({f"__{short}": F.when(quoted, F.col(name)) for short, name in (("m", "microprice"), ("i", "ob_imbalance"), ("v", "traded_vol_60s"), ("s", "rel_spread"))})
     rows = rows.withColumns({f"__{c}1": F.lag(f"__{c}", 1).over(runner()) for c in "mivs"} | {"__m5": F.lag("__m", 5).over(runner())})
@@ -48,7 +50,7 @@ def runner_features(quotes: DataFrame) -> DataFrame:
     seen = F.when(m > 1.01, m)
     low, high = F.min(seen).over(so_far), F.max(seen).over(so_far)
     place = F.when((m > 1.01) & (high - low > 0.01), clip(F.try_divide(m - low, high - low), 0.0, 1.0)).otherwise(0.5)
-    rows = rows.join(favourites(quotes), "market_id", "left")
+    rows = rows.join(favourites(quotes if opening is None else opening), "market_id", "left")
     of_favourite = F.max(F.when(F.col("runner_idx") == F.col("favourite"), m)).over(Window.partitionBy("market_id", "step"))
     gap = F.when((F.col("runner_idx") != F.col("favourite")) & (of_favourite > 1.01) & (m > 1.01), safe_price_norm(m) - safe_price_norm(of_favourite))
     made = {

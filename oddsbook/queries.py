@@ -744,7 +744,7 @@ def recent_trades_by_step(s, d):
 @query
 def build_observation_with_positions(s, d):
     """All 999 places before each step's trades: a row for each slot that is not all zeros (v0 to v40), and one, slot 24, for the 15 last places."""
-    rows = ft.runner_features(ft.positioned(_clean(s, d), _ledger(s, d), _markets(s, d)))
+    rows = ft.runner_features(ft.positioned(_clean(s, d), _ledger(s, d), _markets(s, d)), _raw(s, d))
     seen = ft.build_observation(_snaps(s, d), rows).select("market_id", "step", _C("observation").cast("array<double>").alias("o"))
     part = lambda i: F.struct(i.alias("slot"), F.slice("o", i * 41 + 1, 41).alias("v"))
     slots = seen.select("market_id", "step", F.explode(F.transform(F.sequence(F.lit(0), F.lit(24)), part)).alias("p")).where(F.exists("p.v", lambda v: v != 0))
