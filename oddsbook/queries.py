@@ -154,24 +154,42 @@ def quarantine_files(s, d):
 
 
 def _damage(s: SparkSession, path: str) -> None:
-    """Overwrites a stretch in the middle of a Parquet file's pages, so that it opens but some of its row groups cannot be read."""
-    at = s._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(s._jsc.hadoopConfiguration())
-    stream = fs.open(at)
-    held = bytearray(s._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-    stream.close()
-    pages = len(held) - 8 - int.from_bytes(held[-8:-4], "little")  # the footer and its length come last
+    """Overwrites a stretch in the middle of a Parquet file's pages, so that it opens but some of its row groups cannot be read.
+
+    The file is copied from stream to stream in the JVM, whose buffer is of fixed size; this process holds one block of the stretch at most.
+    """
+    at, new = (s._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.copy"))
+    fs, io = at.getFileSystem(s._jsc.hadoopConfiguration()), s._jvm.org.apache.commons.io.IOUtils
+    size = fs.getFileStatus(at).getLen()
+    held, out = fs.open(at), fs.create(new, True)
+    held.seek(size - 8)
+    pages = size - 8 - s._jvm.Integer.reverseBytes(held.readInt())  # the footer and its length come last
     half, n = pages // 2, pages // 8
-    held[half : half + n] = b"\xff" * n
-    out = fs.create(at, True)
-    out.write(held)
+    held.seek(0)
+    io.copyLarge(held, out, 0, half)
+    for start in range(0, n, _BLOCK):
+        out.write(bytearray(b"\xff" * min(_BLOCK, n - start)))
+    held.seek(half + n)
+    io.copyLarge(held, out)
+    held.close()
     out.close()
+    fs.delete(at, False)
+    fs.rename(new, at)
+
+
+#: Bytes of a damaged stretch that are written at a time; row groups that a race file has at least, once it has 100 rows for each.
+_BLOCK, _ROW_GROUPS = 1 << 20, 64
 
 
 def _race_folder(s: SparkSession, d: str) -> str:
-    """Four race files of many row groups, by market_id modulo 4; that of 1 is damaged in the middle, and one file is no Parquet at all."""
+    """Four race files of many row groups, by market_id modulo 4; that of 1 is damaged in the middle, and one file is no Parquet at all.
+
+    Row groups grow with the files, up to the usual size, as a footer has an entry for each column of each of them.
+    """
     path, rows = work_path(s, "races"), _wide(s, d).withColumn("g", _C("market_id") % 4)
-    rows.withColumn("market_id", _C("market_id").cast("string")).withColumn("secs_to_off", _C("step").cast("double")).drop("step").repartition("g").write.partitionBy("g").option("parquet.block.size", 8192).option("parquet.page.size", 1024).parquet(f"{path}-parts")
+    group = max(100, _snaps(s, d).count() // (4 * _ROW_GROUPS))
+    rows = rows.withColumn("market_id", _C("market_id").cast("string")).withColumn("secs_to_off", _C("step").cast("double")).drop("step")
+    rows.repartition("g").write.partitionBy("g").option("parquet.block.row.count.limit", group).option("parquet.page.row.count.limit", group).parquet(f"{path}-parts")
     fs = s._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(s._jsc.hadoopConfiguration())
     fs.mkdirs(s._jvm.org.apache.hadoop.fs.Path(path))
     for part, _, _ in files_of(s, f"{path}-parts"):

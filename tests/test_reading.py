@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import random
+import tracemalloc
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -143,3 +144,19 @@ def test_statistics_do_not_cancel(spark):
     for r, mean, variance in zip(got, x.mean(axis=0), x.var(axis=0), strict=True):
         assert r.n == 6000 and r.mean == pytest.approx(mean, rel=1e-12) and r.variance == pytest.approx(variance, rel=1e-6)
     assert features.observation_stats(rows.where("false")).count() == 0
+
+
+def test_damage_does_not_hold_the_file(spark, tmp_path):
+    """32 MB of random values: only a stretch in the middle of the pages changes, and this process never has the file in memory."""
+    path = str(tmp_path / "big.parquet")
+    pq.write_table(pa.table({"v": np.random.default_rng(1).integers(0, 1 << 62, 1 << 22)}), path, row_group_size=1 << 16, use_dictionary=False)
+    before = np.fromfile(path, np.uint8)
+    tracemalloc.start()
+    queries._damage(spark, path)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    after = np.fromfile(path, np.uint8)
+    changed = np.flatnonzero(before != after)
+    assert len(before) == len(after) and len(before) // 2 - (1 << 16) < changed[0] and changed[-1] < len(before) * 5 // 8
+    assert 0.9 * len(before) / 8 < len(changed) <= len(before) / 8 and peak < len(before) / 3
+    assert pq.read_metadata(path).num_rows == 1 << 22
