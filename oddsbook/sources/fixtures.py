@@ -103,7 +103,11 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(QUOTES, snapshots=snapshots(spark, sf_dir), slots=spark.range(24).withColumnRenamed("id", "runner_idx"))
+    return quotes_of(spark, snapshots(spark, sf_dir))
+
+
+def quotes_of(spark: SparkSession, snapshots: DataFrame) -> DataFrame:
+    return spark.sql(QUOTES, snapshots=snapshots, slots=spark.range(24).withColumnRenamed("id", "runner_idx"))
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:

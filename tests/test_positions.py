@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import resource
+import re
 import shutil
 
 import pytest
@@ -205,3 +206,10 @@ def test_derived_tables_follow_their_sources(spark, tmp_path):
     half = spark.read.parquet(f"{SF}/events.parquet").where("event_id % 2 = 0").toPandas()
     half.to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
     assert queries.QUERIES["step_index"](spark, str(tmp_path)).count() == len(half) < n
+
+
+@pytest.mark.parametrize("name", ["build_observation", "unpivot_runners", "observation_stats_wide"])
+def test_quotes_are_not_exchanged_again(spark, name):
+    """The derived tables are dealt by market when they are written: no wide row goes through an exchange after that."""
+    plan = plan_of(queries.QUERIES[name](spark, SF)).split("== Final Plan ==")[0]
+    assert not [e for e in re.findall(r"(?<!Broadcast)Exchange hashpartitioning\((\w+)", plan) if e not in ("feature",)]
