@@ -14,8 +14,11 @@ smallest doc_id that has it; the segments are streamed through it for their matc
 full length in a smaller doc_id are repeats.
 
 A shard has a bounded number of words. An anchor whose different segments have more (a passage that very many documents share, each
-with other words around it) is split by its windows: the whole window becomes the anchor, so that equal windows alone stand
-together, and again equal ones are one row. Segments and windows are equal if two independent 64-bit hashes of their words are.
+with other words around it) is split: the same is done with its segments as texts and longer shingles, halfway to a whole window
+each time, which stand in fewer windows and apart from other words around them. Where whole windows are the shingles, equal ones
+alone stand together. The rows of a level are segments, one for all that come again in a text without a gap between them, so that
+neither a passage nor a phrase over and over gives a row for each window. Segments are equal if two independent 64-bit hashes of
+their words are.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ from oddsbook.llm.common import small_batches, written
 ANCHOR_WORDS, SEGMENT_WINDOWS, REFERENCE_WORDS = 12, 1000, 100_000
 #: Words that one anchor's automaton may have (half a kilobyte of memory each), and up to which small anchors are gathered in one.
 SHARD_WORDS, GATHERED_WORDS = 200_000, 20_000
-#: Rows of windows that a task holds at a time.
-STRETCH = 1 << 16
+#: Of whole windows as shingles, an anchor has one segment unless hashes collide.
+_NO_LIMIT = (1 << 63) - 1
 _BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
@@ -101,20 +104,24 @@ class Rolled:
         return self.run(at, at + n, 0)
 
 
-def segments(words: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """The segments of a text: anchor, two hashes of their words, first window, number of windows."""
+def segments(words: list[bytes], length: int, size: int = ANCHOR_WORDS) -> tuple[np.ndarray, ...]:
+    """The segments of a text by its shingles of size words: anchor, two hashes of their words, first window, number of windows, reach.
+
+    Equal segments that follow within `length` words of each other are one: the first, and how far from it the last begins. Whatever window of the first is a
+    repeat, it is one in all, and they cover all words between.
+    """
     n = len(words) - length + 1
     if n < 1:
-        return (np.empty(0, np.int64),) * 5
+        return (np.empty(0, np.int64),) * 6
     rolled = Rolled(words)
-    size = min(ANCHOR_WORDS, length)
+    size = min(size, length)
     least, width, wanted = rolled.grams(size), 1, length - size + 1
     while 2 * width <= wanted:  # the least of twice as many shingles each time
         least = np.minimum(least[: len(least) - width], least[width:])
         width *= 2
     if wanted > width:
         least = np.minimum(least[: n], least[wanted - width : wanted - width + n])
-    start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]])) if size < length else np.arange(n)
     count = np.diff(np.concatenate([start, [n]]))
     if count.max() > SEGMENT_WINDOWS:  # the same words over and over: cut evenly from the first
         more = (count - 1) // SEGMENT_WINDOWS
@@ -122,7 +129,14 @@ def segments(words: list[bytes], length: int) -> tuple[np.ndarray, ...]:
         start = np.repeat(start, more + 1) + nth * SEGMENT_WINDOWS
         count = np.diff(np.concatenate([start, [n]]))
     h1, h2 = (rolled.run(start, start + count + length - 1, lane).view(np.int64) for lane in (0, 1))
-    return least[start].view(np.int64), h1, h2, start, count
+    anchor = least[start].view(np.int64)
+    order = np.lexsort((start, count, h2, h1, anchor))
+    anchor, h1, h2, count, start = (c[order] for c in (anchor, h1, h2, count, start))
+    new = start[1:] - start[:-1] > length
+    for c in (anchor, h1, h2, count):
+        new |= c[1:] != c[:-1]
+    first, last = (np.flatnonzero(np.concatenate(e)) for e in (([True], new), (new, [True])))
+    return *(c[first] for c in (anchor, h1, h2, start, count)), start[last] - start[first]
 
 
 class Automaton:
@@ -198,50 +212,37 @@ def _columns(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> p
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-def _segments(docs: DataFrame, length: int) -> DataFrame:
+def _segments(texts: DataFrame, length: int, size: int = ANCHOR_WORDS) -> DataFrame:
+    """The segments of texts (doc, body, text, own), whose first word has the number own in its document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [segments(t.split(), length) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            parts = [segments(t.split(), length, size) for t in b.column(2).cast(pa.binary()).to_pylist()]
             times = [len(p[0]) for p in parts]
-            cols = [np.concatenate([np.empty(0, np.int64), *(p[i] for p in parts)]) for i in range(5)]
-            own = [pa.array(np.repeat(b.column(i).to_numpy(), times)) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, cols[:3]), *(pa.array(c.astype(np.int32)) for c in cols[3:])], ["doc", "body", "anchor", "h1", "h2", "at", "n"])
+            cols = [np.concatenate([np.empty(0, np.int64), *(p[i] for p in parts)]) for i in range(6)]
+            doc, body, own = (np.repeat(b.column(i).to_numpy(), times) for i in (0, 1, 3))
+            out = [doc, body, own, *cols[:3], (own + cols[3]).astype(np.int32), *(c.astype(np.int32) for c in cols[4:])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["doc", "body", "own", "anchor", "h1", "h2", "at", "n", "reach"])
 
-    return docs.mapInArrow(run, "doc long, body long, anchor long, h1 long, h2 long, at int, n int")
+    return texts.select("doc", "body", "text", "own").mapInArrow(run, "doc long, body long, own int, anchor long, h1 long, h2 long, at int, n int, reach int")
 
 
-def _taken(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """What the wanted segments of each document consist of: their words, or where split is set a row for each window with its hashes, in arrays of bounded length."""
-    names, kinds = ["anchor", "h1", "h2", "doc", "body", "at", "words"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-
-    def windows(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        h1, h2, doc, body, at = (np.concatenate(c) for c in zip(*held, strict=True))
-        cols = [pa.nulls(len(at), pa.int64()), *map(pa.array, (h1, h2, doc, body)), pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, names)
+def _taken(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The words of the wanted segments, a row each."""
+    names, kinds = ["anchor", "split", "doc", "body", "at", "words"], [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            held, n = [], 0
-            for doc, body, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for doc, body, own, text, parts in zip(*(c.to_pylist() for c in (*b.columns[:3], b.column(3).cast(pa.binary()), b.column(4))), strict=True):
                 words = text.split()
-                rolled = Rolled(words) if any(w["split"] for w in own) else None
-                for w in own:
-                    if not w["split"]:
-                        out.append((w["anchor"], None, None, doc, body, w["at"], b" ".join(words[w["at"] : w["at"] + w["n"] + length - 1])))
-                        continue
-                    at = np.arange(w["at"], w["at"] + w["n"])
-                    held.append((*(rolled.run(at, at + length, lane).view(np.int64) for lane in (0, 1)), np.full(len(at), doc), np.full(len(at), body), at))
-                    n += len(at)
-                    if n >= STRETCH:
-                        yield windows(held)
-                        held, n = [], 0
-            if held:
-                yield windows(held)
+                for w in parts:
+                    first = w["at"] - own
+                    out.append((w["anchor"], w["split"], doc, body, w["at"], b" ".join(words[first : first + w["n"] + length - 1])))
             yield _columns(out, names, kinds)
 
-    asked = wanted.groupBy("doc", "body").agg(F.collect_list(F.struct("anchor", "at", "n", "split")).alias("own"))
-    return docs.join(asked, ["doc", "body"]).select("doc", "body", "text", "own").mapInArrow(run, "anchor long, h1 long, h2 long, doc long, body long, at int, words binary")
+    asked = wanted.groupBy("doc", "body", "own").agg(F.collect_list(F.struct("anchor", "at", "n", "split")).alias("parts"))
+    return texts.join(asked, ["doc", "body", "own"]).select("doc", "body", "own", "text", "parts").mapInArrow(run, "anchor long, split boolean, doc long, body long, at int, words binary")
 
 
 def _runs(starts: list[int]) -> list[tuple[int, int]]:
@@ -251,7 +252,7 @@ def _runs(starts: list[int]) -> list[tuple[int, int]]:
 
 
 def _matched(taken: DataFrame, length: int) -> DataFrame:
-    """(doc, body, at, n): the repeated windows of the segments, from the automata of their shards."""
+    """(doc, body, part, at, n): the repeated windows of the segments, which `part` names by their first window, from the automata of their shards."""
 
     def shard(rows: list[tuple]) -> list[tuple]:
         automaton, split = Automaton(), [(doc, body, at, words.split()) for _, doc, body, at, words in rows]
@@ -260,11 +261,11 @@ def _matched(taken: DataFrame, length: int) -> DataFrame:
         automaton.finish()
         out = []
         for doc, body, at, words in split:
-            out += [(doc, body, at + first, n) for first, n in _runs(automaton.repeats(words, doc, length))]
+            out += [(doc, body, at, at + first, n) for first, n in _runs(automaton.repeats(words, doc, length))]
         return out
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return _columns(shard(rows), ["doc", "body", "at", "n"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
+        return _columns(shard(rows), ["doc", "body", "part", "at", "n"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -279,38 +280,55 @@ def _matched(taken: DataFrame, length: int) -> DataFrame:
         if held:
             yield batch(held)
 
-    dealt = taken.where("anchor IS NOT NULL").select("anchor", "doc", "body", "at", "words").repartition("anchor").sortWithinPartitions("anchor", "doc")
-    return dealt.mapInArrow(run, "doc long, body long, at int, n int")
+    dealt = taken.where("NOT split").select("anchor", "doc", "body", "at", "words").repartition("anchor").sortWithinPartitions("anchor", "doc")
+    return dealt.mapInArrow(run, "doc long, body long, part int, at int, n int")
 
 
 def shards(found: DataFrame, length: int, shard_words: int) -> tuple[DataFrame, DataFrame]:
-    """From segments of anchors that several documents have: those that equal one of a smaller doc, as (doc, body, at, n), and the different ones of
+    """From segments of anchors that several documents have: those that equal one of a smaller doc, as (doc, body, own, at, n), and the different ones of
     anchors that have several, with `split` where those of an anchor have more than shard_words words."""
     key = ["anchor", "h1", "h2", "n"]
-    first = F.min(F.struct("doc", "body", "at")).alias("first")
-    distinct = written(found.groupBy(*key).agg(first).select(*key, F.col("first.doc").alias("doc"), F.col("first.body").alias("body"), F.col("first.at").alias("at")), "distinct-segments")
-    copies = found.join(distinct.select(*key, F.col("doc").alias("owner")), key).where("doc > owner").select("doc", "body", "at", "n")
+    first = F.min(F.struct("doc", "body", "own", "at")).alias("first")
+    distinct = written(found.groupBy(*key).agg(first).select(*key, *(F.col(f"first.{c}").alias(c) for c in ("doc", "body", "own", "at"))), "distinct-segments")
+    copies = found.join(distinct.select(*key, F.col("doc").alias("owner")), key).where("doc > owner").select("doc", "body", "own", "at", (F.col("n") + F.col("reach")).alias("n"))
     words = F.sum(F.col("n") + (length - 1))
     several = written(distinct.groupBy("anchor").agg(F.count("*").alias("k"), words.alias("w")).where("k > 1").select("anchor", (F.col("w") > shard_words).alias("split")), "several")
     return copies, distinct.join(several, "anchor")
 
 
-def repeated_windows(docs: DataFrame, length: int, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc, body, at, n): runs of n windows from word `at` on that documents with a smaller doc share, for docs (doc, body, text)."""
-    found = written(_segments(docs, length), "segments")
+def _everywhere(inner: DataFrame, found: DataFrame, different: DataFrame) -> DataFrame:
+    """(doc, body, own, at, n) from repeats (doc, body, part, at, n) within the different segments: at every place where their document has the segment."""
+    key = ["anchor", "h1", "h2", "n", "doc"]
+    first = different.select(*key, F.col("body").alias("__body"), F.col("at").alias("part"))
+    places = found.join(first, key).select("doc", "__body", "part", F.col("body").alias("of"), "own", F.col("at").alias("place"), "reach").distinct()
+    moved = (F.col("place") + F.col("at") - F.col("part")).alias("at")
+    return inner.withColumnRenamed("body", "__body").join(places, ["doc", "__body", "part"]).select("doc", F.col("of").alias("body"), "own", moved, (F.col("n") + F.col("reach")).alias("n"))
+
+
+def _repeats(texts: DataFrame, length: int, size: int, shard_words: int) -> DataFrame:
+    """(doc, body, own, at, n): the repeated windows of texts (doc, body, text, own), by shingles of size words and, for the segments that are split, longer ones."""
+    found = written(_segments(texts, length, size), "segments")
     shared = written(found.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("anchor"), "anchors")
     found = written(found.join(shared, "anchor"), "shared-segments")
-    copies, different = shards(found, length, shard_words)
-    taken = written(_taken(docs, different, length), "taken")
-    windows = taken.where("anchor IS NULL")
-    owners = written(windows.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").drop("last"), "windows")
-    single = windows.join(owners, ["h1", "h2"]).where("doc > owner").select("doc", "body", "at", F.lit(1).alias("n"))
-    return copies.unionByName(_matched(taken, length)).unionByName(single)
+    copies, different = shards(found, length, shard_words if size < length else _NO_LIMIT)
+    taken = written(_taken(texts, different, length), "taken")
+    inner = _matched(taken, length)
+    split = taken.where("split").select("doc", "body", F.col("words").alias("text"), F.col("at").alias("own"))
+    if not split.isEmpty():
+        deeper = _repeats(split, length, (size + length + 1) // 2, shard_words)
+        inner = inner.unionByName(deeper.withColumnRenamed("own", "part"))
+    return copies.unionByName(_everywhere(inner, found, different))
+
+
+def repeated_windows(docs: DataFrame, length: int, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(doc, body, at, n): n windows from word `at` on that documents with a smaller doc share, or that such windows cover between them, for docs (doc, body, text, own)."""
+    return _repeats(docs, length, min(ANCHOR_WORDS, length), shard_words).select("doc", "body", "at", "n")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
+    """Rows as texts (doc, body, text, own): own is the number of a text's first word."""
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(body).alias("body"), body.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(body).alias("body"), body.alias("text"), F.lit(0).alias("own"))
 
 
 def substring_dedup(docs: DataFrame, length: int = 50) -> DataFrame:

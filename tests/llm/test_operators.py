@@ -233,6 +233,36 @@ def test_shards_are_bounded_by_words(spark):
     assert multiset(got) == substring_brute(rows, 50)
 
 
+def test_split_segments_give_no_row_for_each_window(spark, monkeypatch):
+    """One phrase over and over in every document, and a passage with other words around it: split segments are cut by longer shingles, and the rows
+    of every level are fewer than the windows by far. Again where only whole windows are left to compare."""
+    rng, made, write = random.Random(9), [], substrings.written
+    monkeypatch.setattr(substrings, "written", lambda df, name: made.append((name, kept := write(df, name))) or kept)
+    passage = " ".join(f"p{j}" for j in range(70))
+    around = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randint(0, 60)))
+    rows = [(i, f"{around()} {'to and fro ' * rng.randint(100, 130)} {around()} {passage} {around()}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (5_000, 60):
+        made.clear()
+        spans = substrings.repeated_windows(substrings._rows(docs), 50, most)
+        got = substrings._without(substrings._rows(docs), spans, 50).select("doc_id", "n_words", "n_removed", "text").collect()
+        assert multiset(got) == substring_brute(rows, 50)
+        sizes = [(name, df.count()) for name, df in made]
+        assert max(n for _, n in sizes) < 60 * 400 / 10, sizes
+
+
+def test_segments_that_a_document_has_twice(spark):
+    """A document has a long passage twice, a smaller one only a part of it that ends within a segment: both places lose that part."""
+    passage = [f"p{j}" for j in range(400)]
+    text = lambda *parts: " ".join(w for p in parts for w in p)
+    rows = [(i, text([f"a{i}"], passage[i : i + 70], [f"b{i}"])) for i in range(0, 300, 7)]
+    rows += [(1000, text(passage, ["x", "y"], passage, ["z"])), (1000, text(["v"], passage)), (1001, text(["w"], passage[100:300], ["q"], passage[100:300]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (substrings.SHARD_WORDS, 100):
+        spans = substrings._without(substrings._rows(docs), substrings.repeated_windows(substrings._rows(docs), 50, most), 50)
+        assert multiset(spans.select("doc_id", "n_words", "n_removed", "text").collect()) == substring_brute(rows, 50)
+
+
 @pytest.mark.parametrize("shard_words", [4_000, 100_000])
 def test_against_reference(docs, shard_words):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
