@@ -6,6 +6,7 @@ import random
 import resource
 import re
 import shutil
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,6 +181,20 @@ def test_position_places_are_not_constant(spark):
     assert min(*held, *world) > 3
 
 
+def test_parts_of_vectors_are_cut_in_the_task(spark):
+    """No vector of 999 places goes through the plan, to be cut up by functions over arrays; the parts are those of the vectors."""
+    assert not re.search("lambda|slice|sequence", plan_of(queries.QUERIES["build_observation_with_positions"](spark, SF)))
+    rows = features.runner_features(queries._clean(spark, SF))
+    whole = {(r.market_id, r.step): r.observation for r in features.build_observation(queries._snaps(spark, SF), rows).collect()}
+    parts = defaultdict(dict)
+    for r in features.build_observation(queries._snaps(spark, SF), rows, by_slot=True).collect():
+        assert any(r[3:]) and (r.slot < 24 or set(r[18:]) == {None})
+        parts[r.market_id, r.step][r.slot] = list(r[3:])
+    for k, o in whole.items():
+        cut = [v for slot in range(25) for v in parts[k].get(slot, [0.0] * 41)]
+        assert [v or 0.0 for v in cut[:999]] == o
+
+
 def test_numbers_need_no_single_partition(spark):
     rows = spark.range(5000).selectExpr("(id * 7919) % 5000 AS v", "id", "'x' AS place")
     got = ranking.numbered(rows, [F.desc("v")])
