@@ -1,4 +1,4 @@
-"""Which markets are fit for use, and why not: nine checks from one aggregation per market."""
+"""Which markets are fit for use, and why not: nine checks from one aggregation per market and one per runner."""
 
 from __future__ import annotations
 
@@ -18,59 +18,67 @@ def stride_sample(snapshots: DataFrame) -> DataFrame:
     return rows.where(F.col("__i") % F.greatest(F.lit(1), F.floor(F.col("__n") / 50)) == 0).drop("__i", "__n")
 
 
-def few_rows(config: Config = DEFAULT) -> Column:
-    """As an aggregate: too few rows, or no price of the first runner in any."""
-    return (F.count("*") < config.min_rows) | (F.count(F.col("first_price")) == 0)
+def market_checks(snapshots: DataFrame, quotes: DataFrame, config: Config = DEFAULT, dealt: bool = False) -> DataFrame:
+    """A row per market with the measure of every check, from snapshots and raw quotes (before clean_quotes), keyed by market, step and runner.
 
-
-def market_checks(snapshots: DataFrame, quotes: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """A row per market with the measure of every check, from snapshots and raw quotes (before clean_quotes).
-
-    Each measure is an aggregate over snapshots that hold their quotes as an array. Both inputs go through one exchange by market_id for
-    the measures of snapshots and one, of fewer columns, for those of runners; each serves all its windows and groupings. A snapshot without quotes has an empty array, quotes without a snapshot do not count. `file`, where
-    snapshots have it, is that of the market's first row.
+    Quotes meet their snapshots once and become a row per runner; the favourite is chosen among these rows. Quotes go through one exchange, by
+    market_id, or none where the caller says that both inputs are dealt by market; after that only two rows a market do, one of its snapshots and
+    one of its runners. Snapshots without quotes stay, quotes without a snapshot do not count. `file`, where snapshots have it, is that of the
+    market's first row.
     """
-    own = F.struct("runner_idx", "back_price_1", "lay_price_1", "ob_imbalance", "prob_implied").alias("quote")
-    names = ["ts_unix", "runner_count", "total_matched_market", "result_closed", "result_winner_idx_first", "result_winner_selids", *(c for c in ("in_play", "file") if c in snapshots.columns)]
-    both = snapshots.select("market_id", "step", F.struct(*(F.col(c) for c in names)).alias("own")).unionByName(quotes.select("market_id", "step", own), allowMissingColumns=True)
-    steps = both.repartition("market_id").groupBy("market_id", "step").agg(F.collect_list("own").alias("owns"), F.sort_array(F.collect_list("quote")).alias("book"))
-    rows = steps.select("market_id", "step", "book", F.explode("owns").alias("own")).select("market_id", "step", "book", "own.*")
-    pre = F.coalesce(F.col("in_play") == 0, F.lit(False)) if "in_play" in snapshots.columns else F.lit(True)
-    w = Window.partitionBy("market_id")
-    priced = F.filter("book", lambda q: q["back_price_1"] > 1.0)
-    best = F.array_min(F.transform(priced, lambda q: F.struct(q["back_price_1"].alias("price"), q["runner_idx"].alias("idx"))))
-    rows = rows.withColumn("pre", pre)
-    rows = rows.withColumns({
-        "first_pre": F.min(F.when(F.col("pre"), F.col("step"))).over(w),
-        "n_pre": F.count(F.when(F.col("pre"), 1)).over(w),
-        "nth_pre": F.count(F.when(F.col("pre"), 1)).over(w.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)) - 1,
-    }).withColumn("fav", F.max(F.when(F.col("pre") & (F.col("step") == F.col("first_pre")), best)).over(w))
-    of_fav = F.filter("book", lambda q: q["runner_idx"] == F.col("fav.idx"))
-    rows = rows.withColumns({"fb": F.get(of_fav, F.lit(0))["back_price_1"], "fl": F.get(of_fav, F.lit(0))["lay_price_1"], "first_price": F.get("book", F.lit(0))["back_price_1"]})
-    sampled = F.col("pre") & (F.col("nth_pre") % F.greatest(F.lit(1), F.floor(F.col("n_pre") / 50)) == 0) & (F.col("fb") > 0) & (F.col("fl") > F.col("fb"))
-    last_pre = lambda c: F.max_by(F.struct(c), F.when(F.col("pre"), F.col("step")))[c]
+    of_runners = _runners(snapshots, quotes if dealt else quotes.repartition("market_id")).groupBy("market_id").agg(
+        F.min(F.when(F.col("price").isNotNull(), F.struct("price", F.col("runner_idx").alias("idx"), "spread", "last_price"))).alias("fav"),
+        F.sum("n_first").alias("n_first"), F.avg("sd").alias("sd"), F.try_divide(F.sum("nulls"), F.sum("n")).alias("null_rate"),
+    )
+    pre_step = F.when(_pre(snapshots), F.col("step"))
+    last_pre = lambda c: F.max_by(F.struct(c), pre_step)[c]
     last = lambda c: F.max_by(F.struct(c), "step")[c]
-    n = F.coalesce(last("runner_count"), F.lit(0))
-    whole = rows.groupBy("market_id").agg(
-        few_rows(config).alias("few_rows"), n.alias("n_runners"),
-        F.coalesce(F.when(F.count(F.when(F.col("pre"), 1)) >= 2, (F.max(F.when(F.col("pre"), F.col("ts_unix"))) - F.min(F.when(F.col("pre"), F.col("ts_unix")))) / 1000), F.lit(0.0)).alias("pre_race_secs"),
-        F.count(F.when(F.col("pre"), 1)).alias("pre_race_snapshots"),
+    pre_time = F.when(pre_step.isNotNull(), F.col("ts_unix"))
+    has_file = "file" in snapshots.columns
+    whole = snapshots.groupBy("market_id").agg(
+        F.count("*").alias("n_rows"), F.coalesce(last("runner_count"), F.lit(0)).alias("n_runners"),
+        F.coalesce(F.when(F.count(pre_step) >= 2, (F.max(pre_time) - F.min(pre_time)) / 1000), F.lit(0.0)).alias("pre_race_secs"),
+        F.count(pre_step).alias("pre_race_snapshots"),
         last_pre("total_matched_market").alias("liquidity_at_off"),
-        F.max("fav.idx").alias("fav"),
-        F.avg(F.when(sampled, (F.col("fl") - F.col("fb")) / F.col("fb") * 100)).alias("fav_spread"),
-        F.coalesce(F.abs(last_pre("fb") - F.max("fav.price")) / F.max("fav.price") * 100, F.lit(0.0)).alias("fav_drift"),
         F.coalesce(last("result_closed"), F.lit(0)).cast("int").alias("result_closed"),
         last("result_winner_idx_first").alias("winner"), F.coalesce(F.trim(last("result_winner_selids")), F.lit("None")).alias("selids"),
-        *([F.min_by(F.struct("file"), "step")["file"].alias("file")] if "file" in names else []),
+        *([F.min_by(F.struct("file"), "step")["file"].alias("file")] if has_file else []),
     )
-    raw = rows.where("pre").select("market_id", F.explode("book").alias("q")).select("market_id", "q.runner_idx", "q.ob_imbalance", "q.prob_implied")
-    runner = raw.groupBy("market_id", "runner_idx").agg(F.when(F.count("ob_imbalance") > 1, F.stddev_samp("ob_imbalance")).alias("sd"), F.sum(F.col("prob_implied").isNull().cast("int")).alias("nulls"), F.count("*").alias("n"))
-    spread = runner.groupBy("market_id").agg(F.avg("sd").alias("sd"), (F.sum("nulls") / F.sum("n")).alias("null_rate"))
-    return whole.join(spread, "market_id", "left").select(
-        "market_id", "few_rows", "n_runners", "pre_race_secs", "pre_race_snapshots", "liquidity_at_off", "fav", "fav_spread", "fav_drift",
+    drift = F.abs(F.col("fav.last_price") - F.col("fav.price")) / F.col("fav.price") * 100
+    found = whole.unionByName(of_runners, allowMissingColumns=True)
+    return found.groupBy("market_id").agg(*(F.max(c).alias(c) for c in found.columns if c != "market_id")).select(
+        "market_id", ((F.col("n_rows") < config.min_rows) | (F.coalesce("n_first", F.lit(0)) == 0)).alias("few_rows"),
+        "n_runners", "pre_race_secs", "pre_race_snapshots", "liquidity_at_off", F.col("fav.idx").alias("fav"),
+        F.col("fav.spread").alias("fav_spread"), F.coalesce(drift, F.lit(0.0)).alias("fav_drift"),
         F.coalesce("sd", F.lit(0.0)).alias("ob_imbalance"), "result_closed",
         (F.col("winner").isNotNull() & (F.col("winner") != -1) & (F.col("selids") != "")).cast("int").alias("winner_valid"), F.coalesce("null_rate", F.lit(1.0)).alias("prob_null_rate"),
-        *(["file"] if "file" in names else []),
+        *(["file"] if has_file else []),
+    )
+
+
+def _pre(snapshots: DataFrame) -> Column:
+    """Whether a snapshot is before the off: all are where the column is absent, null is not."""
+    return F.coalesce(F.col("in_play") == 0, F.lit(False)) if "in_play" in snapshots.columns else F.lit(True)
+
+
+def _runners(snapshots: DataFrame, quotes: DataFrame) -> DataFrame:
+    """A row per market and runner: n_first, the priced rows in which it is the first runner; and of its rows before the off the back price over 1
+    in the market's first row, the back price in its last, the mean spread over every k-th row, the deviation of the imbalance, null probabilities and their number."""
+    w = Window.partitionBy("market_id")
+    pre, back, lay = F.col("pre"), F.col("back_price_1"), F.col("lay_price_1")
+    steps = snapshots.select("market_id", "step", _pre(snapshots).alias("pre")).withColumns({
+        "nth": F.count(F.when(pre, 1)).over(w.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)) - 1, "n_pre": F.count(F.when(pre, 1)).over(w),
+        "first_pre": F.min(F.when(pre, F.col("step"))).over(w), "last_pre": F.max(F.when(pre, F.col("step"))).over(w),
+    })
+    steps = steps.select("market_id", "step", "pre", (F.col("step") == F.col("first_pre")).alias("is_first"), (F.col("step") == F.col("last_pre")).alias("is_last"), (F.col("nth") % F.greatest(F.lit(1), F.floor(F.col("n_pre") / 50)) == 0).alias("sampled"))
+    place = F.row_number().over(Window.partitionBy("market_id", "step").orderBy("runner_idx"))
+    rows = quotes.select("market_id", "step", "runner_idx", "back_price_1", "lay_price_1", "ob_imbalance", "prob_implied", (place == 1).alias("is_lowest"))
+    imbalance = F.when(pre, F.col("ob_imbalance"))
+    return rows.join(steps.hint("merge"), ["market_id", "step"]).groupBy("market_id", "runner_idx").agg(
+        F.count(F.when(F.col("is_lowest"), back)).alias("n_first"),
+        F.min(F.when(pre & F.col("is_first") & (back > 1.0), back)).alias("price"), F.max(F.when(pre & F.col("is_last"), back)).alias("last_price"),
+        F.avg(F.when(pre & F.col("sampled") & (back > 0) & (lay > back), (lay - back) / back * 100)).alias("spread"),
+        F.when(F.count(imbalance) > 1, F.stddev_samp(imbalance)).alias("sd"), F.count(F.when(pre & F.col("prob_implied").isNull(), 1)).alias("nulls"), F.count(F.when(pre, 1)).alias("n"),
     )
 
 
@@ -91,14 +99,14 @@ def reason(config: Config = DEFAULT) -> Column:
     return out.otherwise("passed_all_9_checks")
 
 
-def suitability(snapshots: DataFrame, quotes: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def suitability(snapshots: DataFrame, quotes: DataFrame, config: Config = DEFAULT, dealt: bool = False) -> DataFrame:
     """(market_id, is_suitable, reason) of every market."""
-    return _judged(market_checks(snapshots, quotes, config).select("market_id", reason(config).alias("reason")))
+    return _judged(market_checks(snapshots, quotes, config, dealt).select("market_id", reason(config).alias("reason")))
 
 
-def suitable_files(snapshots: DataFrame, quotes: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def suitable_files(snapshots: DataFrame, quotes: DataFrame, config: Config = DEFAULT, dealt: bool = False) -> DataFrame:
     """(market_id, file, is_suitable, reason) of every market, the file from the same pass."""
-    return _judged(market_checks(snapshots, quotes, config).select("market_id", "file", reason(config).alias("reason")))
+    return _judged(market_checks(snapshots, quotes, config, dealt).select("market_id", "file", reason(config).alias("reason")))
 
 
 def _judged(found: DataFrame) -> DataFrame:

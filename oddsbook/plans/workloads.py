@@ -9,9 +9,9 @@ from oddsbook.operators import backtest, features, inspection, metrics, split
 from oddsbook.operators.quotes import base_features, clean_quotes
 
 
-def inspect(snapshots: DataFrame, raw_quotes: DataFrame, config: Config = DEFAULT, listed: DataFrame | None = None) -> DataFrame:
-    """(market_id, file, is_suitable, reason, race_date, split) of every market; with listed, the files (file) of the folder, also of those that could not be read."""
-    found = inspection.suitable_files(snapshots, raw_quotes, config)
+def inspect(snapshots: DataFrame, raw_quotes: DataFrame, config: Config = DEFAULT, listed: DataFrame | None = None, dealt: bool = False) -> DataFrame:
+    """(market_id, file, is_suitable, reason, race_date, split) of every market; with listed, the files (file) of the folder, also of those that could not be read; dealt says that both inputs are dealt by market."""
+    found = inspection.suitable_files(snapshots, raw_quotes, config, dealt)
     return split.temporal_split(found if listed is None else inspection.with_unread(found, listed), config)
 
 

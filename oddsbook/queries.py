@@ -65,10 +65,11 @@ _SOURCES = ("events", "orders")
 _BUCKET, _BUCKETS = 25_000, 4
 
 
-def _stored(s: SparkSession, d: str, name: str, make: Callable[[SparkSession, str], DataFrame], order: list[str]) -> DataFrame:
+def _stored(s: SparkSession, d: str, name: str, make: Callable[[SparkSession, str, int], DataFrame], order: list[str]) -> DataFrame:
     """A derived table, written once a session for the source files as they are, so that queries scan the columns they need and do not derive them anew.
 
     It is dealt into buckets by market, so that windows, groupings and joins by market need no exchange; the buckets are as many as the events ask for.
+    make is given their number: rows that it deals so are written as they are.
     """
     key = (s.sparkContext.applicationId, name, *(files_of(s, f"{d}/{t}.parquet") for t in _SOURCES))
     path = _STORED.get(key)
@@ -77,7 +78,7 @@ def _stored(s: SparkSession, d: str, name: str, make: Callable[[SparkSession, st
     if not path:
         path = work_path(s, name)
         n = max(_BUCKETS, -(-s.read.parquet(f"{d}/events.parquet").count() // _BUCKET))
-        rows = make(_utc(s), d).repartition(n, "market_id")
+        rows = make(_utc(s), d, n).repartition(n, "market_id")
         rows.write.format("parquet").bucketBy(n, "market_id").sortBy(*order).option("path", path).saveAsTable(_table(path))
         _STORED[key] = path
     return _utc(s).table(_table(path))
@@ -93,7 +94,13 @@ def _snaps(s: SparkSession, d: str) -> DataFrame:
 
 
 def _raw(s: SparkSession, d: str) -> DataFrame:
-    return _stored(s, d, "quotes", lambda s, d: fx.quotes_of(s, _snaps(s, d)), ["market_id", "runner_idx", "step"])
+    return _stored(s, d, "quotes", lambda s, d, n: fx.quotes_of(s, _snaps(s, d)), ["market_id", "runner_idx", "step"])
+
+
+def _inspected(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Snapshots and raw quotes for the inspection: it needs few columns of the quotes, which are derived in the snapshots' buckets and not written."""
+    snaps = _snaps(s, d)
+    return snaps, fx.quotes_of(s, snaps)
 
 
 def prepare(s: SparkSession, d: str) -> None:
@@ -112,7 +119,7 @@ def _trades(s: SparkSession, d: str) -> DataFrame:
 
 def _ledger(s: SparkSession, d: str) -> DataFrame:
     """The netted positions after each trade."""
-    return _stored(s, d, "ledger", lambda s, d: ledger.position_ledger(_trades(s, d).withColumn("rate", F.lit(0.05))), ["market_id", "runner_idx", "step", "k"])
+    return _stored(s, d, "ledger", lambda s, d, n: ledger.position_ledger(_trades(s, d).withColumn("rate", F.lit(0.05))), ["market_id", "runner_idx", "step", "k"])
 
 
 def _files(s: SparkSession, d: str) -> DataFrame:
@@ -243,7 +250,7 @@ def whole_snapshots(s, d):
 
 @query
 def read_whitelist(s, d):
-    files = _files(s, d).join(inspection.suitability(_snaps(s, d), _raw(s, d)), "market_id")
+    files = _files(s, d).join(inspection.suitability(*_inspected(s, d), dealt=True), "market_id")
     rows = files.select("file", F.when(_C("is_suitable"), F.lit(" True")).otherwise("False").alias("is_suitable"))
     path = work_path(s, "whitelist")
     rows.unionByName(rows).write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
@@ -518,13 +525,14 @@ def stride_sample(s, d):
 
 @query
 def min_rows_and_columns(s, d):
-    return inspection.market_checks(_snaps(s, d), _raw(s, d)).select("market_id", _C("few_rows").cast("int").alias("few_rows"))
+    return inspection.market_checks(*_inspected(s, d), dealt=True).select("market_id", _C("few_rows").cast("int").alias("few_rows"))
 
 
 def _unread(s, d):
     """Inspection of a folder in which the files of every sixth market could not be read."""
     seen = lambda rows: rows.where("market_id % 6 <> 5")
-    return workloads.inspect(seen(_snaps(s, d)), seen(_raw(s, d)), listed=_files(s, d).select("file"))
+    snaps, raw = _inspected(s, d)
+    return workloads.inspect(seen(snaps), seen(raw), listed=_files(s, d).select("file"), dealt=True)
 
 
 @query
@@ -541,7 +549,7 @@ def reason_histogram_of_all_files(s, d):
 
 
 def _whitelist(s, d):
-    rows = _files(s, d).join(inspection.suitability(_snaps(s, d), _raw(s, d)), "market_id")
+    rows = _files(s, d).join(inspection.suitability(*_inspected(s, d), dealt=True), "market_id")
     return races.whitelist(rows.select("file", F.when(_C("is_suitable"), "True ").otherwise("False").alias("is_suitable")))
 
 
@@ -619,7 +627,7 @@ def rollout_grid(s, d):
 
 
 def _measure(check):
-    return lambda s, d: inspection.market_checks(_snaps(s, d), _raw(s, d)).select("market_id", _C(check).alias("value"))
+    return lambda s, d: inspection.market_checks(*_inspected(s, d), dealt=True).select("market_id", _C(check).alias("value"))
 
 
 for _check in inspection.CHECKS:
@@ -628,12 +636,12 @@ for _check in inspection.CHECKS:
 
 @query
 def suitability(s, d):
-    return inspection.suitability(_snaps(s, d), _raw(s, d))
+    return inspection.suitability(*_inspected(s, d), dealt=True)
 
 
 @query
 def reason_histogram(s, d):
-    return inspection.reason_histogram(inspection.suitability(_snaps(s, d), _raw(s, d)))
+    return inspection.reason_histogram(inspection.suitability(*_inspected(s, d), dealt=True))
 
 
 @query
@@ -863,4 +871,4 @@ def episode_summary(s, d):
 
 @query
 def inspect_and_split(s, d):
-    return workloads.inspect(_snaps(s, d), _raw(s, d)).select("file", "is_suitable", "reason", "split")
+    return workloads.inspect(*_inspected(s, d), dealt=True).select("file", "is_suitable", "reason", "split")

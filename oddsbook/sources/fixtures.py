@@ -98,8 +98,10 @@ SELECT e.episode AS val_episode, r.rollout,
 FROM {episodes} e CROSS JOIN {rollouts} r"""
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SNAPSHOTS.replace("{ms}", SPARK_MS), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+def snapshots(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """With parts, events are dealt by market into so many partitions, which the snapshots keep."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.sql(SNAPSHOTS.replace("{ms}", SPARK_MS), events=events.repartition(parts, "user_id") if parts else events)
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:

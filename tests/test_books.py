@@ -302,6 +302,35 @@ def test_inspection_shuffles_by_market_only(spark):
     assert len(exchanges) <= 2
 
 
+@pytest.mark.parametrize("name", ["whitelisted_races", "filtered_out_races", "suitability", "inspect_and_split"])
+def test_inspection_by_query_moves_two_rows_a_market(spark, name):
+    """Only measures by market and results by file are exchanged; quotes are neither exchanged, gathered by snapshot, broadcast nor written for it."""
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    moved = re.findall(r"(?<!Broadcast)Exchange \w+\(([^,)]*)#", plan)
+    assert moved.count("market_id") == 1 and all(key in ("market_id", "file", "split") for key in moved)
+    assert re.search(r"Exchange hashpartitioning\(market_id[^\n]*\n[^\w\n]*SortAggregate", plan)
+    assert "collect_list" not in plan and "oddsbook_quotes" not in plan and "oddsbook_snapshots" in plan
+
+
+def test_measures_of_a_hand_made_market(spark):
+    """The favourite is the cheapest over 1 of the first row before the off, of equals the first; its rows may lack prices or quotes; the first runner of a row need not be runner 0."""
+    snaps = spark.createDataFrame([(1, k, k * 1000, 2, 10.0 * k, 1, 0.0, "s", i) for k, i in enumerate([1, 0, 0, None, 0, 1])], "market_id long, step int, ts_unix long, runner_count int, total_matched_market double, result_closed int, result_winner_idx_first double, result_winner_selids string, in_play int")
+    quoted = [(0, 1, 1.5, 1.6), (1, 1, 3.0, 3.3), (1, 2, 2.0, 2.1), (1, 3, 2.0, 2.2), (1, 4, 0.9, 1.0), (2, 2, 4.0, 3.9), (2, 3, 9.0, 9.9), (4, 1, None, 3.0), (4, 2, 2.5, 3.0), (5, 2, 7.0, 9.0), (8, 2, 2.0, 9.0)]
+    raw = spark.createDataFrame([(1, k, r, b, y, float(k), None if k == 1 else 0.5) for k, r, b, y in quoted], "market_id long, step int, runner_idx int, back_price_1 double, lay_price_1 double, ob_imbalance double, prob_implied double")
+    row = inspection.market_checks(snaps, raw).first()
+    assert (row.fav, row.pre_race_snapshots, row.pre_race_secs, row.liquidity_at_off, row.n_runners, row.few_rows) == (2, 3, 3.0, 40.0, 2, True)
+    assert (round(row.fav_spread, 9), row.fav_drift, row.prob_null_rate) == (12.5, 25.0, 0.5)
+    assert abs(row.ob_imbalance - (4.5**0.5 + (7 / 3) ** 0.5 + 0.5**0.5) / 3) < 1e-9
+    gone = inspection.market_checks(snaps, raw.where("step <> 4 OR runner_idx <> 2")).first()
+    assert (gone.fav, round(gone.fav_spread, 9), gone.fav_drift) == (2, 5.0, 0.0)
+    begun = inspection.market_checks(snaps.withColumn("in_play", F.lit(1)), raw).first()
+    assert (begun.fav, begun.pre_race_snapshots, begun.liquidity_at_off, begun.prob_null_rate, begun.ob_imbalance) == (None, 0, None, 1.0, 0.0)
+    priced = spark.range(12).selectExpr("1L AS market_id", "CAST(id AS int) AS step", "id AS ts_unix", "2 AS runner_count", "1D AS total_matched_market", "1 AS result_closed", "0D AS result_winner_idx_first", "'s' AS result_winner_selids")
+    book = lambda rows: spark.createDataFrame([(1, k, r, b, 3.0, 0.0, 0.0) for k, r, b in rows], raw.schema)
+    few = [inspection.market_checks(priced, book(rows)).first().few_rows for rows in ([(0, 0, None), (0, 1, 2.0)], [(0, 0, None), (0, 1, 2.0), (3, 1, 2.0)], [(3, 0, 2.0)], [(20, 0, 2.0), (3, 0, None)])]
+    assert few == [True, False, False, True]
+
+
 def test_inspection_of_odd_rows(spark):
     """Snapshots without quotes stay, quotes without a snapshot do not count, empty inputs give nothing."""
     snaps, raw = queries._snaps(spark, SF), queries._raw(spark, SF)
